@@ -1,0 +1,19 @@
+"""Joins from very many rows to few, without hot keys."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+_SALTS = 16
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of many rows (with ``event_idx``) to few rows per group.
+
+    Rows are salted and groups repeated per salt, so a group that holds a large
+    share of the rows is spread over tasks where the join is shuffled.
+    """
+    salts = F.sequence(F.lit(0).cast("bigint"), F.lit(_SALTS - 1).cast("bigint"))
+    salted = rows.withColumn("_salt", F.col("event_idx") % _SALTS)
+    return salted.join(groups.withColumn("_salt", F.explode(salts)), [*keys, "_salt"]).drop("_salt")
