@@ -91,10 +91,10 @@ def _escalation_alerts(found: DataFrame, window_seconds: int) -> DataFrame:
     )
 
 
-def account_burst(events: DataFrame, block_rows: int = _BLOCK_ROWS) -> DataFrame:
+def account_burst(events: DataFrame, seconds: int = BURST_SECONDS, block_rows: int = _BLOCK_ROWS) -> DataFrame:
     """Rows of the first account-management burst of the whole timeline, or none.
 
-    A burst is a run of up to five (at least three) management events within 300 s;
+    A burst is a run of up to five (at least three) management events within ``seconds``;
     it is not keyed. Events are ranked globally and looked at in blocks.
     """
     managed = events.filter(F.col("event_id").isin(*ACCOUNT_IDS)).select(
@@ -108,7 +108,7 @@ def account_burst(events: DataFrame, block_rows: int = _BLOCK_ROWS) -> DataFrame
     )
     span = seconds_between(F.col("timestamp"), F.col("end.timestamp"))
     first = (
-        looked.filter(~F.col("_margin") & (span <= BURST_SECONDS))
+        looked.filter(~F.col("_margin") & (span <= seconds))
         .agg(F.min_by(F.struct("rn", F.col("end.rn").alias("last_rn"), span.alias("span")), F.col("rn")).alias("first"))
     )
 
