@@ -32,8 +32,8 @@ def _delimiter_counts(line: Column) -> list[Column]:
 def inspect_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """One row per file: path, header line, delimiter, and whether it needs a multi-line scan.
 
-    The delimiter is the candidate that occurs equally often, and at all, in the
-    first lines of the file; among several the most frequent one, comma if none.
+    The delimiter is the candidate of the header line whose number of occurrences
+    most of the first lines share; among several the most frequent, comma if none.
     Files small enough for one task are read multi-line anyway; for larger ones a
     physical line with an odd number of quotes shows that fields span lines.
     """
@@ -50,16 +50,22 @@ def inspect_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         .select("file_path", "value", F.row_number().over(ordered).alias("n"))
         .filter(F.col("n") <= _HEAD_LINES)
     )
-    counts = _delimiter_counts(F.col("value"))
-    stats = head.groupBy("file_path").agg(
-        F.min_by(F.col("value"), F.col("n")).alias("header"),
-        *[F.min(c).alias(f"min_{i}") for i, c in enumerate(counts)],
-        *[F.max(c).alias(f"max_{i}") for i, c in enumerate(counts)],
+    counts = {f"count_{i}": c for i, c in enumerate(_delimiter_counts(F.col("value")))}
+    in_header = {f"header_{i}": F.first(f"count_{i}").over(Window.partitionBy("file_path").orderBy("n")) for i in range(4)}
+    like_header = [F.avg((F.col(f"count_{i}") == F.col(f"header_{i}")).cast("int")) for i in range(4)]
+    scores = [
+        F.when(F.max(f"header_{i}") > 0, F.struct(like_header[i].alias("share"), F.max(f"header_{i}").alias("cells")))
+        for i in range(4)
+    ]
+    stats = (
+        head.withColumns(counts)
+        .withColumns(in_header)
+        .groupBy("file_path")
+        .agg(F.min_by("value", "n").alias("header"), *[s.alias(f"score_{i}") for i, s in enumerate(scores)])
     )
-    steady = [F.when(F.col(f"min_{i}") == F.col(f"max_{i}"), F.col(f"min_{i}")).otherwise(0) for i in range(4)]
-    best = F.greatest(*steady)
+    best = F.greatest(*[F.col(f"score_{i}") for i in range(4)])
     delimiter = reduce(
-        lambda rest, i: F.when((steady[i] == best) & (best > 0), F.lit(DELIMITERS[i])).otherwise(rest),
+        lambda rest, i: F.when(F.col(f"score_{i}") == best, F.lit(DELIMITERS[i])).otherwise(rest),
         reversed(range(4)),
         F.lit(DELIMITERS[0]),
     )
