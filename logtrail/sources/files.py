@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_POSITION_BITS = 33
+POSITION_BITS = 33
 
 
 def row_order() -> Column:
@@ -15,9 +15,9 @@ def row_order() -> Column:
     order is (offset of the split in MiB, position in the task). Splits are at
     least 1 MiB apart and a file is below 1 PiB, so both fit in one long.
     """
-    position = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
+    position = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << POSITION_BITS) - 1))
     block = F.shiftright(F.col("_metadata.file_block_start"), 20)
-    return F.shiftleft(block, _POSITION_BITS) + position
+    return F.shiftleft(block, POSITION_BITS) + position
 
 
 def with_origin(df: DataFrame, file_seq: int = 0) -> DataFrame:
