@@ -22,28 +22,23 @@ TCP_SERVICES = (
 UDP_SERVICES = (((53,), "DNS"), ((67, 68), "DHCP"), ((123,), "NTP"))
 
 
-def is_private_ip(ip: Column) -> Column:
-    """RFC 1918, loopback, placeholders, and anything that is not a dotted quad.
+_PLACEHOLDERS_SQL = ", ".join(f"'{p}'" for p in PRIVATE_PLACEHOLDERS)
+_PUBLIC_SQL = """
+    {ip} NOT IN ({placeholders}) AND size(split({ip}, '[.]', -1)) = 4
+    AND try_cast(trim(split({ip}, '[.]', -1)[0]) AS INT) NOT IN (10, 127)
+    AND NOT (try_cast(trim(split({ip}, '[.]', -1)[0]) AS INT) = 172
+        AND try_cast(trim(try_element_at(split({ip}, '[.]', -1), 2)) AS INT) BETWEEN 16 AND 31)
+    AND NOT (try_cast(trim(split({ip}, '[.]', -1)[0]) AS INT) = 192
+        AND try_cast(trim(try_element_at(split({ip}, '[.]', -1), 2)) AS INT) = 168)
+    AND try_cast(trim(try_element_at(split({ip}, '[.]', -1), 2)) AS INT) IS NOT NULL"""
 
-    Only the first two octets are read as numbers, as a firewall log may hold
-    masked last octets.
+
+def is_private_ip(ip: str) -> Column:
+    """True for column ``ip`` in RFC 1918, loopback, a placeholder, or no dotted quad at all.
+
+    Only the first two octets are read as numbers.
     """
-    parts = F.split(ip, r"\.", -1)
-    first = F.trim(parts[0]).try_cast("int")
-    second = F.trim(F.get(parts, F.lit(1))).try_cast("int")
-    public = (
-        ip.isNotNull()
-        & ~ip.isin(*PRIVATE_PLACEHOLDERS)
-        & (F.size(parts) == 4)
-        & first.isNotNull()
-        & second.isNotNull()
-        & ~(
-            first.isin(10, 127)
-            | ((first == 172) & second.between(16, 31))
-            | ((first == 192) & (second == 168))
-        )
-    )
-    return ~F.coalesce(public, F.lit(False))
+    return ~F.coalesce(F.expr(_PUBLIC_SQL.format(ip=f"`{ip}`", placeholders=_PLACEHOLDERS_SQL)), F.lit(False))
 
 
 def _service(table: tuple, prefix: str, src_port: Column, dst_port: Column) -> Column:

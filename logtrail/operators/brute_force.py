@@ -17,6 +17,7 @@ from logtrail.operators.alerts import (
 )
 from logtrail.operators.windows import greedy_windows, micros, window_members
 from logtrail.schema import FAILED_AUTH_IDS, SUCCESS_AUTH_IDS, conform_alerts
+from logtrail.session import stage
 
 FAILURE_WORDS = ("failed", "failure", "denied", "invalid")
 SUCCESS_SECONDS = 600
@@ -77,7 +78,7 @@ def detect_brute_force(
         "key", "t", "event_idx", "timestamp", "event_id", "message", "source_ip", "username", "process"
     )
     starts = greedy_windows(rows, window_seconds, threshold, **limits)
-    members = window_members(rows, starts, window_seconds)
+    members = stage(window_members(rows, starts, window_seconds), "auth-bursts")
     windows = members.groupBy("key", "start").agg(
         F.count("*").alias("n"),
         F.min("event_idx").alias("first_idx"),

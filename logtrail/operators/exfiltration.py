@@ -11,6 +11,7 @@ from logtrail.functions.times import iso_text, seconds_between
 from logtrail.operators.alerts import Detection, alert_identity, evidence
 from logtrail.operators.spread import spread_join
 from logtrail.schema import conform_alerts
+from logtrail.session import stage
 
 # Limits of the DNS tunnelling reason.
 DNS_QUERIES = 20
@@ -26,14 +27,19 @@ def outbound(events: DataFrame) -> DataFrame:
         {"src": F.col("source_ip"), "dst": dest, "flow_process": F.coalesce(present(F.col("process")), F.lit("unknown"))}
     )
     return named.filter(
-        (F.col("src") != "") & (F.col("dst") != "") & is_private_ip(F.col("src")) & ~is_private_ip(F.col("dst"))
+        (F.col("src") != "") & (F.col("dst") != "") & is_private_ip("src") & ~is_private_ip("dst")
     )
 
 
 def flows(events: DataFrame) -> DataFrame:
-    """Per (process, source, destination): bytes, packets, time span and DNS names."""
+    """Per (process, source, destination): bytes, packets, time span and DNS names.
+
+    All aggregates are numbers, so they run as hash aggregation; the process of
+    the first event is the flow's own, except that an empty one is ``unknown``.
+    """
     dns = present(F.col("dns_query"))
     timed = F.when(F.col("timestamp").isNotNull(), F.col("event_idx"))
+    named = F.col("flow_process") != "unknown"
     return (
         outbound(events)
         .groupBy(*FLOW)
@@ -43,10 +49,15 @@ def flows(events: DataFrame) -> DataFrame:
             F.min("event_idx").alias("first_idx"),
             F.min_by("timestamp", timed).alias("first_ts"),
             F.max_by("timestamp", "event_idx").alias("last_ts"),
-            F.min_by("process", "event_idx").alias("process"),
+            F.min(F.when(F.col("process") == "unknown", F.col("event_idx"))).alias("first_unknown"),
             F.count(dns).alias("dns_queries"),
             F.count_distinct(dns).alias("dns_names"),
         )
+        .withColumn(
+            "process",
+            F.when(named | (F.col("first_unknown") == F.col("first_idx")), F.col("flow_process")).otherwise(""),
+        )
+        .drop("first_unknown")
     )
 
 
@@ -84,7 +95,7 @@ def detect_exfiltration(
     events: DataFrame, bytes_threshold: int = 50_000, packet_threshold: int = 50, window_seconds: int = 300
 ) -> Detection:
     """One critical alert per suspicious flow."""
-    found = suspicious_flows(flows(events), bytes_threshold, packet_threshold, window_seconds)
+    found = stage(suspicious_flows(flows(events), bytes_threshold, packet_threshold, window_seconds), "flows")
     identity = alert_identity("data_exfiltration", F.col("first_idx"), F.col("first_idx"))
     members = spread_join(
         outbound(events).select(*FLOW, "event_idx", "timestamp", "message"), found.select(*FLOW, "first_idx"), FLOW

@@ -17,6 +17,7 @@ from logtrail.operators.alerts import (
 )
 from logtrail.operators.windows import greedy_windows, window_members
 from logtrail.schema import conform_alerts
+from logtrail.session import stage
 
 # Ids and words of file events, and the share of deletions that looks like ransomware.
 FILE_IDS = ("4663", "4656", "4660", "4670")
@@ -55,7 +56,7 @@ def detect_file_access(
         .filter(~F.col("key").isin(*UNKNOWN_KEYS))
     )
     starts = greedy_windows(rows, window_seconds, threshold, **limits)
-    members = window_members(rows, starts, window_seconds)
+    members = stage(window_members(rows, starts, window_seconds), "file-bursts")
     windows = members.groupBy("key", "start").agg(
         F.count("*").alias("n"),
         F.count_if(is_deletion()).alias("deletions"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from logtrail.functions.text import contains_any, first_present
 from logtrail.operators.alerts import Detection, alert_identity, event_line, evidence
 from logtrail.schema import conform_alerts
+from logtrail.session import stage
 
 # Sources that say nothing, privileged event ids, and words of privileged messages.
 IGNORED_SOURCES = ("", "N/A", "-", "127.0.0.1", "::1", "0.0.0.0")
@@ -19,9 +20,15 @@ PRIVILEGED_WORDS = ("privilege", "admin", "root", "sudo")
 MIN_RARE_COUNT = 3
 RARE_SHARE = 0.1
 
+SOURCE = ("process", "source_ip")
 _BUSY_ROWS = 1_000_000
 
 
+def source_key(entity: tuple[str, ...] = SOURCE) -> Column:
+    """First non-empty identity of an event, '' if there is none."""
+    return first_present(*[F.col(c) for c in entity])
+
+
 def is_privileged() -> Column:
     return (
         F.col("event_id").isin(*PRIVILEGED_IDS)
@@ -30,58 +37,61 @@ def is_privileged() -> Column:
     )
 
 
-def source_profiles(events: DataFrame, entity: tuple[str, ...] = ("process", "source_ip")) -> DataFrame:
-    """Per source: events, privileged events and its first event; with the rarity threshold."""
-    first = F.struct("timestamp", "source_ip", "username", "hostname", "process")
+def source_profiles(events: DataFrame, entity: tuple[str, ...] = SOURCE) -> DataFrame:
+    """Per source: events, privileged events, index of the first event, and whether it is rare."""
     profiles = (
-        events.withColumn("key", first_present(*[F.col(c) for c in entity]))
+        events.withColumn("key", source_key(entity))
         .filter(~F.col("key").isin(*IGNORED_SOURCES))
         .groupBy("key")
         .agg(
             F.count("*").alias("n"),
             F.count_if(is_privileged()).alias("privileged"),
             F.min("event_idx").alias("first_idx"),
-            F.min_by(first, F.col("event_idx")).alias("first"),
         )
     )
-    rare_below = profiles.agg(F.greatest(F.lit(float(MIN_RARE_COUNT)), F.avg("n") * F.lit(RARE_SHARE)))
-    return profiles.withColumn("rare_below", rare_below.scalar())
+    staged = stage(profiles, "sources")
+    limit = staged.agg(F.greatest(F.lit(float(MIN_RARE_COUNT)), F.avg("n") * F.lit(RARE_SHARE)))
+    return staged.withColumn("rare", F.col("n") <= limit.scalar())
 
 
-def detect_new_source(events: DataFrame, entity: tuple[str, ...] = ("process", "source_ip")) -> Detection:
+def detect_new_source(events: DataFrame, entity: tuple[str, ...] = SOURCE) -> Detection:
     """One alert per rare source with privileged events."""
     profiles = source_profiles(events, entity)
-    rare = profiles.filter((F.col("n") <= F.col("rare_below")) & (F.col("privileged") > 0))
+    rare = profiles.filter(F.col("rare") & (F.col("privileged") > 0))
     # Sources too busy to be rare, at most one per _BUSY_ROWS events, are dropped before the join shuffles.
-    busy = profiles.filter((F.col("n") > F.col("rare_below")) & (F.col("n") > _BUSY_ROWS)).select("key")
-    members = (
-        events.filter(is_privileged())
-        .withColumn("key", first_present(*[F.col(c) for c in entity]))
-        .select("key", "event_idx", "timestamp", "event_id", "message")
+    busy = profiles.filter(~F.col("rare") & (F.col("n") > _BUSY_ROWS)).select("key")
+    rows = stage(
+        events.select(
+            source_key(entity).alias("key"), "event_idx", "timestamp", "event_id", F.left("message", F.lit(80)).alias("message"),
+            "source_ip", "username", "hostname", "process", is_privileged().alias("is_privileged"),
+        )
         .join(F.broadcast(busy), "key", "left_anti")
-        .join(rare.select("key", "first_idx"), "key")
-    )
-    first = F.col("first")
-    identity = alert_identity("new_ip", F.col("first_idx"), F.col("first_idx"))
-    alerts = rare.join(evidence(members, ["key"], event_line(80)), "key").withColumns(
-        {
-            **identity,
-            "severity": F.lit("high"),
-            "title": F.concat(F.lit("Suspicious New IP: "), F.col("key")),
-            "description": F.concat(
-                F.lit("IP "), F.col("key"), F.lit(" appeared only "), F.col("n"),
-                F.lit(" time(s) but performed "), F.col("privileged"),
-                F.lit(" privileged action(s). This may indicate unauthorized access from an unknown source."),
-            ),
-            "timestamp": first["timestamp"],
-            "end_timestamp": F.lit(None).cast("timestamp"),
-            "source_ip": first["source_ip"],
-            "target": first_present(first["hostname"], first["username"]),
-            "process": first["process"],
-            "event_count": F.col("privileged"),
-            "confidence": F.least(F.lit(0.6) + F.col("privileged") * F.lit(0.15), F.lit(0.95)),
-            "mitre_tactic": F.lit("Initial Access"),
-            "mitre_technique": F.lit("T1078 - Valid Accounts"),
-        }
+        .join(rare.select("key", "first_idx"), "key"),
+        "rare-events",
+    )
+    members = rows.filter("is_privileged")
+    first = rows.filter(F.col("event_idx") == F.col("first_idx")).drop("event_idx", "first_idx")
+    alerts = (
+        rare.join(first, "key")
+        .join(evidence(members, ["key"], event_line(80)), "key")
+        .withColumns(
+            {
+                **alert_identity("new_ip", F.col("first_idx"), F.col("first_idx")),
+                "severity": F.lit("high"),
+                "title": F.concat(F.lit("Suspicious New IP: "), F.col("key")),
+                "description": F.concat(
+                    F.lit("IP "), F.col("key"), F.lit(" appeared only "), F.col("n"),
+                    F.lit(" time(s) but performed "), F.col("privileged"),
+                    F.lit(" privileged action(s). This may indicate unauthorized access from an unknown source."),
+                ),
+                "end_timestamp": F.lit(None).cast("timestamp"),
+                "target": first_present(F.col("hostname"), F.col("username")),
+                "event_count": F.col("privileged"),
+                "confidence": F.least(F.lit(0.6) + F.col("privileged") * F.lit(0.15), F.lit(0.95)),
+                "mitre_tactic": F.lit("Initial Access"),
+                "mitre_technique": F.lit("T1078 - Valid Accounts"),
+            }
+        )
     )
-    return Detection(conform_alerts(alerts), members.select(identity["alert_id"].alias("alert_id"), "event_idx"))
+    alert_id = alert_identity("new_ip", F.col("first_idx"), F.col("first_idx"))["alert_id"]
+    return Detection(conform_alerts(alerts), members.select(alert_id.alias("alert_id"), "event_idx"))

@@ -10,6 +10,7 @@ from logtrail.functions.times import iso_text, seconds_between
 from logtrail.operators.alerts import UNKNOWN_KEYS, Detection, alert_identity, event_line
 from logtrail.operators.ordering import first_following, in_blocks, with_ordinal
 from logtrail.schema import FAILED_AUTH_IDS, SUCCESS_AUTH_IDS, conform_alerts
+from logtrail.session import stage
 
 # Ids of privilege use and of account management; limits of the account burst.
 PRIVILEGE_IDS = ("4672", "4673", "SUDO_COMMAND")
@@ -155,7 +156,7 @@ def detect_privilege_escalation(
     events: DataFrame, window_seconds: int = 600, max_lookahead: int | None = LOOKAHEAD_ROWS
 ) -> Detection:
     """Alerts of both patterns; those of account management come last."""
-    found = escalations(events, window_seconds, max_lookahead)
+    found = stage(escalations(events, window_seconds, max_lookahead), "escalations")
     burst = account_burst(events)
     burst_alert = _burst_alert(burst)
     escalation_id = alert_identity("privilege_escalation", F.lit(0), F.col("event_idx"))["alert_id"]

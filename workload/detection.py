@@ -247,7 +247,7 @@ _PROFILES = f"""profiles AS (
 @query(f"WITH {LOGS}, {_PROFILES} SELECT key, n, privileged, first_idx FROM rare")
 def rare_sources(spark, sf_dir):
     profiles = source_profiles(logs(spark, sf_dir, "app"))
-    return profiles.filter(F.col("n") <= F.col("rare_below")).select("key", "n", "privileged", "first_idx")
+    return profiles.filter("rare").select("key", "n", "privileged", "first_idx")
 
 
 @query(
@@ -503,7 +503,7 @@ def private_ip(spark, sf_dir):
             )
         )
     )
-    return ips.withColumn("kind", F.when(is_private_ip(F.col("ip")), "private").otherwise("public"))
+    return ips.withColumn("kind", F.when(is_private_ip("ip"), "private").otherwise("public"))
 
 
 # --- threats ---------------------------------------------------------------------------------
