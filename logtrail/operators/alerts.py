@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from logtrail.functions.text import present
 from logtrail.functions.times import iso_text
-from logtrail.operators.spread import spread_join
 
 # Rules in the order in which their alerts are listed.
 RULES = (
@@ -85,11 +84,7 @@ def evidence(members: DataFrame, keys: list[str], line: Column) -> DataFrame:
     )
 
 
-def window_bridge(members: DataFrame, windows: DataFrame, rule: str) -> DataFrame:
-    """(alert_id, event_idx) of alerts that are windows of a key."""
-    ids = windows.select(
-        "key", "start", alert_identity(rule, F.col("first_idx"), F.col("first_idx"))["alert_id"].alias("alert_id")
-    )
-    return spread_join(members.select("key", "start", "event_idx"), ids, ["key", "start"]).select(
-        "alert_id", "event_idx"
-    )
+def window_bridge(members: DataFrame, rule: str) -> DataFrame:
+    """(alert_id, event_idx) of alerts that are windows of a key; members know their window's first event."""
+    alert_id = alert_identity(rule, F.col("first_idx"), F.col("first_idx"))["alert_id"]
+    return members.select(alert_id.alias("alert_id"), "event_idx")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logtrail.operators.spread import spread_join
+from logtrail.operators.spread import join_groups
 
 NO_ALERTS = "array<struct<rule_name:string,severity:string,title:string,times:bigint>>"
 
@@ -17,9 +17,9 @@ def event_alerts(alerts: DataFrame, members: DataFrame) -> DataFrame:
     in ``times`` before they meet, so the array holds one entry per distinct
     summary and stays short.
     """
-    summaries = alerts.select("alert_id", "alert_seq", "rule_name", "severity", "title")
+    summaries = alerts.select("alert_id", "alert_seq", "rule_name", "severity", "title", "event_count")
     counted = (
-        spread_join(members, summaries, ["alert_id"])
+        join_groups(members, summaries, ["alert_id"], "event_count")
         .groupBy("event_idx", "rule_name", "severity", "title")
         .agg(F.min("alert_seq").alias("seq"), F.count("*").alias("times"))
     )

@@ -15,7 +15,7 @@ from logtrail.operators.alerts import (
     evidence,
     window_bridge,
 )
-from logtrail.operators.windows import greedy_windows, micros, window_members
+from logtrail.operators.windows import greedy_windows, largest_key, micros, window_members
 from logtrail.schema import FAILED_AUTH_IDS, SUCCESS_AUTH_IDS, conform_alerts
 from logtrail.session import stage
 
@@ -77,11 +77,11 @@ def detect_brute_force(
     rows = failed_auth(events, entity).select(
         "key", "t", "event_idx", "timestamp", "event_id", "message", "source_ip", "username", "process"
     )
-    starts = greedy_windows(rows, window_seconds, threshold, **limits)
-    members = stage(window_members(rows, starts, window_seconds), "auth-bursts")
-    windows = members.groupBy("key", "start").agg(
+    largest = largest_key(rows)
+    starts = greedy_windows(rows, window_seconds, threshold, largest, **limits)
+    members = stage(window_members(rows, starts, window_seconds, largest), "auth-bursts")
+    windows = members.groupBy("key", "start", "first_idx").agg(
         F.count("*").alias("n"),
-        F.min("event_idx").alias("first_idx"),
         F.max("t").alias("last_t"),
         F.min_by(F.struct("timestamp", "username", "process"), F.col("event_idx")).alias("first"),
         F.max_by(F.struct("timestamp", "source_ip"), F.col("event_idx")).alias("last"),
@@ -123,5 +123,5 @@ def detect_brute_force(
             "mitre_technique": F.lit("T1110 - Brute Force"),
         }
     )
-    return Detection(conform_alerts(alerts), window_bridge(members, windows, "brute_force"))
+    return Detection(conform_alerts(alerts), window_bridge(members, "brute_force"))
 

@@ -9,7 +9,7 @@ from logtrail.functions.network import is_private_ip
 from logtrail.functions.text import first_present, present
 from logtrail.functions.times import iso_text, seconds_between
 from logtrail.operators.alerts import Detection, alert_identity, evidence
-from logtrail.operators.spread import spread_join
+from logtrail.operators.spread import join_groups
 from logtrail.schema import conform_alerts
 from logtrail.session import stage
 
@@ -97,9 +97,8 @@ def detect_exfiltration(
     """One critical alert per suspicious flow."""
     found = stage(suspicious_flows(flows(events), bytes_threshold, packet_threshold, window_seconds), "flows")
     identity = alert_identity("data_exfiltration", F.col("first_idx"), F.col("first_idx"))
-    members = spread_join(
-        outbound(events).select(*FLOW, "event_idx", "timestamp", "message"), found.select(*FLOW, "first_idx"), FLOW
-    )
+    packets = outbound(events).select(*FLOW, "event_idx", "timestamp", "message")
+    members = join_groups(packets, found.select(*FLOW, "first_idx", F.col("packets").alias("size")), FLOW, "size")
     line: Column = F.concat(iso_text(F.col("timestamp")), F.lit(" - "), F.left("message", F.lit(80)))
     alerts = found.join(evidence(members, FLOW, line), FLOW).withColumns(
         {

@@ -118,38 +118,43 @@ def alerts_by_severity(alerts: DataFrame) -> DataFrame:
     return alerts.orderBy(severity_rank(F.col("severity")), "alert_seq")
 
 
-def attacker_profiles(alerts: DataFrame) -> DataFrame:
-    """Alerts per attacker identity and title: counts, total and highest severity."""
+def _attackers(alerts: DataFrame) -> DataFrame:
     process, ip = F.col("process"), F.col("source_ip")
     identity = (
         F.when(process != "", F.concat(process, F.lit("::"), ip)).when(ip != "", ip).otherwise("Internal/Unknown")
     )
-    per_title = (
-        alerts.select(
-            identity.alias("identity"),
-            first_present(process, ip, F.lit("Internal/Unknown")).alias("display_name"),
-            F.when((process != "") & (ip != "-"), ip).otherwise("").alias("sub_name"),
-            first_present(F.col("title"), F.col("rule_name")).alias("title"),
-            F.least(severity_rank(F.col("severity")), F.lit(len(SEVERITY_ORDER) - 1)).alias("rank"),
-            "alert_seq",
-        )
-        .groupBy("identity", "display_name", "sub_name", "title")
-        .agg(F.count("*").alias("alerts"), F.min("rank").alias("rank"), F.min("alert_seq").alias("seq"))
+    return alerts.select(
+        identity.alias("identity"),
+        first_present(process, ip, F.lit("Internal/Unknown")).alias("display_name"),
+        F.when((process != "") & (ip != "-"), ip).otherwise("").alias("sub_name"),
+        first_present(F.col("title"), F.col("rule_name")).alias("title"),
+        F.least(severity_rank(F.col("severity")), F.lit(len(SEVERITY_ORDER) - 1)).alias("rank"),
+        "alert_seq",
     )
+
+
+def attacker_profiles(alerts: DataFrame) -> DataFrame:
+    """One row per attacker identity, most alerts first: total, kinds and highest severity."""
     ranks = F.array(*[F.lit(s) for s in SEVERITY_ORDER])
     return (
-        per_title.groupBy("identity", "display_name", "sub_name")
+        _attackers(alerts)
+        .groupBy("identity", "display_name", "sub_name")
         .agg(
-            F.map_from_entries(F.sort_array(F.collect_list(F.struct("title", "alerts")))).alias("titles"),
-            F.sum("alerts").alias("total"),
+            F.count("*").alias("total"),
+            F.count_distinct("title").alias("kinds"),
             F.get(ranks, F.min("rank")).alias("max_severity"),
-            F.min("seq").alias("first_seq"),
+            F.min("alert_seq").alias("first_seq"),
         )
         .orderBy(F.desc("total"), "first_seq")
         .drop("first_seq")
     )
 
 
+def attacker_titles(alerts: DataFrame) -> DataFrame:
+    """Alerts per attacker identity and title, one row each: titles can name any number of targets."""
+    return _attackers(alerts).groupBy("identity", "title").agg(F.count("*").alias("alerts"))
+
+
 def detection_cards(rule_counts: DataFrame) -> DataFrame:
     """Count per rule detector, zero where it found nothing."""
     rows = ", ".join(f"({i}, '{rule}', '{label}')" for i, (rule, label) in enumerate(CARD_RULES))

@@ -15,7 +15,7 @@ from logtrail.operators.alerts import (
     evidence,
     window_bridge,
 )
-from logtrail.operators.windows import greedy_windows, window_members
+from logtrail.operators.windows import greedy_windows, largest_key, window_members
 from logtrail.schema import conform_alerts
 from logtrail.session import stage
 
@@ -55,12 +55,12 @@ def detect_file_access(
         )
         .filter(~F.col("key").isin(*UNKNOWN_KEYS))
     )
-    starts = greedy_windows(rows, window_seconds, threshold, **limits)
-    members = stage(window_members(rows, starts, window_seconds), "file-bursts")
-    windows = members.groupBy("key", "start").agg(
+    largest = largest_key(rows)
+    starts = greedy_windows(rows, window_seconds, threshold, largest, **limits)
+    members = stage(window_members(rows, starts, window_seconds, largest), "file-bursts")
+    windows = members.groupBy("key", "start", "first_idx").agg(
         F.count("*").alias("n"),
         F.count_if(is_deletion()).alias("deletions"),
-        F.min("event_idx").alias("first_idx"),
         F.min_by(F.struct("timestamp", "source_ip", "process"), F.col("event_idx")).alias("first"),
         F.max_by("timestamp", "event_idx").alias("end_timestamp"),
     )
@@ -90,4 +90,4 @@ def detect_file_access(
             "mitre_technique": either("T1486", "T1005"),
         }
     )
-    return Detection(conform_alerts(alerts), window_bridge(members, windows, "file_access_anomaly"))
+    return Detection(conform_alerts(alerts), window_bridge(members, "file_access_anomaly"))

@@ -71,6 +71,7 @@ def in_blocks(ordered: DataFrame, ordinal: str, block_rows: int, ahead: int) ->
     Adds ``_block`` and ``_margin``. A window over ``_block`` then sees, for every
     row that is not margin, all of the ``ahead`` rows that follow it.
     """
+    block_rows = max(block_rows, ahead)
     block = F.floor(F.col(ordinal) / F.lit(block_rows)).cast("bigint")
     in_margin = (F.col(ordinal) % F.lit(block_rows) < ahead) & (block > 0)
     blocks = F.when(in_margin, F.array(block, block - 1)).otherwise(F.array(block))

@@ -1,19 +1,25 @@
-"""Joins from very many rows to few, without hot keys."""
+"""Joins from very many rows to one row per group, without hot keys."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_SALTS = 16
+HOT_ROWS = 1_000_000
 
 
-def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join of many rows (with ``event_idx``) to few rows per group.
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Inner join of rows to the group they belong to; ``size`` is the number of rows of a group.
 
-    Rows are salted and groups repeated per salt, so a group that holds a large
-    share of the rows is spread over tasks where the join is shuffled.
+    Groups above ``hot_rows`` are joined by broadcast, so their rows are not
+    shuffled onto one task; there are at most ``rows / hot_rows`` of them. All
+    other groups are small enough for a shuffled join. ``groups`` should be staged,
+    as its largest size is looked up first.
     """
-    salts = F.sequence(F.lit(0).cast("bigint"), F.lit(_SALTS - 1).cast("bigint"))
-    salted = rows.withColumn("_salt", F.col("event_idx") % _SALTS)
-    return salted.join(groups.withColumn("_salt", F.explode(salts)), [*keys, "_salt"]).drop("_salt")
+    largest = groups.agg(F.max(size)).first()[0] or 0
+    if largest <= hot_rows:
+        return rows.join(groups, keys)
+    hot = groups.filter(F.col(size) > hot_rows)
+    in_hot = rows.join(F.broadcast(hot), keys)
+    elsewhere = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return in_hot.unionByName(elsewhere.join(groups.filter(F.col(size) <= hot_rows), keys))

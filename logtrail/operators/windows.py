@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logtrail.operators.ordering import in_blocks, with_ordinal
-from logtrail.operators.spread import spread_join
+from logtrail.operators.spread import HOT_ROWS, join_groups
 from logtrail.session import stage
 
 GROUP_ROWS = 1_000_000
@@ -43,9 +43,13 @@ def anchors_by_key(rows: DataFrame, width: int, threshold: int) -> DataFrame:
     """Distinct anchor times per key; for keys that fit in one group."""
     by_key = Window.partitionBy("key").orderBy("t", "event_idx")
     ahead = F.lead("t", threshold - 1).over(by_key)
-    return rows.select("key", "t", (ahead - F.col("t") <= width).alias("is_anchor")).filter("is_anchor").select(
-        "key", "t"
-    ).distinct()
+    looked = rows.select("key", "t", "event_idx", (ahead - F.col("t") <= width).alias("is_anchor"))
+    return _distinct_times(looked.filter("is_anchor"))
+
+
+def _distinct_times(anchors: DataFrame) -> DataFrame:
+    """One row per key and time, with the first of the rows at that time."""
+    return anchors.groupBy("key", "t").agg(F.min("event_idx").alias("first_idx"))
 
 
 def anchors_in_blocks(rows: DataFrame, width: int, threshold: int, block_rows: int) -> DataFrame:
@@ -56,32 +60,30 @@ def anchors_in_blocks(rows: DataFrame, width: int, threshold: int, block_rows: i
     looked = in_blocks(ranked, "rn", block_rows, threshold - 1).select(
         "key",
         "t",
+        "event_idx",
         "_margin",
         F.lead("key", threshold - 1).over(by_block).alias("key_ahead"),
         F.lead("t", threshold - 1).over(by_block).alias("t_ahead"),
     )
     same_key = F.col("key_ahead") == F.col("key")
-    return (
-        looked.filter(~F.col("_margin") & same_key & (F.col("t_ahead") - F.col("t") <= width))
-        .select("key", "t")
-        .distinct()
-    )
+    return _distinct_times(looked.filter(~F.col("_margin") & same_key & (F.col("t_ahead") - F.col("t") <= width)))
 
 
 def pick_by_fold(anchors: DataFrame, width: int) -> DataFrame:
     """Window starts of keys with few anchors: one pass over the sorted times."""
     never = -(1 << 62)
+    anchor = "struct<t: bigint, first_idx: bigint>"
     folded = F.aggregate(
-        F.col("times"),
-        F.struct(F.lit(never).alias("end"), F.array().cast("array<bigint>").alias("starts")),
-        lambda acc, t: F.when(
-            t > acc["end"],
-            F.struct((t + F.lit(width)).alias("end"), F.concat(acc["starts"], F.array(t)).alias("starts")),
+        F.col("anchors"),
+        F.struct(F.lit(never).alias("end"), F.array().cast(f"array<{anchor}>").alias("starts")),
+        lambda acc, a: F.when(
+            a["t"] > acc["end"],
+            F.struct((a["t"] + F.lit(width)).alias("end"), F.concat(acc["starts"], F.array(a)).alias("starts")),
         ).otherwise(acc),
         lambda acc: acc["starts"],
     )
-    times = anchors.groupBy("key").agg(F.sort_array(F.collect_list("t")).alias("times"))
-    return times.select("key", F.explode(folded).alias("start"))
+    per_key = anchors.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("t", "first_idx"))).alias("anchors"))
+    return per_key.select("key", F.explode(folded).alias("a")).select("key", F.col("a.t").alias("start"), "a.first_idx")
 
 
 def _neighbours(anchors: DataFrame, width: int, block_rows: int) -> DataFrame:
@@ -149,7 +151,7 @@ def pick_by_halving(anchors: DataFrame, width: int, block_rows: int = BLOCK_ROWS
     levels = [stage(_neighbours(anchors, width, block_rows), "burst-level0")]
     low, high = levels[0].agg(F.min("t"), F.max("t")).first()
     if low is None:
-        return anchors.select("key", F.col("t").alias("start"))
+        return anchors.select("key", F.col("t").alias("start"), "first_idx")
 
     def superblock(t: Column | str, level: int) -> Column:
         t = F.col(t) if isinstance(t, str) else t
@@ -173,28 +175,34 @@ def pick_by_halving(anchors: DataFrame, width: int, block_rows: int = BLOCK_ROWS
         steps = levels[level - 1].filter(inside).select("key", "t", "to")
         second_half = starts.join(steps, ["key", "t"]).select("key", F.col("to").alias("t"))
         starts = stage(starts.unionByName(second_half), "burst-starts")
-    return starts.select("key", F.col("t").alias("start"))
+    return anchors.join(starts, ["key", "t"]).select("key", F.col("t").alias("start"), "first_idx")
+
+
+def largest_key(rows: DataFrame) -> int:
+    """Number of rows of the largest key; decides which way is planned."""
+    return rows.filter("t IS NOT NULL").groupBy("key").count().agg(F.max("count")).first()[0] or 0
 
 
 def greedy_windows(
     rows: DataFrame,
     window_seconds: float,
     threshold: int,
+    largest: int | None = None,
     group_rows: int = GROUP_ROWS,
     fold_anchors: int = FOLD_ANCHORS,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Starts of the greedy windows: ``key``, ``start`` (microseconds).
+    """Starts of the greedy windows: ``key``, ``start`` (microseconds), ``first_idx``.
 
     ``rows`` has ``key``, ``t`` (microseconds) and ``event_idx``; rows without a
-    time belong to no window. The size of the largest key is measured first and
-    decides which of the exact ways is planned.
+    time belong to no window. The size of the ``largest`` key is measured first
+    unless given, and decides which of the exact ways is planned.
     """
     if threshold < 2:
         raise ValueError("threshold must be at least 2")
     width = micros(window_seconds)
     timed = rows.filter("t IS NOT NULL").select("key", "t", "event_idx")
-    largest = timed.groupBy("key").count().agg(F.max("count")).first()[0] or 0
+    largest = largest_key(rows) if largest is None else largest
     if largest <= group_rows:
         anchors = anchors_by_key(timed, width, threshold)
     else:
@@ -206,20 +214,29 @@ def greedy_windows(
     return pick_by_fold(anchors, width) if most <= fold_anchors else pick_by_halving(anchors, width, block_rows)
 
 
-def window_members(rows: DataFrame, starts: DataFrame, window_seconds: float) -> DataFrame:
-    """``rows`` that lie in a window, with its ``start``.
+def window_members(
+    rows: DataFrame, starts: DataFrame, window_seconds: float, largest: int | None = None, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """``rows`` that lie in a window, with its ``start`` and ``first_idx``.
 
     A window reaches into its own cell and the next, so its start is sent to both.
+    Only where a key has more than ``hot_rows`` rows can a cell be hot; then cells
+    are counted and the hot ones joined by broadcast.
     """
     width = micros(window_seconds)
 
     def cell(t: str) -> Column:
         return F.floor(F.col(t) / (width + 1)).cast("bigint")
 
-    reach = starts.select("key", "start", F.explode(F.array(cell("start"), cell("start") + 1)).alias("_cell"))
+    own = cell("start")
+    reach = starts.select("key", "start", "first_idx", F.explode(F.array(own, own + 1)).alias("_cell"))
     in_cells = rows.filter("t IS NOT NULL").withColumn("_cell", cell("t"))
-    return (
-        spread_join(in_cells, reach, ["key", "_cell"])
-        .filter((F.col("t") >= F.col("start")) & (F.col("t") <= F.col("start") + width))
-        .drop("_cell")
-    )
+    largest = largest_key(rows) if largest is None else largest
+    if largest <= hot_rows:
+        joined = in_cells.join(reach, ["key", "_cell"])
+    else:
+        counts = in_cells.groupBy("key", "_cell").agg(F.count("*").alias("_size"))
+        sized = stage(reach.join(counts, ["key", "_cell"]), "burst-cells")
+        joined = join_groups(in_cells, sized, ["key", "_cell"], "_size", hot_rows).drop("_size")
+    inside = (F.col("t") >= F.col("start")) & (F.col("t") <= F.col("start") + width)
+    return joined.filter(inside).drop("_cell")

@@ -46,20 +46,21 @@ WAYS = {
 
 
 @pytest.mark.parametrize("way", WAYS)
-@pytest.mark.parametrize(("seed", "span", "seconds", "threshold"), [(1, 400, 7, 3), (2, 3000, 20, 4), (3, 60, 3, 2)])
+@pytest.mark.parametrize(("seed", "span", "seconds", "threshold"), [(1, 400, 7, 3), (3, 60, 3, 2)])
 def test_greedy_windows_equal_a_loop(spark, way, seed, span, seconds, threshold):
     rows = random_rows(seed, 600, 4, span)
     df = spark.createDataFrame(rows, "key string, t long, event_idx long")
     starts = greedy_windows(df, seconds, threshold, **WAYS[way])
-    members = window_members(df, starts, seconds)
+    members = window_members(df, starts, seconds, hot_rows=30 if way.startswith("blocks") else 1_000_000)
     got = members.groupBy("key", "start").agg(F.sort_array(F.collect_list("event_idx")).alias("m")).collect()
     expected = loop_windows(rows, seconds, threshold)
     assert {(r.key, r.start, tuple(r.m)) for r in got} == expected
-    assert len(got) == len(expected) == starts.count()
+    firsts = {(r.key, r.start): r.first_idx for r in starts.collect()}
+    assert firsts == {(key, start): m[0] for key, start, m in expected}
 
 
 def test_halving_on_periodic_times_that_never_merge(spark):
-    rows = [("hot", i * 1_000_000, i) for i in range(3000)]
+    rows = [("hot", i * 1_000_000, i) for i in range(1500)]
     df = spark.createDataFrame(rows, "key string, t long, event_idx long")
     starts = greedy_windows(df, 10, 3, group_rows=100, fold_anchors=10, block_rows=211)
     assert {(r.key, r.start) for r in starts.collect()} == {(k, s) for k, s, _ in loop_windows(rows, 10, 3)}

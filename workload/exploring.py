@@ -154,19 +154,24 @@ def alerts_by_severity(spark, sf_dir):
     )
 
 
-@query(
-    f"""WITH {LOGS}, {ALERTS}, named AS (
+_NAMED = f"""named AS (
         SELECT *, CASE WHEN process <> '' THEN process || '::' || source_ip WHEN source_ip <> '' THEN source_ip
-            ELSE 'Internal/Unknown' END AS identity FROM alerts),
-    per AS (SELECT identity, title, count(*) AS n, min({RANK}) AS rank FROM named GROUP BY ALL)
-    SELECT identity, string_agg(title || '=' || n, '; ' ORDER BY title) AS titles, CAST(sum(n) AS BIGINT) AS total,
-        CASE min(rank) WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS max_severity
-    FROM per GROUP BY identity"""
+            ELSE 'Internal/Unknown' END AS identity FROM alerts)"""
+
+
+@query(
+    f"""WITH {LOGS}, {ALERTS}, {_NAMED}
+    SELECT identity, count(*) AS total, count(DISTINCT title) AS kinds,
+        CASE min({RANK}) WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS max_severity
+    FROM named GROUP BY identity"""
 )
 def attacker_profiles(spark, sf_dir):
-    profiles = ex.attacker_profiles(alerts_of(spark, sf_dir))
-    pairs = F.transform(F.array_sort(F.map_entries("titles")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
-    return profiles.select("identity", F.array_join(pairs, "; ").alias("titles"), "total", "max_severity")
+    return ex.attacker_profiles(alerts_of(spark, sf_dir)).select("identity", "total", "kinds", "max_severity")
+
+
+@query(f"WITH {LOGS}, {ALERTS}, {_NAMED} SELECT identity, title, count(*) AS alerts FROM named GROUP BY ALL")
+def attacker_titles(spark, sf_dir):
+    return ex.attacker_titles(alerts_of(spark, sf_dir))
 
 
 @query(
