@@ -22,6 +22,7 @@ NAMED_APP = r"(?i)(?:via App|Application:?|App:?)\s*([A-Za-z0-9_\-]+)"
 TAGGED_APP = r"\s([a-zA-Z0-9_\-]+)\[\d+\]:"
 IPV4 = r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b"
 PORT = r"(?i)(?:port\s+|:)([1-9][0-9]{0,4})\b"
+_PORT_LIMIT = 65536
 USER_AFTER_USER = r"(?i)user[= ]+(\S+)"
 USER_AFTER_FOR = r"for (?:invalid user )?(\S+)"
 
@@ -49,8 +50,11 @@ def first_ipv4(message: Column) -> Column:
 
 def first_port(message: Column) -> Column:
     """First port in the message; '' when there is none or it is beyond 65535."""
-    port = F.regexp_extract(message, PORT, 1)
-    return F.when(port.try_cast("int").between(1, 65535), port).otherwise(F.lit(""))
+    # The pattern starts with 1-9, so only the upper end needs a check; each step reads the match once.
+    # Empty text is made NULL before the cast, which is slow on text that is no number.
+    number = present(F.regexp_extract(message, PORT, 1)).try_cast("int")
+    port = F.nullif(F.least(number, F.lit(_PORT_LIMIT)), F.lit(_PORT_LIMIT))
+    return F.coalesce(port.cast("string"), F.lit(""))
 
 
 def message_username(message: Column) -> Column:

@@ -24,14 +24,30 @@ def first_present(*values: Column) -> Column:
     return F.coalesce(*[present(v) for v in values], F.lit(""))
 
 
+def contains_sql(name: str, words: Iterable[str]) -> str:
+    """SQL that is true where column ``name`` contains one of the words as a substring.
+
+    A chain of plain searches is some three times faster than one regular
+    expression with the words as alternatives.
+    """
+    return "(" + " OR ".join(f"contains({name}, '{w}')" for w in words) + ")"
+
+
 def contains_any(value: Column, words: Iterable[str]) -> Column:
-    """True where the text contains one of the words as a substring."""
+    """The same for any expression."""
     return reduce(lambda a, b: a | b, [F.contains(value, F.lit(w)) for w in words])
 
 
+# The characters that count as white space at the ends of a text.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(value: Column) -> Column:
     """Trim white space of every kind, tabs and line ends included."""
-    return F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
+    return F.btrim(value, F.lit(WHITE_SPACE))
 
 
 def last_wins_map(entries: Column) -> Column:

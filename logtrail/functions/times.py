@@ -25,8 +25,8 @@ def iso_timestamp(text: Column) -> Column:
 
 
 def epoch_timestamp(text: Column) -> Column:
-    """Epoch seconds, or milliseconds above 1e12."""
-    number = text.try_cast("double")
+    """Epoch seconds, or milliseconds above 1e12. Text without a leading digit is not even tried."""
+    number = F.when(text.rlike(r"^\s*[+-]?[0-9.]"), text).try_cast("double")
     seconds = F.when(number > 1e12, number / 1000).otherwise(number)
     return F.when(
         seconds.between(_MIN_EPOCH, _MAX_EPOCH), F.timestamp_micros(F.bround(seconds * 1e6, 0).cast("bigint"))

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+RUNTIME_SETTINGS = {"spark.sql.session.timeZone": "UTC", "spark.sql.codegen.hugeMethodLimit": "8000"}
+
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
@@ -16,7 +18,7 @@ def build_session(app_name: str = "logtrail", master: str | None = None, **conf:
     if master:
         builder = builder.master(master)
     settings = {
-        "spark.sql.session.timeZone": "UTC",
+        **RUNTIME_SETTINGS,
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -27,9 +29,15 @@ def build_session(app_name: str = "logtrail", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
-def use_utc(spark: SparkSession) -> None:
-    """Zone-less log times are read as UTC, so the session has to be in UTC."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+def prepare(spark: SparkSession) -> None:
+    """Settings that a session from elsewhere needs.
+
+    Zone-less log times are read as UTC, so the session has to be in UTC. The JVM
+    never compiles methods above 8000 bytes of code; above that limit Spark shall
+    generate smaller ones per expression instead of one per stage.
+    """
+    for key, value in RUNTIME_SETTINGS.items():
+        spark.conf.set(key, value)
 
 
 def staging_root(spark: SparkSession) -> str:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtrail.functions.text import contains_any, strip
+from logtrail.functions.text import contains_sql, strip
 from logtrail.functions.times import syslog_timestamp
 from logtrail.sources.files import with_origin
 
@@ -82,53 +80,52 @@ _SEP = "\x01"
 _GROUPS = _SEP + _SEP.join(f"${i}" for i in range(1, 6))
 
 
-def _split_line(line: Column) -> Column:
-    """[_, timestamp, hostname, process, pid, message] of the first pattern that fits, else NULL.
+def _with_fields(stripped: DataFrame) -> DataFrame:
+    """Add ``_f``: [_, timestamp, hostname, process, pid, message] of the first pattern that fits, else NULL.
 
-    The replacement rewrites a fitting line with separators, so each pattern is
-    evaluated once per line and later patterns only where earlier ones failed.
+    The replacement rewrites a fitting line with separators. A later pattern is
+    tried only where the line is still as it was, and each is evaluated once.
     """
-    tried = [
-        F.nullif(F.regexp_replace(line, "(?Ud)" + pattern, _GROUPS), line)
-        for pattern in (BSD_LINE, ISO_LINE, PLAIN_LINE, EPOCH_LINE)
-    ]
-    return F.split(F.coalesce(*tried), _SEP, 6)
-
-
-def syslog_category(message: Column, process: Column) -> Column:
-    text = F.concat_ws(" ", F.lower(message), F.lower(process))
-    return (
-        F.when(contains_any(text, AUTH_WORDS), "authentication")
-        .when(contains_any(text, NETWORK_WORDS), "network")
-        .when(contains_any(text, FILE_WORDS), "file_access")
-        .otherwise("system")
+    line = F.col("raw_line")
+    tried = stripped.withColumn("_t", F.regexp_replace(line, "(?Ud)" + BSD_LINE, _GROUPS))
+    for pattern in (ISO_LINE, PLAIN_LINE, EPOCH_LINE):
+        again = F.regexp_replace(line, "(?Ud)" + pattern, _GROUPS)
+        tried = tried.withColumn("_t", F.when(F.col("_t") == line, again).otherwise(F.col("_t")))
+    return tried.withColumn("_f", F.when(F.col("_t") != line, F.split("_t", _SEP, 6))).drop("_t")
+
+
+def classify_lines(df: DataFrame) -> DataFrame:
+    """Add ``category``, ``severity_hint`` and ``event_id`` from ``message`` and ``process``."""
+
+    def case(branches: list[tuple[str, str]], default: str) -> str:
+        whens = " ".join(f"WHEN {condition} THEN {value}" for condition, value in branches)
+        return f"CASE {whens} ELSE {default} END" if whens else default
+
+    category = case(
+        [
+            (contains_sql("_text", AUTH_WORDS), "'authentication'"),
+            (contains_sql("_text", NETWORK_WORDS), "'network'"),
+            (contains_sql("_text", FILE_WORDS), "'file_access'"),
+        ],
+        "'system'",
     )
-
-
-def severity_hint(message: Column) -> Column:
-    text = F.lower(message)
-    return (
-        F.when(contains_any(text, WARNING_WORDS), "warning")
-        .when(contains_any(text, CRITICAL_WORDS), "critical")
-        .otherwise("info")
+    hint = case(
+        [(contains_sql("_message", WARNING_WORDS), "'warning'"), (contains_sql("_message", CRITICAL_WORDS), "'critical'")],
+        "'info'",
     )
-
-
-def syslog_event_id(message: Column, process: Column, category: Column) -> Column:
-    """Synthetic event id of a syslog record."""
-    text = {"message": F.lower(message), "process": F.lower(process), "category": category}
-
-    def family_id(outcomes: tuple, default: str) -> Column:
-        return reduce(
-            lambda rest, o: F.when(contains_any(text["message"], o[0]), F.lit(o[1])).otherwise(rest),
-            reversed(outcomes),
-            F.lit(default),
+    families = [
+        (
+            contains_sql({"message": "_message", "process": "_process"}.get(sought, sought), words),
+            case([(contains_sql("_message", w), f"'{event_id}'") for w, event_id in outcomes], f"'{default}'"),
         )
-
-    return reduce(
-        lambda rest, f: F.when(contains_any(text[f[1]], f[0]), family_id(f[2], f[3])).otherwise(rest),
-        reversed(EVENT_ID_FAMILIES),
-        F.lit(OTHER_EVENT_ID),
+        for words, sought, outcomes, default in EVENT_ID_FAMILIES
+    ]
+    lowered = df.withColumns({"_message": F.lower("message"), "_process": F.lower("process")})
+    return (
+        lowered.withColumn("_text", F.concat_ws(" ", "_message", "_process"))
+        .withColumns({"category": F.expr(category), "severity_hint": F.expr(hint)})
+        .withColumn("event_id", F.expr(case(families, f"'{OTHER_EVENT_ID}'")))
+        .drop("_message", "_process", "_text")
     )
 
 
@@ -141,7 +138,7 @@ def parse_syslog(lines: DataFrame, assumed_year: int, ingest_ts: Column | None =
     ingest_ts = F.current_timestamp() if ingest_ts is None else ingest_ts
     others = [c for c in lines.columns if c != "value"]
     stripped = lines.select(*others, strip(F.make_valid_utf8(F.col("value"))).alias("raw_line")).filter("raw_line <> ''")
-    fields = stripped.select("*", _split_line(F.col("raw_line")).alias("_f"))
+    fields = _with_fields(stripped)
 
     def group(i: int) -> Column:
         return F.coalesce(F.col("_f")[i], F.lit(""))
@@ -155,14 +152,8 @@ def parse_syslog(lines: DataFrame, assumed_year: int, ingest_ts: Column | None =
         group(4).alias("pid"),
         F.coalesce(F.col("_f")[5], F.col("raw_line")).alias("message"),
     )
-    categorised = parsed.select(
-        "*",
-        syslog_timestamp(F.col("ts_raw"), assumed_year, ingest_ts).alias("timestamp"),
-        syslog_category(F.col("message"), F.col("process")).alias("category"),
-        severity_hint(F.col("message")).alias("severity_hint"),
-    )
-    return categorised.select(
-        "*", syslog_event_id(F.col("message"), F.col("process"), F.col("category")).alias("event_id")
+    return classify_lines(
+        parsed.withColumn("timestamp", syslog_timestamp(F.col("ts_raw"), assumed_year, ingest_ts))
     )
 
 
