@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, fields
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession
 
 from logtrail.operators.alerts import Detection
 from logtrail.operators.annotate import annotate
@@ -44,19 +47,28 @@ class DetectionConfig:
         return cls(**{k: v for k, v in (config or {}).items() if k in known})
 
 
+def _together(spark: SparkSession, jobs: list[Callable]) -> list:
+    """Results of independent Spark jobs that are submitted at the same time."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return list(pool.map(lambda job: inheritable_thread_target(spark)(job)(), jobs))
+
+
 def run_detectors(timeline: DataFrame, config: DetectionConfig | dict | None = None) -> list[Detection]:
-    """The six detections in their fixed order."""
+    """The six detections in their fixed order; their jobs share the cluster."""
     c = DetectionConfig.of(config)
-    return [
-        detect_brute_force(
-            timeline, c.brute_force_window, c.brute_force_threshold, c.brute_force_entity, c.success_after_only
-        ),
-        detect_new_source(timeline),
-        detect_privilege_escalation(timeline, c.escalation_window, c.escalation_lookahead),
-        detect_file_access(timeline, c.file_access_window, c.file_access_threshold),
-        detect_exfiltration(timeline, c.exfil_bytes_threshold, c.exfil_packet_threshold, c.exfil_window),
-        detect_threats(timeline),
-    ]
+    return _together(
+        timeline.sparkSession,
+        [
+            lambda: detect_brute_force(
+                timeline, c.brute_force_window, c.brute_force_threshold, c.brute_force_entity, c.success_after_only
+            ),
+            lambda: detect_new_source(timeline),
+            lambda: detect_privilege_escalation(timeline, c.escalation_window, c.escalation_lookahead),
+            lambda: detect_file_access(timeline, c.file_access_window, c.file_access_threshold),
+            lambda: detect_exfiltration(timeline, c.exfil_bytes_threshold, c.exfil_packet_threshold, c.exfil_window),
+            lambda: detect_threats(timeline),
+        ],
+    )
 
 
 def correlate(timeline: DataFrame, config: DetectionConfig | dict | None = None) -> Detection:
@@ -64,7 +76,9 @@ def correlate(timeline: DataFrame, config: DetectionConfig | dict | None = None)
     found = run_detectors(timeline, config)
     alerts = reduce(DataFrame.unionByName, [d.alerts for d in found])
     members = reduce(DataFrame.unionByName, [d.members for d in found])
-    return Detection(stage(alerts, "alerts"), stage(members, "alert-events"))
+    return Detection(
+        *_together(timeline.sparkSession, [lambda: stage(alerts, "alerts"), lambda: stage(members, "alert-events")])
+    )
 
 
 @dataclass

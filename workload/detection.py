@@ -53,12 +53,14 @@ def iso(column: str) -> str:
     )
 
 
-def burst_ctes(where: str, key: str, seconds: int, threshold: int, p: str = "") -> str:
+def burst_ctes(
+    where: str, key: str, seconds: int, threshold: int, p: str = "", source: str = "logs", t: str = "epoch_us(timestamp)"
+) -> str:
     """CTEs for greedy windows: a recursive walk over the ranked rows of each key."""
     return f"""
     {p}f AS (
         SELECT *, row_number() OVER (PARTITION BY key ORDER BY t, event_idx) - 1 AS rn
-        FROM (SELECT *, {key} AS key, epoch_us(timestamp) AS t FROM logs WHERE {where})),
+        FROM (SELECT *, {key} AS key, {t} AS t FROM {source} WHERE {where})),
     {p}c AS (
         SELECT key, t, event_idx, rn, count(*) OVER (
             PARTITION BY key ORDER BY t RANGE BETWEEN CURRENT ROW AND {seconds * 1_000_000} FOLLOWING) AS n FROM {p}f),
