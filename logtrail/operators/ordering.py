@@ -54,13 +54,16 @@ def union_sources(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def build_timeline(*frames: DataFrame, partitions: int | None = None) -> DataFrame:
+def build_timeline(*frames: DataFrame, partitions: int | None = None, stage_first: bool = False) -> DataFrame:
     """Merge event frames into one chronological table with a dense ``event_idx``.
 
     Events without a time come first; equal times keep the order of file and row.
-    The result is staged, because six detectors and the explorer read it.
+    The result is staged, because six detectors and the explorer read it. A range
+    sort runs its input twice, once to sample the boundaries; ``stage_first``
+    writes events that are still to be parsed before that, so they are parsed once.
     """
     merged = union_sources(*frames)
+    merged = stage(merged, "events") if stage_first else merged
     order = [F.asc_nulls_first(c) for c in TIMELINE_ORDER if c in merged.columns]
     return with_ordinal(merged, order, "event_idx", "timeline", partitions)
 

@@ -31,7 +31,7 @@ from logtrail.operators.spread import HOT_ROWS, join_groups
 from logtrail.session import stage
 
 GROUP_ROWS = 1_000_000
-FOLD_ANCHORS = 10_000
+FOLD_ANCHORS = 100_000
 BLOCK_ROWS = 1_000_000
 
 

@@ -93,7 +93,7 @@ class Analysis:
 
 def analyze(*frames: DataFrame, config: DetectionConfig | dict | None = None) -> Analysis:
     """Normalised event frames to annotated timeline, alerts and summary."""
-    timeline = build_timeline(*frames)
+    timeline = build_timeline(*frames, stage_first=True)
     found = correlate(timeline, config)
     events = annotate(timeline, found.alerts, found.members)
     return Analysis(events, found.alerts, found.members, summarize(timeline, found.alerts))
