@@ -40,6 +40,16 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(key, value)
 
 
+def spread(df: DataFrame, most: int = 32) -> DataFrame:
+    """Spread an input of very few splits over the cores before costly per-row work.
+
+    Only a small input has fewer splits than cores; a large one is left as it is,
+    so nothing is shuffled at scale.
+    """
+    wanted = min(df.sparkSession.sparkContext.defaultParallelism, most)
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+
+
 def staging_root(spark: SparkSession) -> str:
     """The shared folder for staged tables, as the cluster names it.
 

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtrail.session import prepare
+from logtrail.session import prepare, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -94,12 +94,15 @@ _ADDRESSED = """
 LOGS = f"logs AS (SELECT {_LOG_COLUMNS} FROM ({_ADDRESSED.format(events='events')}) e)"
 
 
-def logs(spark: SparkSession, sf_dir: str, process: str = "") -> DataFrame:
+def logs(spark: SparkSession, sf_dir: str, process: str = "", spread_rows: bool = False) -> DataFrame:
     """Log events; ``event_id`` of the table is dense and in time order, so it serves as ``event_idx``.
 
-    ``process`` names the column to use as the process (``app``), none by default.
+    ``process`` names the column to use as the process (``app``), none by default;
+    ``spread_rows`` spreads a small table over the cores for costly work per row.
     """
+    rows = events(spark, sf_dir)
     out = spark.sql(
-        f"SELECT {_LOG_COLUMNS} FROM ({_ADDRESSED.format(events='{events}')}) e", events=events(spark, sf_dir)
+        f"SELECT {_LOG_COLUMNS} FROM ({_ADDRESSED.format(events='{events}')}) e",
+        events=spread(rows) if spread_rows else rows,
     )
     return out.withColumn("process", F.col(process)) if process else out
