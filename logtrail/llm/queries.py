@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtrail.llm import quality
+from logtrail.llm import parity_join, quality
 from logtrail.llm.tables import documents, fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,3 +25,8 @@ def op2_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir), labels.filter(fold(F.col("doc_id"), 5) != 0)).withColumn(
         "held_out", fold(F.col("doc_id"), 5) == 0
     )
+
+
+@query
+def op5_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.similar_groups(documents(spark, sf_dir))
