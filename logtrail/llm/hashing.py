@@ -25,6 +25,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 _VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: What separates plain words: ASCII apart from letters and digits.
+NO_WORD = np.zeros(256, dtype=bool)
+NO_WORD[:128] = True
+for _a, _b in ((48, 58), (65, 91), (97, 123)):
+    NO_WORD[_a:_b] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -60,18 +65,18 @@ def spans(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return mix((sums[ends] - sums[starts]) * _inverses[starts] + (ends - starts).astype(np.uint64))
 
 
-def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words: runs without ASCII white space."""
-    edge = np.diff(np.concatenate(([True], _SPACE[data], [True])).astype(np.int8))
+def word_bounds(data: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words: runs without ``gaps``, by default ASCII white space."""
+    edge = np.diff(np.concatenate(([True], gaps[data], [True])).astype(np.int8))
     return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
 
 
-def words(text: bytes) -> np.ndarray:
+def words(text: bytes, gaps: np.ndarray = _SPACE) -> np.ndarray:
     """Fingerprints of the words of a text, A-Z lower-cased."""
     if not text:
         return np.empty(0, dtype=np.uint64)
     data = _LOWER[np.frombuffer(text, dtype=np.uint8)]
-    starts, ends = word_bounds(data)
+    starts, ends = word_bounds(data, gaps)
     return spans(prefix_sums(data), starts, ends)
 
 

@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtrail.llm import parity_join, quality
+from logtrail.llm import decontaminate, packing, parity_join, quality
 from logtrail.llm.tables import documents, fold
 
+#: Where the vocabulary files of public tokenizers lie on every machine.
+VOCABULARIES = "/opt/tokenizers"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -30,3 +33,13 @@ def op2_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.similar_groups(documents(spark, sf_dir))
+
+
+@query
+def op1_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query
+def op10_bin_completion_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), f"{VOCABULARIES}/byte_bpe_50k.json")
