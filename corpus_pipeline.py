@@ -11,7 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtrail.llm import quality
+from logtrail.llm import decontaminate, packing, parity_join, quality, suffix_dedup
+from logtrail.llm.queries import VOCABULARIES
 from logtrail.llm.tables import shared_folder
 
 
@@ -22,8 +23,37 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
 
 
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest number."""
+    others = parity_join.similar_groups(docs).filter("component_id <> doc_id").select("doc_id")
+    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the long strings that occur more than once; ``n_chars`` follows the text."""
+    cut = suffix_dedup.without_repeats(docs)
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return cut
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark."""
+    leaking = decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    return docs.join(leaking, "doc_id", "left_anti").select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of the documents and their places in sequences of 2048 tokens."""
+    return packing.pack(docs, f"{VOCABULARIES}/byte_bpe_50k.json")
+
+
 STAGES = [
     ("quality", keep_good),
+    ("near_duplicates", keep_one_of_each_group),
+    ("repeats", cut_repeats),
+    ("benchmark_leaks", drop_leaks),
+    ("packing", pack),
 ]
 
 #: The classifier, the suffix order and the packing have no SQL form; tests hold them to brute force.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtrail.llm import decontaminate, packing, parity_join, quality
+from logtrail.llm import decontaminate, packing, parity_join, quality, suffix_dedup
 from logtrail.llm.tables import documents, fold
 
 #: Where the vocabulary files of public tokenizers lie on every machine.
@@ -43,3 +43,8 @@ def op1_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
 @query
 def op10_bin_completion_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), f"{VOCABULARIES}/byte_bpe_50k.json")
+
+
+@query
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir))
