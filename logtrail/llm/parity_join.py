@@ -11,7 +11,9 @@ drops most of them, and the full sets decide the rest.
 Bands of up to 224 shingles use every block. Larger ones would need as many rows as a
 third of the shingles for a certain hit; there the first 64 of n / 3.5 blocks are used.
 At the threshold each of them agrees with a probability of 0.35, so all 64 miss with
-1e-12, and fewer than four agree with 3e-9: of the order of hash collisions.
+1e-12, and fewer than four agree with 3e-9: of the order of hash collisions. A second
+sketch of up to 128 blocks, a byte each, tells most of the other pairs apart: similar
+sets agree in 38 or more on average and in fewer than ten with about 1e-8.
 
 Pairs inside a component already found are not looked at again. So a group of near
 copies of any size costs about one verified pair per member, and not all its pairs.
@@ -32,8 +34,11 @@ from logtrail.llm.tables import id_and_text, stage
 
 WIDTH = 5
 BLOCKS = 64
+DIGESTS = 128
 _PER_BLOCK = 3.5
-_LEAST_AGREEING = 4
+_SMALL = 64
+_LEAST_SHARED = 4
+_LEAST_AGREEING = 10
 _STEP = np.log(4 / 3)
 
 
@@ -55,25 +60,32 @@ def band_of(size: int) -> int:
     return int(np.floor(np.log(size) / _STEP + 1e-9))
 
 
-def sketch(shingles: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
-    """Join keys of the used, non-empty blocks, and a byte per block (blocks beyond 64 folded in small bands)."""
-    largest = (4 / 3) ** (band + 1)
-    blocks = 256 if largest <= 64 else BLOCKS if largest <= BLOCKS * _PER_BLOCK else int(np.ceil(largest / _PER_BLOCK))
-    block = ((shingles >> np.uint64(32)) % np.uint64(blocks)).astype(np.int64)
-    if blocks > 256 or largest > BLOCKS * _PER_BLOCK:
-        used = block < BLOCKS
-        shingles, block = shingles[used], block[used]
+def _blocks(shingles: np.ndarray, count: int, used: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of ``count`` blocks the first ``used`` that are not empty, and the XOR of the hashes in each."""
+    block = ((shingles >> np.uint64(32)) % np.uint64(count)).astype(np.int64)
+    if used < count:
+        inside = block < used
+        shingles, block = shingles[inside], block[inside]
     order = np.argsort(block, kind="stable")
     block, shingles = block[order], shingles[order]
-    digests = np.zeros(BLOCKS, dtype=np.uint64)
     if not len(block):
-        return np.empty(0, dtype=np.int64), digests.astype(np.uint8)
+        return block, shingles
     first = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
-    values = np.bitwise_xor.reduceat(shingles, first)
-    block = block[first]
+    return block[first], np.bitwise_xor.reduceat(shingles, first)
+
+
+def sketch(shingles: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """Join keys of the used blocks that are not empty, and a byte per block of the second sketch, 0 for empty."""
+    largest = (4 / 3) ** (band + 1)
+    wide = int(np.ceil(largest / _PER_BLOCK))
+    count = 4 * _SMALL if largest <= _SMALL else max(BLOCKS, wide)
+    block, values = _blocks(shingles, count, 4 * _SMALL if largest <= _SMALL else BLOCKS)
     keys = hashing.mix(values + hashing.mix((block + (band << 20)).astype(np.uint64)))
-    np.bitwise_xor.at(digests, block % BLOCKS, values)
-    return keys.view(np.int64), np.where(digests == 0, 0, hashing.mix(digests) | np.uint64(1)).astype(np.uint8)
+    digests = np.zeros(DIGESTS, dtype=np.uint8)
+    block, values = _blocks(shingles, max(DIGESTS, wide), DIGESTS)
+    digests[block] = (hashing.mix(values) | np.uint64(1)).astype(np.uint8)
+    # the last bit of a key tells which of a set's two bands it is of
+    return (keys & ~np.uint64(1) | np.uint64(band & 1)).view(np.int64), digests
 
 
 _SKETCHED = pa.schema(
@@ -139,83 +151,79 @@ def shared_keys(rows: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "key long, set_id long, lead long")
 
 
-def _near(a: np.ndarray, b: np.ndarray, sizes, band) -> tuple[np.ndarray, np.ndarray]:
-    """Agreeing blocks of sketches (last axis), and whether the sets can be similar enough."""
-    same = a == b
-    agree = (same & (a != 0)).sum(axis=-1)
-    small = (4 / 3) ** (band + 1) <= BLOCKS * _PER_BLOCK
-    return agree, np.where(small, BLOCKS - same.sum(axis=-1) <= sizes // 7, agree >= _LEAST_AGREEING)
-
-
-def _sketches(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, BLOCKS)
-
-
-def close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Of the pairs (``u, v``) those that the sketches let pass, with the agreeing blocks."""
-    one, two = (nodes.select(*(F.col(c).alias(c + s) for c in ("set_id", "n", "band", "low", "high"))) for s in ("_u", "_v"))
-    wide = pairs.join(one, F.col("u") == F.col("set_id_u")).join(two, F.col("v") == F.col("set_id_v"))
-    apart = F.col("band_v") - F.col("band_u")
-    wide = wide.filter(F.abs(apart) <= 1).select(
-        "u", "v", (F.col("n_u") + F.col("n_v")).alias("sizes"), F.greatest("band_u", "band_v").alias("band"),
-        F.when(apart > 0, F.col("high_u")).otherwise(F.col("low_u")).alias("a"), F.when(apart < 0, F.col("high_v")).otherwise(F.col("low_v")).alias("b"),
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                agree, ok = _near(_sketches(batch.column(4)), _sketches(batch.column(5)), batch.column(2).to_numpy(), batch.column(3).to_numpy())
-                out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(agree)], ["u", "v", "agree"])
-                yield out.filter(pa.array(ok))
-
-    return wide.mapInArrow(run, "u long, v long, agree long")
-
-
-def across(shared: DataFrame, nodes: DataFrame, labels: DataFrame, best_only: bool) -> DataFrame:
-    """Close pairs (``u > v``) of sets that share a key and are in different components.
-
-    With ``best_only`` only the closest pair of a set and another component under each
-    key. Rows of a key are compared in one task, strip by strip; keys whose sets
-    are all in one component, as most keys of a group of near copies, are left out.
+def _close(sketches: np.ndarray, sizes: np.ndarray, band: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Strips of the matrix of all sets against all: first row, agreeing blocks, and whether the sets can be similar enough."""
+    by_block = np.ascontiguousarray(sketches.T)
+    empty = (sketches == 0).astype(np.float32)
+    largest = (4 / 3) ** (band + 1)
+    strip = max(1, (1 << 20) // len(sizes))
+    for i in range(0, len(sizes), strip):
+        j = slice(i, i + strip)
+        same = np.zeros((len(sizes[j]), len(sizes)), dtype=np.uint8)
+        for values in by_block:
+            same += values[j, None] == values[None, :]
+        agree = same - (empty[j] @ empty.T).astype(np.int16)
+        ok = np.ones(same.shape, dtype=bool)
+        if largest <= DIGESTS * _PER_BLOCK:
+            # with all shingles in the blocks, no more blocks can differ than shingles may
+            ok = DIGESTS - same.astype(np.int64) <= (sizes[j, None] + sizes[None, :]) // 7
+        if largest > _SMALL:
+            ok &= agree >= _LEAST_AGREEING
+        yield i, agree, ok
+
+
+def close_pairs(shared: DataFrame, nodes: DataFrame, labels: DataFrame | None = None, every: bool = False) -> DataFrame:
+    """Pairs ``u > v`` of sets that share a key, may be similar by their sketches and have different labels.
+
+    Of each label the closest pair, or ``every`` pair. Without ``labels`` each set is its
+    own. Rows of one key are compared in one task, strip by strip; keys whose sets all have one
+    label, as most keys of a group of near copies soon do, are left out.
     """
-    named = shared.select("key", "set_id").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
-    named = stage(named.withColumn("label", F.coalesce("label", "set_id")), "named")
-    mixed = named.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("key")
-    rows = named.join(mixed, "key").join(nodes.select("set_id", "n", "band", "low", "high"), "set_id")
-    ordered = rows.select("key", "set_id", "label", "n", "band", "low", "high").repartition("key").sortWithinPartitions("key")
-
-    def pairs(part: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ids, label, size, band = (part.column(i).to_numpy() for i in (1, 2, 3, 4))
-        low, high = _sketches(part.column(5)), _sketches(part.column(6))
+    own = F.pmod("key", F.lit(2)) == F.pmod("band", F.lit(2))
+    rows = shared.select("key", "set_id").join(nodes.select("set_id", "n", "band", "low", "high"), "set_id")
+    rows = rows.select("key", "set_id", "n", F.when(own, F.col("band")).otherwise(F.col("band") + 1).alias("band"), F.when(own, F.col("low")).otherwise(F.col("high")).alias("sketch"))
+    if labels is None:
+        rows = rows.withColumn("label", F.col("set_id"))
+    else:
+        named = shared.select("key", "set_id").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("key", F.coalesce("label", "set_id").alias("label"))
+        mixed = named.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("key")
+        rows = rows.join(mixed, "key").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
+    ordered = rows.select("key", "set_id", "label", "n", "band", "sketch").repartition("key").sortWithinPartitions("key")
+
+    def pairs(part: pa.Table) -> list[np.ndarray]:
+        ids, label, sizes = (part.column(i).to_numpy() for i in (1, 2, 3))
+        sketches = np.frombuffer(b"".join(part.column(5).to_pylist()), dtype=np.uint8).reshape(-1, DIGESTS)
         found = []
-        upper = band.max()
-        sk = np.where((band == upper)[:, None], low, high) if band.min() < upper else low
-        strip = max(1, (1 << 18) // len(ids))
-        for i in range(0, len(ids), strip):
-            j = slice(i, i + strip)
-            agree, ok = _near(sk[j, None, :], sk[None, i:, :], size[j, None] + size[None, i:], upper)
-            ok &= label[j, None] != label[None, i:]
-            x, y = np.nonzero(ok)
-            keep = y > x
-            found.append((x[keep] + i, y[keep] + i, agree[x[keep], y[keep]]))
-        x, y, agree = (np.concatenate(c) for c in zip(*found, strict=True))
-        if best_only and len(x):
-            order = np.argsort(-agree, kind="stable")
-            x, y, agree = x[order], y[order], agree[order]
-            one = np.unique(np.stack((ids[x], label[y])), axis=1, return_index=True)[1]
-            two = np.unique(np.stack((ids[y], label[x])), axis=1, return_index=True)[1]
-            keep = np.union1d(one, two)
-            x, y, agree = x[keep], y[keep], agree[keep]
-        return np.maximum(ids[x], ids[y]), np.minimum(ids[x], ids[y]), agree
+        for i, agree, ok in _close(sketches, sizes, part.column(4)[0].as_py()):
+            ok &= label[i : i + len(ok), None] != label[None, :]
+            if every:
+                x, y = np.nonzero(ok)
+                keep = x + i < y
+                x, y = x[keep], y[keep]
+                found.append((ids[x + i], ids[y], agree[x, y], label[x + i]))
+            else:
+                best = np.where(ok, agree, -1)
+                y = best.argmax(axis=1)
+                x = np.flatnonzero(best[np.arange(len(y)), y] >= 0)
+                found.append((ids[x + i], ids[y[x]], best[x, y[x]], label[x + i]))
+        u, v, agree, of = (np.concatenate(c) for c in zip(*found, strict=True))
+        if not every and len(u):
+            order = np.lexsort((-agree, of))
+            order = order[np.concatenate(([True], of[order][1:] != of[order][:-1]))]
+            u, v, agree, of = u[order], v[order], agree[order], of[order]
+        return [np.maximum(u, v), np.minimum(u, v), agree.astype(np.int64), of]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _groups(batches):
-            u, v, agree = pairs(part)
-            if len(u):
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(agree.astype(np.int64))], ["u", "v", "agree"])
+            columns = pairs(part)
+            if len(columns[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["u", "v", "agree", "label"])
 
-    found = ordered.mapInArrow(run, "u long, v long, agree long")
-    return found.groupBy("u", "v").agg(F.max("agree").alias("agree"))
+    found = ordered.mapInArrow(run, "u long, v long, agree long, label long")
+    if every:
+        return found.select("u", "v").distinct()
+    best = found.groupBy("label").agg(F.max(F.struct("agree", "u", "v")).alias("best"))
+    return best.select("best.u", "best.v").distinct()
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -239,10 +247,8 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
-    """Of the pairs those whose full sets have ``100 * intersection >= threshold * union``."""
-    needed = pairs.select(F.col("u").alias("set_id")).union(pairs.select(F.col("v").alias("set_id"))).distinct()
-    wanted = nodes.join(needed, "set_id", "left_semi").select("set_id", F.col("rep").alias("doc_id"))
+def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``set_id, shingles`` of the nodes, from the text of one of their documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,8 +260,12 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, threshold: int
             yield out.filter(pa.array(meant, type=pa.bool_()))
 
     # a repeated document number may carry another text, which is then not the set that is meant
-    texts = id_and_text(docs).join(wanted, "doc_id").select("set_id", "text")
-    sets = stage(texts.mapInArrow(run, "set_id long, shingles array<long>"), "sets")
+    texts = id_and_text(docs).join(nodes.select("set_id", F.col("rep").alias("doc_id")), "doc_id").select("set_id", "text")
+    return texts.mapInArrow(run, "set_id long, shingles array<long>")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Of the pairs those whose full sets have ``100 * intersection >= threshold * union``."""
     one, two = (sets.select(F.col("set_id").alias(s), F.col("shingles").alias(f"set_{s}")) for s in ("u", "v"))
     both = F.size(F.array_intersect("set_u", "set_v"))
     return pairs.join(one, "u").join(two, "v").filter(100 * both >= threshold * (F.size("set_u") + F.size("set_v") - both)).select("u", "v").distinct()
@@ -279,16 +289,26 @@ def similar_groups(docs: DataFrame, threshold: int = 75) -> DataFrame:
         "nodes",
     )
     shared = stage(shared_keys(rows.filter("n > 0")), "shared")
-    led = shared.filter("set_id <> lead").groupBy(F.col("set_id").alias("u"), F.col("lead").alias("v")).count().select("u", "v")
-    nearest = close(led, nodes).groupBy("u").agg(F.min("v").alias("a"), F.max_by("v", "agree").alias("b"))
-    tried = stage(nearest.select("u", F.explode(F.array("a", "b")).alias("v")).distinct(), "pairs")
-    links = stage(verified(tried, docs, nodes, threshold), "links")
-    for best_only in (True, False):
-        more = across(shared, nodes, components(links), best_only).select("u", "v").join(tried, ["u", "v"], "left_anti")
-        more = stage(more, "pairs")
-        if not more.isEmpty():
-            tried = tried.union(more)
-            links = stage(links.union(verified(more, docs, nodes, threshold)), "links")
+    # similar sets share several keys, so one that shares fewer with all others together has no partner
+    likely = shared.groupBy("set_id").count().join(nodes, "set_id").filter((F.col("count") >= _LEAST_SHARED) | (F.col("n") <= _SMALL))
+    likely = stage(likely.drop("count"), "likely")
+    shared = stage(shared.join(likely.select("set_id"), "set_id"), "shared")
+    tried = stage(close_pairs(shared, likely), "pairs")
+    # a set that is close to none needs no further look
+    alive = tried.select(F.col("u").alias("set_id")).union(tried.select(F.col("v").alias("set_id"))).distinct()
+    likely = stage(likely.join(alive, "set_id", "left_semi"), "alive")
+    shared = stage(shared.join(alive, "set_id", "left_semi"), "shared")
+    sets = stage(full_sets(docs, likely), "sets")
+    links = stage(verified(tried, sets, threshold), "links")
+    # components join along their closest pairs while that finds links; then all pairs between those left
+    every = False
+    while True:
+        pairs = stage(close_pairs(shared, likely, components(links), every).join(tried, ["u", "v"], "left_anti"), "pairs")
+        more = stage(verified(pairs, sets, threshold), "links")
+        tried, links = tried.union(pairs), links.union(more)
+        if every:
+            break
+        every = more.isEmpty()
     named = nodes.join(components(links).withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     named = stage(named.select("set_id", "label", "rep"), "named")
     smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
