@@ -78,6 +78,13 @@ def _texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[bytes]:
         yield text.as_py() or b""
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """Small parts of the batches, so that few rows are Python objects at a time."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)
+
+
 def _sampled(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,7 +104,7 @@ def _with_bytes(ties: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     gram = min(GRAM, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             out = []
             for name, places, text in zip(batch.column("print").to_pylist(), batch.column("places").to_pylist(), _texts(batch), strict=True):
                 if fingerprint(text) != name:
@@ -136,7 +143,7 @@ def _neighbours(ties: DataFrame, by: tuple[str, str], length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, previous, opening = TaskContext.get().partitionId(), None, None
-        for batch in batches:
+        for batch in _slices(batches, 1024):
             out = []
             for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
                 if opening is None:
@@ -188,7 +195,7 @@ def _repeating(ties: DataFrame, length: int) -> DataFrame:
     wide = ties.select("gram", "context", "n", "right", "left").join(again, ["gram", "context"])
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             for g, c, n, right, left, low, high in zip(*(col.to_pylist() for col in batch.columns), strict=True):
                 data = np.frombuffer(left[::-1] + right, dtype=np.uint8)
                 d = np.arange(low, high + 1)
@@ -249,7 +256,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             out = []
             for doc_id, texts, text in zip(batch.column("doc_id").to_pylist(), batch.column("_texts").to_pylist(), _texts(batch), strict=True):
                 gone = _gone(text, texts)
@@ -270,7 +277,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             place = batch.schema.get_field_index("text")
             new = []
             for texts, old, text in zip(batch.column("_texts").to_pylist(), batch.column("text"), _texts(batch), strict=True):
