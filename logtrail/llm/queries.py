@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtrail.llm import compression, decontaminate, packing, parity_join, quality, suffix_dedup
+from logtrail.llm import bpe_count, compression, decontaminate, packing, parity_join, quality, suffix_dedup
 from logtrail.llm.tables import documents, fold
 
 #: Where the vocabulary files of public tokenizers lie on every machine.
@@ -53,3 +53,8 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.rules(documents(spark, sf_dir))
+
+
+@query
+def op8_heap_bpe_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_count.count_tokens(documents(spark, sf_dir), f"{VOCABULARIES}/word_bpe_49k.json")
