@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtrail.llm import bpe_count, compression, decontaminate, language, packing, parity_join, quality, suffix_dedup
+from logtrail.llm import bpe_count, compression, decontaminate, language, license_scan, packing, parity_join, quality, suffix_dedup
 from logtrail.llm.tables import documents, fold
 
 #: Where the vocabulary files of public tokenizers lie on every machine.
@@ -65,3 +65,8 @@ def op7_language_bitmasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     filters = language.fit(docs.filter(fold(F.col("doc_id"), 3) != 1))
     return language.identify(docs, filters).withColumn("held_out", fold(F.col("doc_id"), 3) == 1)
+
+
+@query
+def op9_license_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
