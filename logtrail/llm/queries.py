@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtrail.llm import bpe_count, compression, decontaminate, language, license_scan, packing, parity_join, quality, suffix_dedup
+from logtrail.llm import bpe_count, brown_lm, compression, decontaminate, language, license_scan, packing, parity_join, quality, suffix_dedup
 from logtrail.llm.tables import documents, fold
 
 #: Where the vocabulary files of public tokenizers lie on every machine.
@@ -70,3 +70,10 @@ def op7_language_bitmasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_license_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir))
+
+
+@query
+def op3_brown_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = fold(F.col("doc_id"), 10) == 0
+    return brown_lm.score(docs, docs.filter(~held_out)).withColumn("held_out", held_out)
