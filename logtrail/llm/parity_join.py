@@ -271,6 +271,16 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return pairs.join(one, "u").join(two, "v").filter(100 * both >= threshold * (F.size("set_u") + F.size("set_v") - both)).select("u", "v").distinct()
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, label`` after the labels at the ends of each link have become one."""
+    ends = links
+    for end in ("u", "v"):
+        ends = ends.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}")), end)
+    moves = components(ends.select(F.col("label_u").alias("u"), F.col("label_v").alias("v")))
+    moved = labels.join(moves.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left")
+    return stage(moved.select("node", F.coalesce("to", "label").alias("label")), "labels")
+
+
 def similar_groups(docs: DataFrame, threshold: int = 75) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``.
 
@@ -299,17 +309,15 @@ def similar_groups(docs: DataFrame, threshold: int = 75) -> DataFrame:
     likely = stage(likely.join(alive, "set_id", "left_semi"), "alive")
     shared = stage(shared.join(alive, "set_id", "left_semi"), "shared")
     sets = stage(full_sets(docs, likely), "sets")
-    links = stage(verified(tried, sets, threshold), "links")
-    # components join along their closest pairs while that finds links; then all pairs between those left
-    every = False
-    while True:
-        pairs = stage(close_pairs(shared, likely, components(links), every).join(tried, ["u", "v"], "left_anti"), "pairs")
-        more = stage(verified(pairs, sets, threshold), "links")
-        tried, links = tried.union(pairs), links.union(more)
-        if every:
-            break
-        every = more.isEmpty()
-    named = nodes.join(components(links).withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
+    labels = likely.select(F.col("set_id").alias("node"), F.col("set_id").alias("label"))
+    labels = merged(labels, verified(tried, sets, threshold))
+    # components join along their closest pairs, which leaves few; then all pairs between those left
+    for every in (False, True):
+        pairs = stage(close_pairs(shared, likely, labels, every).join(tried, ["u", "v"], "left_anti"), "pairs")
+        if not pairs.isEmpty():
+            labels = merged(labels, verified(pairs, sets, threshold))
+            tried = tried.union(pairs)
+    named = nodes.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     named = stage(named.select("set_id", "label", "rep"), "named")
     smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     names = stage(named.join(smallest, "label").select("set_id", "component_id"), "names")
