@@ -19,7 +19,7 @@ def event_alerts(alerts: DataFrame, members: DataFrame) -> DataFrame:
     """
     summaries = alerts.select("alert_id", "alert_seq", "rule_name", "severity", "title", "event_count")
     counted = (
-        join_groups(members, summaries, ["alert_id"], "event_count")
+        join_groups(members, summaries, ["alert_id"])
         .groupBy("event_idx", "rule_name", "severity", "title")
         .agg(F.min("alert_seq").alias("seq"), F.count("*").alias("times"))
     )

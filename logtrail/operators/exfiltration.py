@@ -98,7 +98,7 @@ def detect_exfiltration(
     found = stage(suspicious_flows(flows(events), bytes_threshold, packet_threshold, window_seconds), "flows")
     identity = alert_identity("data_exfiltration", F.col("first_idx"), F.col("first_idx"))
     packets = outbound(events).select(*FLOW, "event_idx", "timestamp", "message")
-    members = join_groups(packets, found.select(*FLOW, "first_idx", F.col("packets").alias("size")), FLOW, "size")
+    members = join_groups(packets, found.select(*FLOW, "first_idx"), FLOW)
     line: Column = F.concat(iso_text(F.col("timestamp")), F.lit(" - "), F.left("message", F.lit(80)))
     alerts = found.join(evidence(members, FLOW, line), FLOW).withColumns(
         {

@@ -21,7 +21,6 @@ MIN_RARE_COUNT = 3
 RARE_SHARE = 0.1
 
 SOURCE = ("process", "source_ip")
-_BUSY_ROWS = 1_000_000
 
 
 def source_key(entity: tuple[str, ...] = SOURCE) -> Column:
@@ -57,15 +56,13 @@ def source_profiles(events: DataFrame, entity: tuple[str, ...] = SOURCE) -> Data
 def detect_new_source(events: DataFrame, entity: tuple[str, ...] = SOURCE) -> Detection:
     """One alert per rare source with privileged events."""
     profiles = source_profiles(events, entity)
-    rare = profiles.filter(F.col("rare") & (F.col("privileged") > 0))
-    # Sources too busy to be rare, at most one per _BUSY_ROWS events, are dropped before the join shuffles.
-    busy = profiles.filter(~F.col("rare") & (F.col("n") > _BUSY_ROWS)).select("key")
+    rare = stage(profiles.filter(F.col("rare") & (F.col("privileged") > 0)), "rare-sources")
+    # Rare sources have few events each; their staged table is small enough to broadcast or is not, as measured.
     rows = stage(
         events.select(
             source_key(entity).alias("key"), "event_idx", "timestamp", "event_id", F.left("message", F.lit(80)).alias("message"),
             "source_ip", "username", "hostname", "process", is_privileged().alias("is_privileged"),
         )
-        .join(F.broadcast(busy), "key", "left_anti")
         .join(rare.select("key", "first_idx"), "key"),
         "rare-events",
     )

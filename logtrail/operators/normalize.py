@@ -298,8 +298,11 @@ def normalize_windows(records: DataFrame, ingest_ts: Column | None = None) -> Da
     )
 
 
-def normalize_packets(packets: DataFrame) -> DataFrame:
-    """Packet records to events; a payload size that is no number gives a ``PARSE_ERROR`` event."""
+def normalize_packets(packets: DataFrame, ingest_ts: Column | None = None) -> DataFrame:
+    """Packet records to events; a payload size that is no number gives a ``PARSE_ERROR`` event.
+
+    A record without a time gets ``ingest_ts`` where that is given.
+    """
     protocol = F.coalesce("protocol", F.lit("UNKNOWN"))
     service = F.coalesce("service", protocol)
     src, dst = F.coalesce("src_ip", F.lit("N/A")), F.coalesce("dst_ip", F.lit("N/A"))
@@ -335,7 +338,7 @@ def normalize_packets(packets: DataFrame) -> DataFrame:
     raw = F.create_map(*[x for c in raw_fields for x in (F.lit(c), F.col(c).cast("string"))])
     return to_event_schema(
         packets.select(
-            "timestamp",
+            F.col("timestamp") if ingest_ts is None else F.coalesce("timestamp", ingest_ts).alias("timestamp"),
             unless_bad(
                 F.when(service != "", F.concat(F.lit("network-"), F.lower(service))).otherwise("network"),
                 F.col("source_file"),

@@ -3,23 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000
 
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of rows to the group they belong to.
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Inner join of rows to the group they belong to; ``size`` is the number of rows of a group.
-
-    Groups above ``hot_rows`` are joined by broadcast, so their rows are not
-    shuffled onto one task; there are at most ``rows / hot_rows`` of them. All
-    other groups are small enough for a shuffled join. ``groups`` should be staged,
-    as its largest size is looked up first.
+    Whether the groups fit a broadcast is decided by their measured size
+    (``spark.sql.autoBroadcastJoinThreshold``), never forced. Otherwise both sides are
+    shuffled, and adaptive execution cuts the partition of a hot key into pieces that each
+    meet its one group row; ``build_session`` switches that on.
     """
-    largest = groups.agg(F.max(size)).first()[0] or 0
-    if largest <= hot_rows:
-        return rows.join(groups, keys)
-    hot = groups.filter(F.col(size) > hot_rows)
-    in_hot = rows.join(F.broadcast(hot), keys)
-    elsewhere = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
-    return in_hot.unionByName(elsewhere.join(groups.filter(F.col(size) <= hot_rows), keys))
+    return rows.join(groups, keys)

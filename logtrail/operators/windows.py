@@ -27,11 +27,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logtrail.operators.ordering import in_blocks, with_ordinal
-from logtrail.operators.spread import HOT_ROWS, join_groups
+from logtrail.operators.spread import join_groups
 from logtrail.session import stage
 
 GROUP_ROWS = 1_000_000
-FOLD_ANCHORS = 100_000
+FOLD_ANCHORS = 10_000
 BLOCK_ROWS = 1_000_000
 
 
@@ -198,8 +198,8 @@ def greedy_windows(
     time belong to no window. The size of the ``largest`` key is measured first
     unless given, and decides which of the exact ways is planned.
     """
-    if threshold < 2:
-        raise ValueError("threshold must be at least 2")
+    if threshold < 1:
+        raise ValueError("threshold must be at least 1")
     width = micros(window_seconds)
     timed = rows.filter("t IS NOT NULL").select("key", "t", "event_idx")
     largest = largest_key(rows) if largest is None else largest
@@ -214,14 +214,10 @@ def greedy_windows(
     return pick_by_fold(anchors, width) if most <= fold_anchors else pick_by_halving(anchors, width, block_rows)
 
 
-def window_members(
-    rows: DataFrame, starts: DataFrame, window_seconds: float, largest: int | None = None, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def window_members(rows: DataFrame, starts: DataFrame, window_seconds: float) -> DataFrame:
     """``rows`` that lie in a window, with its ``start`` and ``first_idx``.
 
     A window reaches into its own cell and the next, so its start is sent to both.
-    Only where a key has more than ``hot_rows`` rows can a cell be hot; then cells
-    are counted and the hot ones joined by broadcast.
     """
     width = micros(window_seconds)
 
@@ -230,13 +226,6 @@ def window_members(
 
     own = cell("start")
     reach = starts.select("key", "start", "first_idx", F.explode(F.array(own, own + 1)).alias("_cell"))
-    in_cells = rows.filter("t IS NOT NULL").withColumn("_cell", cell("t"))
-    largest = largest_key(rows) if largest is None else largest
-    if largest <= hot_rows:
-        joined = in_cells.join(reach, ["key", "_cell"])
-    else:
-        counts = in_cells.groupBy("key", "_cell").agg(F.count("*").alias("_size"))
-        sized = stage(reach.join(counts, ["key", "_cell"]), "burst-cells")
-        joined = join_groups(in_cells, sized, ["key", "_cell"], "_size", hot_rows).drop("_size")
+    joined = join_groups(rows.filter("t IS NOT NULL").withColumn("_cell", cell("t")), reach, ["key", "_cell"])
     inside = (F.col("t") >= F.col("start")) & (F.col("t") <= F.col("start") + width)
     return joined.filter(inside).drop("_cell")

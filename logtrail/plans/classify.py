@@ -17,7 +17,7 @@ from pyspark.ml.feature import (
     StopWordsRemover,
     StringIndexer,
 )
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # The labels, and how the models are trained.
@@ -38,13 +38,16 @@ MAX_ITERATIONS = 1000
 _TEXT, _LABEL, _PREDICTED = "_lt_text", "_lt_label", "_lt_predicted"
 
 
-def train(corpus: DataFrame, vocabulary: int = 1 << 20) -> PipelineModel:
+def train(corpus: DataFrame, most_rows: int = 100_000) -> PipelineModel:
     """Fit TF-IDF of words and word pairs with a multinomial logistic regression.
 
-    ``corpus`` has ``text`` and ``label``. Training on every text ten times only
-    weakens the regularisation, so the weight is divided instead of copying rows.
+    ``corpus`` has ``text`` and ``label``. Terms come to the driver, all of them, so the
+    labelled rows are what is bounded: of more than ``most_rows`` those with the
+    smallest hashes are taken. Training on every text ten times only weakens the
+    regularisation, so the weight is divided instead of copying rows.
     """
     named = corpus.select(F.col("text").alias(_TEXT), F.col("label").alias(_LABEL))
+    named = named.orderBy(F.xxhash64(_TEXT, _LABEL), _TEXT, _LABEL).limit(most_rows)
     labels = StringIndexer(inputCol=_LABEL, outputCol="_lt_index", stringOrderType="alphabetAsc").fit(named)
     weight = 1.0 / (INVERSE_REGULARISATION * REPLICAS * max(1, named.count()))
     stages = [
@@ -52,7 +55,7 @@ def train(corpus: DataFrame, vocabulary: int = 1 << 20) -> PipelineModel:
         StopWordsRemover(inputCol="_lt_all", outputCol="_lt_words"),
         NGram(n=2, inputCol="_lt_words", outputCol="_lt_pairs"),
         SQLTransformer(statement="SELECT *, concat(_lt_words, _lt_pairs) AS _lt_terms FROM __THIS__"),
-        CountVectorizer(inputCol="_lt_terms", outputCol="_lt_counts", vocabSize=vocabulary, minDF=1),
+        CountVectorizer(inputCol="_lt_terms", outputCol="_lt_counts", vocabSize=(1 << 31) - 1, minDF=1),
         IDF(inputCol="_lt_counts", outputCol="_lt_weighted"),
         Normalizer(inputCol="_lt_weighted", outputCol="_lt_features", p=2.0),
         LogisticRegression(
@@ -105,10 +108,3 @@ class TextModels:
 def train_models(source_corpus: DataFrame, threat_corpus: DataFrame) -> TextModels:
     return TextModels(train(source_corpus), train(threat_corpus))
 
-
-def train_default(spark: SparkSession) -> TextModels:
-    """Models trained on the small starter corpus."""
-    from logtrail.plans.starter_corpus import SOURCE_TEXTS, THREAT_TEXTS
-
-    schema = "text string, label string"
-    return train_models(spark.createDataFrame(SOURCE_TEXTS, schema), spark.createDataFrame(THREAT_TEXTS, schema))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,30 +39,9 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(key, value)
 
 
-def spread(df: DataFrame, most: int = 32) -> DataFrame:
-    """Spread an input of very few splits over the cores before costly per-row work.
-
-    Only a small input has fewer splits than cores; a large one is left as it is,
-    so nothing is shuffled at scale.
-    """
-    wanted = min(df.sparkSession.sparkContext.defaultParallelism, most)
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
-
-
 def staging_root(spark: SparkSession) -> str:
-    """The shared folder for staged tables, as the cluster names it.
-
-    Only a local session without the setting gets a temporary folder; on a
-    cluster an executor could not read another machine's folder.
-    """
-    root = spark.conf.get(_CHECKPOINT_KEY, None)
-    if root:
-        return root
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {_CHECKPOINT_KEY} to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="logtrail-stage-")
-    spark.conf.set(_CHECKPOINT_KEY, root)
-    return root
+    """The shared folder for staged tables: the one the cluster names, else one below the warehouse."""
+    return spark.conf.get(_CHECKPOINT_KEY, None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_staged"
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

@@ -43,11 +43,11 @@ def to_json_rows(df: DataFrame) -> DataFrame:
 def write_results(events: DataFrame, alerts: DataFrame, members: DataFrame, summary: Summary, path: str) -> None:
     """Write a run as parquet tables under ``path``; events are partitioned by date.
 
-    The timeline is already sorted by time, so each task writes few dates and no
-    shuffle is needed.
+    Annotation leaves the timeline shuffled, so it is range-partitioned by date and index first;
+    a task then writes few dates, and a date that holds most rows is spread over several.
     """
     dated = deliverable(events).withColumn("date", F.to_date("timestamp"))
-    dated.write.mode("overwrite").partitionBy("date").parquet(f"{path}/events")
+    dated.repartitionByRange("date", "event_idx").write.mode("overwrite").partitionBy("date").parquet(f"{path}/events")
     alerts.write.mode("overwrite").parquet(f"{path}/alerts")
     members.write.mode("overwrite").parquet(f"{path}/alert_events")
     parts = {

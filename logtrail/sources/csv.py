@@ -29,7 +29,7 @@ def _delimiter_counts(line: Column) -> list[Column]:
     return [F.length(bare) - F.length(F.replace(bare, F.lit(d), F.lit(""))) for d in DELIMITERS]
 
 
-def inspect_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def inspect_files(spark: SparkSession, paths: str | list[str], **options) -> DataFrame:
     """One row per file: path, header line, delimiter, and whether it needs a multi-line scan.
 
     The delimiter is the candidate of the header line whose number of occurrences
@@ -37,7 +37,7 @@ def inspect_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     Files small enough for one task are read multi-line anyway; for larger ones a
     physical line with an odd number of quotes shows that fields span lines.
     """
-    lines = spark.read.text(paths).select(
+    lines = spark.read.options(**options).text(paths).select(
         "value",
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_size").alias("file_size"),
@@ -84,7 +84,7 @@ def inspect_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def _read_group(
-    spark: SparkSession, files: list[str], delimiter: str, header: str, multi_line: bool, file_seq: int
+    spark: SparkSession, files: list[str], delimiter: str, header: str, multi_line: bool, file_seq: int, identity: str
 ) -> DataFrame:
     names = [clean_header(cell) for cell in _header_cells(header, delimiter)]
     names = [f"{name}_" if name in ORIGIN_COLUMNS else name for name in names]
@@ -100,7 +100,7 @@ def _read_group(
     cells = [F.coalesce(strip(F.col(f"_c{i}")), F.lit("")).alias(name) for name, i in position.items() if name]
     return raw.select(
         *cells,
-        F.col("_metadata.file_name").alias("source_file"),
+        F.col(f"_metadata.{identity}").alias("source_file"),
         F.lit(file_seq).alias("file_seq"),
         row_order().alias("row_no"),
     )
@@ -121,7 +121,12 @@ def _header_cells(header: str, delimiter: str) -> list[str]:
 
 
 def read_csv(
-    spark: SparkSession, paths: str | list[str], file_seq: int = 0, delimiter: str | None = None
+    spark: SparkSession,
+    paths: str | list[str],
+    file_seq: int = 0,
+    delimiter: str | None = None,
+    identity: str = "file_name",
+    **options,
 ) -> list[DataFrame]:
     """Read delimited files; one frame per distinct header and delimiter.
 
@@ -129,7 +134,7 @@ def read_csv(
     stay apart because the column order of a record matters to its message
     fallback. Only file names and header lines pass through the driver.
     """
-    inspected = inspect_files(spark, paths)
+    inspected = inspect_files(spark, paths, **options)
     if delimiter is not None:
         inspected = inspected.withColumn("delimiter", F.lit(delimiter))
     groups = (
@@ -138,4 +143,4 @@ def read_csv(
         .orderBy(F.col("files")[0])
         .collect()
     )
-    return [_read_group(spark, g.files, g.delimiter, g.header, g.multi_line, file_seq) for g in groups]
+    return [_read_group(spark, g.files, g.delimiter, g.header, g.multi_line, file_seq, identity) for g in groups]

@@ -20,11 +20,15 @@ def row_order() -> Column:
     return F.shiftleft(block, POSITION_BITS) + position
 
 
-def with_origin(df: DataFrame, file_seq: int = 0) -> DataFrame:
-    """Add ``source_file``, ``file_seq`` and ``row_no`` to a frame just read from files."""
+def with_origin(df: DataFrame, file_seq: int = 0, identity: str = "file_name") -> DataFrame:
+    """Add ``source_file``, ``file_seq`` and ``row_no`` to a frame just read from files.
+
+    ``identity`` is what ``source_file`` holds: ``file_name``, or ``file_path`` where files
+    of several folders are told apart.
+    """
     return df.select(
         "*",
-        F.col("_metadata.file_name").alias("source_file"),
+        F.col(f"_metadata.{identity}").alias("source_file"),
         F.lit(file_seq).alias("file_seq"),
         row_order().alias("row_no"),
     )

@@ -13,6 +13,7 @@ from logtrail.operators.normalize import (
     normalize_syslog,
     normalize_windows,
 )
+from logtrail.operators.ordering import with_ordinal
 from logtrail.sources.csv import read_csv
 from logtrail.sources.packets import read_captures, read_packet_table
 from logtrail.sources.syslog import read_syslog
@@ -32,7 +33,6 @@ EXTENSION_KINDS = {
 # Known log formats whose binary container Spark cannot read; they are rejected with a hint.
 UNREADABLE = {".evtx": "export the events as XML", ".pcapng": "convert the capture to .pcap"}
 
-_ORDERED_FILES = 256
 _EXTENSION = r"(\.[^./\\]+)$"
 
 
@@ -43,18 +43,30 @@ def supported_extensions(spark: SparkSession) -> DataFrame:
 
 
 def list_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Path, name and size of every file under the paths; contents are not read."""
+    """Path, name and size of every file under the paths; contents are not read.
+
+    ``path`` is how a reader names the file, ``file_path`` how the rows read from it do.
+    """
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .load(paths)
-        .select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"))
+        .select(
+            "path",
+            F.element_at(F.split("path", "/"), -1).alias("name"),
+            F.col("length").alias("size"),
+            F.col("_metadata.file_path").alias("file_path"),
+        )
     )
 
 
 def dedupe_inputs(files: DataFrame) -> DataFrame:
-    """One file per (name, size): the first path."""
-    return files.groupBy("name", "size").agg(F.min("path").alias("path"))
+    """One file per (name, size), the first path: what an upload dialog takes for the same file.
+
+    A folder scan must not use it unasked: logs of several hosts often agree in both.
+    """
+    others = [c for c in files.columns if c not in ("name", "size")]
+    return files.groupBy("name", "size").agg(F.min_by(F.struct(*others), "path").alias("f")).select("name", "size", "f.*")
 
 
 def _lookup(table: dict[str, str], key: Column) -> Column:
@@ -88,10 +100,10 @@ def plan_inputs(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 @dataclass
 class LogInputs:
-    """Normalised events per input group, the rejected files and the failed groups."""
+    """Normalised events per input group, the files left out with the reason, and the failed groups."""
 
     frames: list[DataFrame] = field(default_factory=list)
-    rejected: list[tuple[str, str]] = field(default_factory=list)
+    rejected: DataFrame | None = None
     failed: list[tuple[str, str]] = field(default_factory=list)
 
     def file_counts(self) -> DataFrame:
@@ -117,47 +129,82 @@ def read_logs(
     assumed_year: int,
     ingest_ts: Column | None = None,
     models=None,
+    skip_same_name_and_size: bool = False,
 ) -> LogInputs:
     """Read and normalise every supported file under ``paths``.
 
-    Files are grouped by kind and each group is one scan, so the plan grows with
-    the number of formats, not of files. Corrupt files inside a group are skipped
-    when ``spark.sql.files.ignoreCorruptFiles`` is set; a group that cannot be
-    planned at all is reported in ``failed`` and the others go on.
+    Files are grouped by extension and each group is one scan by name pattern, so plan and
+    driver grow with the number of formats, not of files. Every file is read; only
+    with ``skip_same_name_and_size`` are later files of the same name and size left out, and then
+    listed in ``rejected``. A file's place decides ties in time: the position of the argument it
+    lies under, then kind, extension and path, by one rule for any number of files. Corrupt files
+    inside a group are skipped when ``spark.sql.files.ignoreCorruptFiles`` is set; a
+    group that cannot be planned at all is reported in ``failed`` and the others go on.
     """
     ingest_ts = F.current_timestamp() if ingest_ts is None else ingest_ts
-    accepted, rejected = plan_inputs(dedupe_inputs(list_files(spark, paths)))
-    out = LogInputs(rejected=[(r.path, r.reason) for r in rejected.select("path", "reason").collect()])
-    place = _argument_order(paths)
-    groups = (
-        accepted.groupBy("kind", "extension").agg(F.sort_array(F.collect_list("path")).alias("files")).collect()
-    )
-    for seq, group in enumerate(sorted(groups, key=lambda g: (g.kind, g.extension))):
+    accepted, rejected = plan_inputs(list_files(spark, paths))
+    out = LogInputs(rejected=rejected.select("path", "reason"))
+    skipped = None
+    if skip_same_name_and_size:
+        skipped = accepted.join(dedupe_inputs(accepted).select("path"), "path", "left_anti")
+        accepted = accepted.join(skipped.select("path"), "path", "left_anti")
+        out.rejected = out.rejected.union(skipped.select("path", F.lit("Same name and size as another file").alias("reason")))
+    places = _file_places(accepted, paths)
+    # One row per extension.
+    groups = sorted((r.kind, r.extension) for r in accepted.select("kind", "extension").distinct().collect())
+    for kind, extension in groups:
         try:
-            frames = _read_group(spark, group, seq, assumed_year, ingest_ts, models)
-            out.frames += [f if place is None else f.withColumn("file_seq", place) for f in frames]
+            frames = _read_group(spark, paths, kind, extension, assumed_year, ingest_ts, models)
+            out.frames += [_placed(f, places) for f in frames]
         except Exception as exc:  # noqa: BLE001  one bad group must not stop the others
-            out.failed.append((f"{group.kind}: {len(group.files)} file(s)", str(exc)))
+            out.failed.append((f"{kind}: {extension} file(s)", str(exc)))
     if not out.frames:
-        raise ValueError(f"No records could be read; rejected: {out.rejected}, failed: {out.failed}")
+        reasons = [tuple(r) for r in out.rejected.limit(10).collect()]
+        raise ValueError(f"No records could be read; rejected: {reasons}, failed: {out.failed}")
     return out
 
 
-def _argument_order(paths: str | list[str]) -> Column | None:
-    """Position of a row's file in a short explicit list of files, which decides ties in time."""
-    names = [p.rstrip("/").rsplit("/", 1)[-1] for p in paths] if isinstance(paths, list) else []
-    if not names or len(names) > _ORDERED_FILES or not all("." in n for n in names):
-        return None
-    return F.array_position(F.array(*[F.lit(n) for n in names]), F.col("source_file")).cast("int")
-
-
-def _read_group(spark, group, seq: int, assumed_year: int, ingest_ts: Column, models) -> list[DataFrame]:
-    if group.kind == "csv":
-        return [normalize_csv(f, ingest_ts, models) for f in read_csv(spark, group.files, seq)]
-    if group.kind == "syslog":
-        return [normalize_syslog(read_syslog(spark, group.files, assumed_year, ingest_ts, seq), models)]
-    if group.kind == "windows":
-        return [normalize_windows(read_windows_events(spark, group.files, seq), ingest_ts)]
-    if group.kind == "capture":
-        return [normalize_packets(read_captures(spark, group.files, seq))]
-    return [normalize_packets(read_packet_table(spark, group.files, group.extension[1:], seq))]
+def _qualified(spark: SparkSession, path: str) -> str:
+    """An argument as the file listing writes paths."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+
+
+def _file_places(files: DataFrame, paths: str | list[str]) -> DataFrame:
+    """``file_path, name, place``: a dense rank of every file, by the argument it lies under and its path."""
+    spark = files.sparkSession
+    listed = [paths] if isinstance(paths, str) else paths
+    places = [(_qualified(spark, p), k) for k, p in enumerate(listed) if not set(p) & set("*?[{")]
+    arguments = spark.createDataFrame(places, "above string, position long").groupBy("above").agg(F.min("position").alias("position"))
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    under = files.select("path", F.explode(above).alias("above")).join(arguments, "above").groupBy("path").agg(F.min("position").alias("position"))
+    order = [F.asc_nulls_last("position"), F.col("kind"), F.col("extension"), F.col("path")]
+    wide = files.select("path", "file_path", "name", "kind", "extension").join(under, "path", "left")
+    return with_ordinal(wide, order, "place", "files").select("file_path", "name", "place")
+
+
+def _placed(events: DataFrame, places: DataFrame) -> DataFrame:
+    """Events whose ``source_file`` is a path, with the file's place as ``file_seq`` and its name for display.
+
+    The place tells files of one name apart in the order; files that were left out have none.
+    """
+    found = events.withColumnRenamed("source_file", "_path").join(places, F.col("_path") == F.col("file_path"))
+    named = {"source": F.when(F.col("source") == F.col("_path"), F.col("name")).otherwise(F.col("source")), "source_file": F.col("name")}
+    return found.withColumns(named | {"file_seq": F.col("place").cast("int")}).select(events.columns)
+
+
+def _read_group(
+    spark, paths: str | list[str], kind: str, extension: str, assumed_year: int, ingest_ts: Column, models
+) -> list[DataFrame]:
+    pattern = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in extension)
+    how = {"identity": "file_path", "recursiveFileLookup": True, "pathGlobFilter": f"*{pattern}"}
+    if kind == "csv":
+        return [normalize_csv(f, ingest_ts, models) for f in read_csv(spark, paths, **how)]
+    if kind == "syslog":
+        return [normalize_syslog(read_syslog(spark, paths, assumed_year, ingest_ts, **how), models)]
+    if kind == "windows":
+        return [normalize_windows(read_windows_events(spark, paths, **how), ingest_ts)]
+    if kind == "capture":
+        return [normalize_packets(read_captures(spark, paths, **how), ingest_ts)]
+    return [normalize_packets(read_packet_table(spark, paths, extension[1:], **how), ingest_ts)]

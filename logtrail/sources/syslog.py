@@ -163,6 +163,9 @@ def read_syslog(
     assumed_year: int,
     ingest_ts: Column | None = None,
     file_seq: int = 0,
+    identity: str = "file_name",
+    **options,
 ) -> DataFrame:
-    """Read and parse syslog files; large files are split across tasks."""
-    return parse_syslog(with_origin(spark.read.text(paths), file_seq), assumed_year, ingest_ts)
+    """Read and parse syslog files; large files are split across tasks. ``options`` go to the reader."""
+    lines = spark.read.options(**options).text(paths)
+    return parse_syslog(with_origin(lines, file_seq, identity), assumed_year, ingest_ts)

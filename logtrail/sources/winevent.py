@@ -52,11 +52,13 @@ def _user_data(fragment: Column) -> Column:
     return last_wins_map(entries)
 
 
-def read_windows_events(spark: SparkSession, paths: str | list[str], file_seq: int = 0) -> DataFrame:
-    """Read ``<Event>`` elements; an unreadable one becomes a ``parse_error`` record."""
+def read_windows_events(
+    spark: SparkSession, paths: str | list[str], file_seq: int = 0, identity: str = "file_name", **options
+) -> DataFrame:
+    """Read ``<Event>`` elements; an unreadable one becomes a ``parse_error`` record. ``options`` go to the reader."""
     raw = (
         spark.read.format("xml")
-        .options(rowTag="Event", mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record")
+        .options(rowTag="Event", mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record", **options)
         .schema(EVENT_XML_SCHEMA)
         .load(paths)
     )
@@ -77,7 +79,7 @@ def read_windows_events(spark: SparkSession, paths: str | list[str], file_seq: i
         _event_data(F.when(~bad, F.col("EventData.Data"))).alias("event_data"),
         _user_data(F.when(~bad, F.col("UserData"))).alias("user_data"),
         F.when(bad, F.concat(F.lit("Failed to parse record: "), F.left("_corrupt_record", F.lit(200)))).alias("error"),
-        F.col("_metadata.file_name").alias("source_file"),
+        F.col(f"_metadata.{identity}").alias("source_file"),
         F.lit(file_seq).alias("file_seq"),
         row_order().alias("row_no"),
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from logtrail.functions.text import strip
 from logtrail.operators.normalize import normalize_csv, normalize_syslog
 from logtrail.sources.csv import clean_header
 from logtrail.sources.files import POSITION_BITS
@@ -47,7 +48,7 @@ def ingest(
         names = [clean_header(c) for c in csv_header]
         schema = ", ".join(f"`{c}` STRING" for c in names)
         reader = spark.readStream.format("csv").schema(schema).options(header=True, sep=delimiter, escape='"')
-        cells = [F.trim(F.coalesce(f"`{c}`", F.lit(""))).alias(c) for c in names]
+        cells = [F.coalesce(strip(F.col(f"`{c}`")), F.lit("")).alias(c) for c in names]
         stream = reader.load(landing).select(*cells, *origin)
 
     def write(batch: DataFrame, batch_id: int) -> None:

@@ -1,23 +1,40 @@
+from itertools import product
+
 from pyspark.sql import functions as F
 
 from logtrail.functions.messages import APPLICATION_NAMES
 from logtrail.operators.normalize import normalize_csv
-from logtrail.plans.classify import SOURCE_LABELS, THREAT_LABELS, TextModels, train_default
-from logtrail.plans.starter_corpus import SOURCE_TEXTS, THREAT_TEXTS
+from logtrail.plans.classify import SOURCE_LABELS, TextModels, train, train_models
+
+# Labelled texts made from a few templates and fillers.
+SOURCES = {
+    "nginx_access": "{ip} GET /{word} HTTP/2 status 200 upstream {word}",
+    "linux_auth": "sshd pam session for {word} from {ip} publickey",
+    "db_mysql": "mysqld slow query table {word} lock wait {ip}",
+}
+THREATS = {
+    "benign": "GET /{word}/list page {ip}",
+    "sql_injection": "GET /{word}?id=7 UNION ALL SELECT password FROM {word} -- {ip}",
+    "xss": "POST /{word} comment <script>document.location={ip}</script> {word}",
+}
+FILLERS = tuple(product(("10.0.0.1", "10.2.3.4", "192.0.2.9"), ("shop", "report", "invoice", "photo")))
+
+
+def corpus(spark, templates):
+    rows = [(t.format(ip=ip, word=word), label) for label, t in templates.items() for ip, word in FILLERS]
+    return spark.createDataFrame(rows, "text string, label string")
 
 
 def test_models_label_their_corpus_and_drive_events(spark, tmp_path):
-    assert {label for _, label in SOURCE_TEXTS} == set(SOURCE_LABELS)
-    assert {label for _, label in THREAT_TEXTS} == set(THREAT_LABELS)
-    models = train_default(spark)
+    sources, threats = corpus(spark, SOURCES), corpus(spark, THREATS)
+    models = train_models(sources, threats)
     models.save(str(tmp_path / "models"))
     models = TextModels.load(str(tmp_path / "models"))
-    for texts, column in ((SOURCE_TEXTS, "source_label"), (THREAT_TEXTS, "threat_type")):
-        df = spark.createDataFrame(texts, "message string, expected string")
-        agree = models.label(df, "message").filter(F.col(column) == F.col("expected")).count()
-        assert agree >= 0.9 * len(texts)
+    for texts, column in ((sources, "source_label"), (threats, "threat_type")):
+        assert models.label(texts, "text").filter(F.col(column) != F.col("label")).isEmpty()
     row = spark.createDataFrame(
-        [("GET /item?id=3' OR '2'='2 HTTP/1.1", "w.csv", 0, 0)], "message string, source_file string, file_seq int, row_no long"
+        [("GET /photo?id=9 UNION ALL SELECT password FROM photo -- 10.9.9.9", "w.csv", 0, 0)],
+        "message string, source_file string, file_seq int, row_no long",
     )
     event = normalize_csv(row, models=models).first()
     assert (event.threat_type, event.severity) == ("sql_injection", "critical")
@@ -25,6 +42,11 @@ def test_models_label_their_corpus_and_drive_events(spark, tmp_path):
     assert event.details.endswith("AI THREAT: SQL_INJECTION")
 
 
+def test_fit_is_bounded_by_rows_and_not_by_terms(spark):
+    terms = train(corpus(spark, SOURCES)).stages[4].vocabulary
+    assert len(train(corpus(spark, SOURCES), most_rows=6).stages[4].vocabulary) < len(terms)
+
+
 def test_without_models(spark):
     df = spark.createDataFrame([("x",)], "message string")
     row = TextModels().label(df, "message").first()

@@ -246,9 +246,26 @@ def test_routing_and_reading_a_mixed_folder(spark, tmp_path):
     assert reasons["d.exe"].startswith("Unsupported file type: '.exe'. Supported types: .csv")
     assert "export the events as XML" in reasons["e.evtx"]
     inputs = read_logs(spark, str(tmp_path), 2026, now())
-    assert len(inputs.rejected) == 2 and not inputs.failed
+    assert inputs.rejected.count() == 2 and not inputs.failed
     counts = {r.source_file: r.records for r in file_counts(inputs.union()).collect()}
-    assert counts == {"a.LOG": 2, "b.csv": 1, "c.xml": 2}
+    assert counts == {"a.LOG": 2, "b.csv": 2, "c.xml": 2}
+    once = read_logs(spark, str(tmp_path), 2026, now(), skip_same_name_and_size=True)
+    assert {r.source_file: r.records for r in file_counts(once.union()).collect()} == {"a.LOG": 2, "b.csv": 1, "c.xml": 2}
+    assert [r.reason for r in once.rejected.collect() if r.path.endswith("sub/b.csv")] == ["Same name and size as another file"]
     with pytest.raises(ValueError):
         read_logs(spark, str(tmp_path / "d.exe"), 2026, now())
     assert ".csv" in [r.extension for r in supported_extensions(spark).collect()]
+
+
+def test_equal_names_stay_apart_and_arguments_keep_their_order(spark, tmp_path):
+    line = "Apr 10 08:00:00 h app: host %d\n"
+    for k in range(300):
+        (tmp_path / f"h{k:03d}").mkdir()
+        (tmp_path / f"h{k:03d}" / "auth.log").write_text(line % (100 + k))
+    folders = [str(tmp_path / f"h{k:03d}") for k in reversed(range(300))]
+    events = read_logs(spark, folders, 2026, now()).union()
+    rows = events.orderBy("timestamp", "file_seq", "source_file", "row_no").collect()
+    assert [r.message for r in rows] == [f"[app] host {100 + k}" for k in reversed(range(300))]
+    assert {r.source_file for r in rows} == {"auth.log"} and len({r.file_seq for r in rows}) == 300
+    tree = read_logs(spark, str(tmp_path), 2026, now()).union().orderBy("timestamp", "file_seq").collect()
+    assert [r.message for r in tree] == [f"[app] host {100 + k}" for k in range(300)]
