@@ -39,6 +39,8 @@ _PER_BLOCK = 3.5
 _SMALL = 64
 _LEAST_SHARED = 4
 _LEAST_AGREEING = 10
+#: Rows of a key up to which its pairs are compared together with those of other keys.
+_FEW = 48
 _STEP = np.log(4 / 3)
 
 
@@ -151,24 +153,40 @@ def shared_keys(rows: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "key long, set_id long, lead long")
 
 
-def _close(sketches: np.ndarray, sizes: np.ndarray, band: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Strips of the matrix of all sets against all: first row, agreeing blocks, and whether the sets can be similar enough."""
+def _similar(same: np.ndarray, empty: np.ndarray, sizes: np.ndarray, band) -> tuple[np.ndarray, np.ndarray]:
+    """Agreeing blocks, of those equal and those empty in both, and whether sets of this joint size can be similar enough."""
+    agree = same - empty
+    largest = (4 / 3) ** (band + 1)
+    # with all shingles in the blocks, no more blocks can differ than shingles may
+    possible = (largest > DIGESTS * _PER_BLOCK) | (DIGESTS - same <= sizes // 7)
+    return agree, possible & ((largest <= _SMALL) | (agree >= _LEAST_AGREEING))
+
+
+def _pairs_of_small(sketches: np.ndarray, sizes: np.ndarray, band: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The similar pairs (rows, agreeing blocks) within groups of few rows; ``ends`` is each row's end of group."""
+    found = []
+    place = np.arange(len(ends))
+    for apart in range(1, int((ends - place).max(initial=1))):
+        x = np.flatnonzero(place + apart < ends)
+        y = x + apart
+        a, b = sketches[x], sketches[y]
+        same = (a == b).sum(axis=1)
+        agree, ok = _similar(same, ((a | b) == 0).sum(axis=1), sizes[x] + sizes[y], band[x])
+        found.append((x[ok], y[ok], agree[ok]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (place[:0],) * 3
+
+
+def _pairs_of_large(sketches: np.ndarray, sizes: np.ndarray, band: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of one large group the first row, agreeing blocks and similarity of strips of the matrix of all rows against all."""
     by_block = np.ascontiguousarray(sketches.T)
     empty = (sketches == 0).astype(np.float32)
-    largest = (4 / 3) ** (band + 1)
     strip = max(1, (1 << 20) // len(sizes))
     for i in range(0, len(sizes), strip):
         j = slice(i, i + strip)
         same = np.zeros((len(sizes[j]), len(sizes)), dtype=np.uint8)
         for values in by_block:
             same += values[j, None] == values[None, :]
-        agree = same - (empty[j] @ empty.T).astype(np.int16)
-        ok = np.ones(same.shape, dtype=bool)
-        if largest <= DIGESTS * _PER_BLOCK:
-            # with all shingles in the blocks, no more blocks can differ than shingles may
-            ok = DIGESTS - same.astype(np.int64) <= (sizes[j, None] + sizes[None, :]) // 7
-        if largest > _SMALL:
-            ok &= agree >= _LEAST_AGREEING
+        agree, ok = _similar(same.astype(np.int16), (empty[j] @ empty.T).astype(np.int16), sizes[j, None] + sizes[None, :], band)
         yield i, agree, ok
 
 
@@ -190,34 +208,47 @@ def close_pairs(shared: DataFrame, nodes: DataFrame, labels: DataFrame | None =
         rows = rows.join(mixed, "key").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     ordered = rows.select("key", "set_id", "label", "n", "band", "sketch").repartition("key").sortWithinPartitions("key")
 
-    def pairs(part: pa.Table) -> list[np.ndarray]:
-        ids, label, sizes = (part.column(i).to_numpy() for i in (1, 2, 3))
-        sketches = np.frombuffer(b"".join(part.column(5).to_pylist()), dtype=np.uint8).reshape(-1, DIGESTS)
-        found = []
-        for i, agree, ok in _close(sketches, sizes, part.column(4)[0].as_py()):
+    def best(u: np.ndarray, v: np.ndarray, agree: np.ndarray, label: np.ndarray) -> list[np.ndarray]:
+        """The closest pair of each label."""
+        order = np.lexsort((-agree, label))
+        order = order[np.concatenate(([True], label[order][1:] != label[order][:-1]))] if len(order) else order
+        return [u[order], v[order], agree[order], label[order]]
+
+    def small(ids, label, sizes, band, sketches, ends) -> list[np.ndarray]:
+        x, y, agree = _pairs_of_small(sketches, sizes, band, ends)
+        keep = label[x] != label[y]
+        x, y, agree = x[keep], y[keep], agree[keep]
+        if every:
+            return [ids[x], ids[y], agree, label[x]]
+        return best(np.append(ids[x], ids[y]), np.append(ids[y], ids[x]), np.append(agree, agree), np.append(label[x], label[y]))
+
+    def large(ids, label, sizes, band, sketches) -> Iterator[list[np.ndarray]]:
+        for i, agree, ok in _pairs_of_large(sketches, sizes, band[0]):
             ok &= label[i : i + len(ok), None] != label[None, :]
             if every:
                 x, y = np.nonzero(ok)
-                keep = x + i < y
-                x, y = x[keep], y[keep]
-                found.append((ids[x + i], ids[y], agree[x, y], label[x + i]))
+                x, y = x[x + i < y], y[x + i < y]
             else:
-                best = np.where(ok, agree, -1)
-                y = best.argmax(axis=1)
-                x = np.flatnonzero(best[np.arange(len(y)), y] >= 0)
-                found.append((ids[x + i], ids[y[x]], best[x, y[x]], label[x + i]))
-        u, v, agree, of = (np.concatenate(c) for c in zip(*found, strict=True))
-        if not every and len(u):
-            order = np.lexsort((-agree, of))
-            order = order[np.concatenate(([True], of[order][1:] != of[order][:-1]))]
-            u, v, agree, of = u[order], v[order], agree[order], of[order]
-        return [np.maximum(u, v), np.minimum(u, v), agree.astype(np.int64), of]
+                agree = np.where(ok, agree, -1)
+                y = agree.argmax(axis=1)
+                x = np.flatnonzero(agree[np.arange(len(y)), y] >= 0)
+                y = y[x]
+            found = [ids[x + i], ids[y], agree[x, y], label[x + i]]
+            yield found if every else best(*found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _groups(batches):
-            columns = pairs(part)
-            if len(columns[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["u", "v", "agree", "label"])
+        for key, *columns in _whole_groups(batches):
+            begins = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            counts = np.diff(np.append(begins, len(key)))
+            few = np.repeat(counts <= _FEW, counts)
+            ends = np.cumsum(np.where(counts <= _FEW, counts, 0))
+            found = [small(*(c[few] for c in columns), np.repeat(ends[counts <= _FEW], counts[counts <= _FEW]))]
+            for begin, count in zip(begins[counts > _FEW], counts[counts > _FEW], strict=True):
+                found += large(*(c[begin : begin + count] for c in columns))
+            u, v, agree, label = (np.concatenate(c) for c in zip(*found, strict=True))
+            if len(u):
+                out = [np.maximum(u, v), np.minimum(u, v), agree.astype(np.int64), label]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["u", "v", "agree", "label"])
 
     found = ordered.mapInArrow(run, "u long, v long, agree long, label long")
     if every:
@@ -226,25 +257,23 @@ def close_pairs(shared: DataFrame, nodes: DataFrame, labels: DataFrame | None =
     return best.select("best.u", "best.v").distinct()
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The runs of equal first column of sorted batches."""
-    held: list[pa.RecordBatch] = []
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Sorted batches as arrays (the last column as sketches), cut so that no run of the first column is split."""
+    held: list[list[np.ndarray]] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        key = batch.column(0).to_numpy()
-        cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
-        if held and held[-1].column(0)[0].as_py() != key[0]:
-            yield pa.Table.from_batches(held)
+        sketches = np.frombuffer(b"".join(batch.column(batch.num_columns - 1).to_pylist()), dtype=np.uint8).reshape(-1, DIGESTS)
+        columns = [*(c.to_numpy() for c in batch.columns[:-1]), sketches]
+        key = columns[0]
+        cut = int(np.searchsorted(key, key[-1]))
+        if cut or held and held[-1][0][-1] != key[-1]:
+            held.append([c[:cut] for c in columns])
+            yield [np.concatenate(c) for c in zip(*held, strict=True)]
             held = []
-        edges = [0, *cuts.tolist(), len(key)]
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            if a:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
+        held.append([c[cut:] for c in columns])
     if held:
-        yield pa.Table.from_batches(held)
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
