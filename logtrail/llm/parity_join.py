@@ -340,8 +340,8 @@ def similar_groups(docs: DataFrame, threshold: int = 75) -> DataFrame:
     sets = stage(full_sets(docs, likely), "sets")
     labels = likely.select(F.col("set_id").alias("node"), F.col("set_id").alias("label"))
     labels = merged(labels, verified(tried, sets, threshold))
-    # components join along their closest pairs, which leaves few; then all pairs between those left
-    for every in (False, True):
+    # components join along their closest pairs, round by round, which leaves few; then all pairs between those left
+    for every in (False, False, False, True):
         pairs = stage(close_pairs(shared, likely, labels, every).join(tried, ["u", "v"], "left_anti"), "pairs")
         if not pairs.isEmpty():
             labels = merged(labels, verified(pairs, sets, threshold))
