@@ -16,17 +16,39 @@ from logtrail.llm.queries import VOCABULARIES
 from logtrail.llm.tables import shared_folder
 
 
+_KEY = "_row_key"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of number and text, as numbers may be null or repeat with another text."""
+    return docs.withColumn(_KEY, F.xxhash64("doc_id", "text"))
+
+
+def _by_key(keyed: DataFrame) -> DataFrame:
+    """What operators read, with the key as number: what they decide then holds for one text."""
+    return keyed.select(F.col(_KEY).alias("doc_id"), "text")
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on all labels, accepts."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rejected = quality.classify(docs, labels).filter(F.col("predicted") == 0).select("doc_id")
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+    keyed = _keyed(docs)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    given = keyed.select("doc_id", _KEY).distinct().join(labels, "doc_id").select(F.col(_KEY).alias("doc_id"), "quality")
+    rejected = quality.classify(_by_key(keyed), given).filter(F.col("predicted") == 0).select(F.col("doc_id").alias(_KEY))
+    return keyed.join(rejected, _KEY, "left_anti").select(docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest number."""
-    others = parity_join.similar_groups(docs).filter("component_id <> doc_id").select("doc_id")
-    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of near duplicates one row, of the document with the smallest number.
+
+    Rows without a number come after all others. Of rows that repeat a number and its
+    text one is kept, whatever their other columns hold, also if the text has no words.
+    """
+    keyed = _keyed(docs)
+    groups = parity_join.similar_groups(_by_key(keyed)).select(F.col("doc_id").alias(_KEY), "component_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col(_KEY)))
+    kept = groups.join(keyed.select("doc_id", _KEY).distinct(), _KEY).groupBy("component_id").agg(first.alias("first")).select(f"first.{_KEY}")
+    return keyed.dropDuplicates([_KEY]).join(kept, _KEY, "left_semi").select(docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +61,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark."""
-    leaking = decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(leaking, "doc_id", "left_anti").select(docs.columns)
+    keyed = _keyed(docs)
+    leaking = decontaminate.leaks(_by_key(keyed), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias(_KEY)).distinct()
+    return keyed.join(leaking, _KEY, "left_anti").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
