@@ -87,16 +87,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least_tokens: int = 8, least_sh
     runs = stage(_runs(docs, _bit_map(found)), "runs")
     hits = runs.select("doc_id", "run", F.explode(F.arrays_zip("hash", "place")).alias("hit")).select("doc_id", "run", "hit.hash", "hit.place")
     # one row for each way in which an item lies over a run
-    ways = hits.join(found, "hash").groupBy("doc_id", "run", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).agg(F.min("item_place").alias("at"), F.max("item_place").alias("at_last"))
+    ways = hits.join(found, "hash").groupBy("doc_id", "run", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).agg(F.array_sort(F.collect_set("item_place")).alias("hits"))
     laid = ways.join(runs.select("doc_id", "run", "begin", "tokens"), ["doc_id", "run"]).join(items, "item_id")
-    laid = laid.select("doc_id", "item_id", "begin", "tokens", "item", "shift", "at", "at_last")
+    laid = laid.select("doc_id", "item_id", "begin", "tokens", "item", "shift", "hits")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, item_id, begin, a, b, shift, at, at_last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc_id, item_id, begin, a, b, shift, hits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 a, b = np.array(a), np.array(b)
-                for place in {at, at_last}:
+                end = -1
+                for place in hits:
+                    # from a hit inside a stretch the same stretch or a part of it is found
+                    if place < end:
+                        continue
                     start, end, equal = overlap(a, b, shift, place)
                     out.append((doc_id, item_id, equal.tolist(), len(b), begin + start + shift, begin + end + shift))
             columns = list(zip(*out, strict=True)) or [[]] * 6

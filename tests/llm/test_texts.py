@@ -208,3 +208,19 @@ def test_leaks(spark, awkward, nothing):
     assert decontaminate.leaks(awkward, benchmark).count() == 0
     assert decontaminate.leaks(nothing, benchmark).count() == 0
     assert decontaminate.leaks(awkward, benchmark.filter("item_id < 0")).count() == 0
+
+
+def test_leaks_between_substituted_blocks(spark):
+    words = [f"tok{k}" for k in range(400)]
+    # lengths of equal (+) and substituted (-) blocks; the third stretch of the second is neither first nor last
+    plans = [(8, -5, 25, -5, 8), (8, -6, 10, -7, 30, -6, 12, -9, 8), (8, -20, 8)]
+    items, docs = [], []
+    for k, plan in enumerate(plans):
+        item, copy = [f"item{k}word{j}" for j in range(sum(map(abs, plan)))], []
+        for n in plan:
+            copy += item[len(copy) : len(copy) + n] if n > 0 else [f"other{k}word{len(copy) + j}" for j in range(-n)]
+        items.append((k, " ".join(item)))
+        docs.append((k, " ".join([*words[:100], *copy, *words[100:]])))
+    found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {r.doc_id: (r.item_id, r.matched_tokens, r.item_tokens, r.first_token, r.last_token) for r in found.collect()}
+    assert got == {0: (0, 41, 51, 100, 150), 1: (1, 68, 96, 100, 195)}
