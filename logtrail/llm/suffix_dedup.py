@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logtrail.llm import hashing
@@ -39,9 +39,14 @@ _CHUNK = 1 << 23
 _PLACE = np.uint64((1 << 24) - 1)
 
 
-def fingerprint(text: bytes) -> int:
-    """A 64-bit name of a whole text, so that rows of one document number stay apart."""
-    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
+def _print(text: str) -> Column:
+    """A 64-bit name of a whole text, so that rows of one document number, or of none, stay apart."""
+    return F.xxhash64(F.col(text).cast("string"))
+
+
+def _same_row(doc_id: str, text: str) -> Column:
+    """The condition of a join on a row's number, which may be null, and the print of its text."""
+    return F.col(doc_id).cast("long").eqNullSafe(F.col("_doc_id")) & (_print(text) == F.col("_print"))
 
 
 def sample(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, ...]:
@@ -88,27 +93,25 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.R
 def _sampled(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), _texts(batch), strict=True):
+            for doc_id, name, text in zip(batch.column(0), batch.column("print"), _texts(batch), strict=True):
                 anchor, first, last, gram, context = sample(text, length)
                 if len(anchor):
-                    same = [pa.array([v] * len(anchor), type=pa.int64()) for v in (doc_id.as_py(), fingerprint(text))]
+                    same = [pa.array([v] * len(anchor), type=pa.int64()) for v in (doc_id.as_py(), name.as_py())]
                     rest = [pa.array(v) for v in (anchor, first, last, gram.view(np.int64), context.view(np.int64))]
                     yield pa.RecordBatch.from_arrays([*same, *rest], ["doc_id", "print", "anchor", "first", "last", "gram", "context"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, print long, anchor long, first long, last long, gram long, context long")
+    return id_and_text(docs).withColumn("print", _print("text")).mapInArrow(run, "doc_id long, print long, anchor long, first long, last long, gram long, context long")
 
 
 def _with_bytes(ties: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     """Contexts with the bytes right of the gram and, reversed, left of it."""
-    per_doc = ties.groupBy("doc_id", "print").agg(F.collect_list(F.struct("gram", "context", "n", "anchor", "first", "last")).alias("places"))
+    per_row = ties.groupBy(F.col("doc_id").alias("_doc_id"), F.col("print").alias("_print")).agg(F.collect_list(F.struct("gram", "context", "n", "anchor", "first", "last")).alias("places"))
     gram = min(GRAM, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             out = []
-            for name, places, text in zip(batch.column("print").to_pylist(), batch.column("places").to_pylist(), _texts(batch), strict=True):
-                if fingerprint(text) != name:
-                    continue
+            for places, text in zip(batch.column("places").to_pylist(), _texts(batch), strict=True):
                 for p in places:
                     a, first, last = p["anchor"], p["first"], p["last"]
                     out.append((p["gram"], p["context"], p["n"], a - last, a - first, text[a + gram : last + length], text[first:a][::-1]))
@@ -117,7 +120,7 @@ def _with_bytes(ties: DataFrame, docs: DataFrame, length: int) -> DataFrame:
             names = ["gram", "context", "n", "least", "most", "right", "left"]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    joined = id_and_text(docs).join(per_doc, "doc_id").select("print", "places", "text")
+    joined = id_and_text(docs).join(per_row, _same_row("doc_id", "text")).select("places", "text")
     schema = "gram long, context long, n long, least int, most int, right binary, left binary"
     return joined.mapInArrow(run, schema).dropDuplicates(["gram", "context"])
 
@@ -230,20 +233,17 @@ _CUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed",
 
 
 def _with_spans(docs: DataFrame, length: int) -> DataFrame:
-    """``docs`` with the column ``_texts``: of each text under the row's number its print and spans."""
-    spans = repeated_spans(docs, length).groupBy("doc_id", "print").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    per_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("print", "spans")).alias("_texts")).withColumnRenamed("doc_id", "_doc_id")
-    return docs.join(per_doc, F.col("doc_id").cast("long") == F.col("_doc_id"), "left").drop("_doc_id")
+    """``docs`` with the column ``_spans`` of each row's spans, null if there are none."""
+    spans = repeated_spans(docs, length).groupBy(F.col("doc_id").alias("_doc_id"), F.col("print").alias("_print")).agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
+    return docs.join(spans, _same_row("doc_id", "text"), "left").drop("_doc_id", "_print")
 
 
-def _gone(text: bytes, texts: list[dict] | None) -> np.ndarray:
+def _gone(text: bytes, spans: list[dict] | None) -> np.ndarray:
     """Which bytes of a text its spans cover."""
     depth = np.zeros(len(text) + 1, dtype=np.int64)
-    name = fingerprint(text) if texts else 0
-    for t in texts or ():
-        if t["print"] == name:
-            np.add.at(depth, [s["start"] for s in t["spans"]], 1)
-            np.add.at(depth, [s["end"] for s in t["spans"]], -1)
+    if spans:
+        np.add.at(depth, [s["start"] for s in spans], 1)
+        np.add.at(depth, [s["end"] for s in spans], -1)
     return np.cumsum(depth)[:-1] > 0
 
 
@@ -252,14 +252,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     Texts are UTF-8 bytes, a null text is empty, and matches stay within a row; rows
     with equal number and text are two documents, so all their long strings repeat.
+    Rows without a number are documents as any other.
     An empty table gives no rows; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             out = []
-            for doc_id, texts, text in zip(batch.column("doc_id").to_pylist(), batch.column("_texts").to_pylist(), _texts(batch), strict=True):
-                gone = _gone(text, texts)
+            for doc_id, spans, text in zip(batch.column("doc_id").to_pylist(), batch.column("_spans").to_pylist(), _texts(batch), strict=True):
+                gone = _gone(text, spans)
                 kept = np.frombuffer(text, dtype=np.uint8)[~gone].tobytes()
                 runs = np.count_nonzero(gone & ~np.concatenate(([False], gone[:-1])))
                 out.append((doc_id, len(text), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()))
@@ -280,12 +281,12 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         for batch in _slices(batches):
             place = batch.schema.get_field_index("text")
             new = []
-            for texts, old, text in zip(batch.column("_texts").to_pylist(), batch.column("text"), _texts(batch), strict=True):
-                gone = _gone(text, texts) if texts else None
+            for spans, old, text in zip(batch.column("_spans").to_pylist(), batch.column("text"), _texts(batch), strict=True):
+                gone = _gone(text, spans) if spans else None
                 cut = gone is not None and gone.any()
                 new.append(np.frombuffer(text, dtype=np.uint8)[~gone].tobytes().decode(errors="ignore") if cut else old.as_py())
             columns = [pa.array(new, type=pa.string()) if k == place else c for k, c in enumerate(batch.columns)]
-            keep = [k for k, name in enumerate(batch.schema.names) if name != "_texts"]
+            keep = [k for k, name in enumerate(batch.schema.names) if name != "_spans"]
             yield pa.RecordBatch.from_arrays([columns[k] for k in keep], [batch.schema.names[k] for k in keep])
 
     return _with_spans(docs, length).mapInArrow(run, docs.schema)

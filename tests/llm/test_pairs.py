@@ -136,3 +136,19 @@ def test_repeats_of_the_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
     got = QUERIES["op6_suffix_array_dedup"](spark, sf_dir).collect()
     assert sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(brute_cut([d.text.encode() for d in docs], 400))
+
+
+def test_repeats_of_rows_without_a_number(spark):
+    rng = random.Random(8)
+
+    def some(n):
+        return "".join(rng.choices("abcdefgh ", k=n))
+
+    one, two, three, four = some(430), some(550), some(700), some(900)
+    rows = [(1, some(200) + one + some(90)), (None, some(70) + one + some(300)), (None, some(500) + two), (None, two + some(40)), (2, three + some(99))]
+    rows += [(None, some(33) + three + some(44)), (3, some(60) + three[150:] + some(20)), (None, four), (None, four), (None, some(800)), (4, some(800)), (None, None), (2, some(450))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    expected = brute_cut([(t or "").encode() for _, t in rows], 400)
+    assert cut(df, 400) == sorted(expected)
+    left = sorted(hashlib.sha256((r.text or "").encode()).hexdigest() for r in suffix_dedup.without_repeats(df).collect())
+    assert left == sorted(e[3] for e in expected)
