@@ -17,7 +17,7 @@ from pyspark.ml.feature import (
     StopWordsRemover,
     StringIndexer,
 )
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # The labels, and how the models are trained.
@@ -35,21 +35,44 @@ REPLICAS = 10
 INVERSE_REGULARISATION = 1.0
 MAX_ITERATIONS = 1000
 
-_TEXT, _LABEL, _PREDICTED = "_lt_text", "_lt_label", "_lt_predicted"
+_TEXT, _LABEL, _PREDICTED, _ROWS = "_lt_text", "_lt_label", "_lt_predicted", "_lt_rows"
+
+
+def _shares(sizes: list[tuple[str, int]], most: int) -> list[tuple[str, int, int]]:
+    """Label, texts and texts to take: equal shares, and what small labels leave goes to the others; at least one."""
+    out = []
+    for k, (label, n) in enumerate(sorted(sizes, key=lambda s: s[1])):
+        take = min(n, max(1, most // (len(sizes) - k)))
+        most -= take
+        out.append((label, n, take))
+    return out
+
+
+def _bounded(named: DataFrame, most_rows: int) -> DataFrame:
+    """Different texts of each label, those with the smallest hashes, with the number of rows that each stands for."""
+    texts = named.groupBy(_TEXT, _LABEL).agg(F.count("*").cast("double").alias(_ROWS)).withColumn("_lt_hash", F.xxhash64(_TEXT, _LABEL))
+    sizes = [(r[0], r[1]) for r in texts.groupBy(_LABEL).count().collect()]
+    shares = named.sparkSession.createDataFrame(_shares(sizes, most_rows), f"{_LABEL} string, _lt_n long, _lt_take long")
+    # only about twice as many as are taken are put in order, whatever the size of a label
+    near = (F.col("_lt_hash") / 2.0**63 + 1) / 2 <= (2 * F.col("_lt_take") + 100) / F.col("_lt_n")
+    order = Window.partitionBy(_LABEL).orderBy("_lt_hash", _TEXT)
+    ranked = texts.join(F.broadcast(shares), _LABEL).filter(near).withColumn("_lt_rank", F.row_number().over(order))
+    return ranked.filter("_lt_rank <= _lt_take").select(_TEXT, _LABEL, _ROWS)
 
 
 def train(corpus: DataFrame, most_rows: int = 100_000) -> PipelineModel:
     """Fit TF-IDF of words and word pairs with a multinomial logistic regression.
 
     ``corpus`` has ``text`` and ``label``. Terms come to the driver, all of them, so the
-    labelled rows are what is bounded: of more than ``most_rows`` those with the
-    smallest hashes are taken. Training on every text ten times only weakens the
-    regularisation, so the weight is divided instead of copying rows.
+    labelled rows are what is bounded: of more than ``most_rows`` as many different texts
+    are taken, shared among the labels, each with the weight of its rows. Every label
+    keeps a text, also if there are more labels than that. Training on every text ten
+    times only weakens the regularisation, so the weight is divided instead of copying rows.
     """
     named = corpus.select(F.col("text").alias(_TEXT), F.col("label").alias(_LABEL))
-    named = named.orderBy(F.xxhash64(_TEXT, _LABEL), _TEXT, _LABEL).limit(most_rows)
+    named = named.withColumn(_ROWS, F.lit(1.0)) if named.count() <= most_rows else _bounded(named, most_rows)
     labels = StringIndexer(inputCol=_LABEL, outputCol="_lt_index", stringOrderType="alphabetAsc").fit(named)
-    weight = 1.0 / (INVERSE_REGULARISATION * REPLICAS * max(1, named.count()))
+    weight = 1.0 / (INVERSE_REGULARISATION * REPLICAS * max(1.0, named.agg(F.sum(_ROWS)).first()[0] or 0.0))
     stages = [
         RegexTokenizer(inputCol=_TEXT, outputCol="_lt_all", pattern=r"\b\w\w+\b", gaps=False),
         StopWordsRemover(inputCol="_lt_all", outputCol="_lt_words"),
@@ -61,6 +84,7 @@ def train(corpus: DataFrame, most_rows: int = 100_000) -> PipelineModel:
         LogisticRegression(
             featuresCol="_lt_features",
             labelCol="_lt_index",
+            weightCol=_ROWS,
             predictionCol="_lt_class",
             probabilityCol="_lt_probability",
             rawPredictionCol="_lt_raw",

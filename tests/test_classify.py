@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from logtrail.functions.messages import APPLICATION_NAMES
 from logtrail.operators.normalize import normalize_csv
-from logtrail.plans.classify import SOURCE_LABELS, TextModels, train, train_models
+from logtrail.plans.classify import SOURCE_LABELS, TextModels, _bounded, _shares, predict, train, train_models
 
 # Labelled texts made from a few templates and fillers.
 SOURCES = {
@@ -47,6 +47,19 @@ def test_fit_is_bounded_by_rows_and_not_by_terms(spark):
     assert len(train(corpus(spark, SOURCES), most_rows=6).stages[4].vocabulary) < len(terms)
 
 
+def test_bounded_fit_keeps_every_label_and_repeated_lines(spark):
+    hot = [("cron session opened for root", "cron")] * 600 + [("kernel link is up", "kernel")] * 300
+    rows = hot + [(f"request {k} page p{k}", "web") for k in range(200)] + [(f"query {k} table t{k}", "db") for k in range(150)]
+    df = spark.createDataFrame(rows, "text string, label string").repartition(5)
+    taken = [(r[0], r[1], r[2]) for r in _bounded(df.toDF("_lt_text", "_lt_label"), 40).collect()]
+    assert len(taken) == 40 and {label for _, label, _ in taken} == {"cron", "kernel", "web", "db"}
+    assert {n for _, label, n in taken if label == "cron"} == {600.0} and len({t for t, _, _ in taken}) == 40
+    model = train(df, most_rows=40)
+    assert model.stages[-1].getLabels() == ["cron", "db", "kernel", "web"]
+    assert predict(df, model, "text", "got").filter("got <> label").isEmpty()
+    assert _shares([("a", 1), ("b", 1), ("c", 9)], 2) == [("a", 1, 1), ("b", 1, 1), ("c", 9, 1)]
+
+
 def test_without_models(spark):
     df = spark.createDataFrame([("x",)], "message string")
     row = TextModels().label(df, "message").first()
