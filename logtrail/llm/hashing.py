@@ -80,6 +80,22 @@ def words(text: bytes, gaps: np.ndarray = _SPACE) -> np.ndarray:
     return spans(prefix_sums(data), starts, ends)
 
 
+def word_prefixes(text: bytes, lengths: tuple[int, ...], gaps: np.ndarray = NO_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per word, A-Z lower-cased: fingerprints of the whole and of its prefixes of some lengths in bytes, and its bounds.
+
+    The first row is of whole words, told apart from equal prefixes; 0 where a word is shorter.
+    """
+    data = _LOWER[np.frombuffer(text, dtype=np.uint8)]
+    starts, ends = word_bounds(data, gaps)
+    sums = prefix_sums(data)
+    out = np.zeros((1 + len(lengths), len(starts)), dtype=np.uint64)
+    out[0] = mix(spans(sums, starts, ends))
+    for row, length in zip(out[1:], lengths, strict=True):
+        some = ends - starts >= length
+        row[some] = spans(sums, starts[some], starts[some] + length)
+    return out, starts, ends
+
+
 def windows(items: np.ndarray, width: int) -> np.ndarray:
     """Fingerprints of all windows of ``width`` consecutive items."""
     n = len(items) - width + 1
