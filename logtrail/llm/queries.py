@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtrail.llm import bpe_count, brown_lm, compression, decontaminate, language, lexical_search, license_scan, packing, parity_join, quality, suffix_dedup, toxicity
+from logtrail.llm import alignment, bpe_count, brown_lm, compression, decontaminate, language, lexical_search, license_scan, packing, parity_join, quality, suffix_dedup, toxicity
 from logtrail.llm.tables import documents, fold
 
 #: Where the vocabulary files of public tokenizers lie on every machine.
@@ -79,6 +79,14 @@ def op3_brown_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown_lm.score(docs, docs.filter(~held_out)).withColumn("held_out", held_out)
 
 
+@query
+def op11_spill_aligned_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align(documents(spark, sf_dir), *files)
+
+
 @query
 def op12_best_position_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
