@@ -33,6 +33,31 @@ def epoch_timestamp(text: Column) -> Column:
     )
 
 
+# What makes a time unusable, as the records' messages say it.
+DATE_RANGE = "date value out of range"
+EPOCH_RANGE = "timestamp out of range for platform time_t"
+EPOCH_INFINITE = "cannot convert float infinity to integer"
+
+
+def iso_error(text: Column) -> Column:
+    """Why an ISO time cannot be used: in UTC it lies outside the years 1 to 9999. NULL if it can, or is none.
+
+    Only the first and the last of these years can get there by an offset; other texts are not parsed again.
+    """
+    year = F.year(iso_timestamp(text))
+    return F.when(F.left(text, F.lit(4)).isin("0001", "9999") & ((year < 1) | (year > 9999)), F.lit(DATE_RANGE))
+
+
+def epoch_error(text: Column) -> Column:
+    """Why a number cannot be an epoch time: it does not fit in 64 bits of seconds. NULL if it can, or is no number."""
+    infinite = F.lower(F.trim(text)).rlike(r"^[+-]?inf(inity)?$")
+    number = F.when(text.rlike(r"^\s*[+-]?[0-9.]"), text).try_cast("double")
+    seconds = F.when(number > 1e12, number / 1000).otherwise(number)
+    too_large = F.when(F.abs(seconds) >= 2.0**63, F.lit(EPOCH_RANGE))
+    # a text with a colon is a time of day and no number
+    return F.when(~F.contains(text, F.lit(":")), F.when(infinite | (F.abs(number) == float("inf")), F.lit(EPOCH_INFINITE)).otherwise(too_large))
+
+
 def _by_formats(text: Column, formats: tuple[str, ...]) -> Column:
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(fmt)) for fmt in formats])
 

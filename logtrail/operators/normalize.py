@@ -14,7 +14,7 @@ from logtrail.functions.messages import (
     threat_severity,
 )
 from logtrail.functions.text import column, contains_any, first_present, present
-from logtrail.functions.times import generic_timestamp, windows_timestamp
+from logtrail.functions.times import epoch_error, generic_timestamp, iso_error, windows_timestamp
 from logtrail.schema import to_event_schema
 from logtrail.sources.csv import ORIGIN_COLUMNS
 
@@ -128,8 +128,30 @@ def _enriched(df: DataFrame) -> DataFrame:
     )
 
 
+def _or_parse_error(events: DataFrame, reason: Column, timestamp: Column | None = None) -> DataFrame:
+    """Events where a record with a ``reason`` is a ``PARSE_ERROR`` event of its file instead.
+
+    Such an event keeps the raw record and the raw time; its time is ``timestamp``, by default none.
+    """
+    marked = events.withColumn("_reason", reason)
+    instead = {
+        "timestamp": F.lit(None).cast("timestamp") if timestamp is None else timestamp,
+        "source": F.col("source_file"),
+        "event_id": F.lit("PARSE_ERROR"),
+        "category": F.lit("system"),
+        "severity": F.lit("low"),
+        "message": F.concat(F.lit("Normalization error: "), F.col("_reason")),
+        "threat_type": F.lit("benign"),
+    }
+    for name in ("source_ip", "dest_ip", "username", "hostname", "process", "details"):
+        if name in marked.columns:
+            instead[name] = F.lit("")
+    failed = F.col("_reason").isNotNull()
+    return marked.withColumns({c: F.when(failed, value).otherwise(F.col(c)) for c, value in instead.items() if c in marked.columns}).drop("_reason")
+
+
 def normalize_syslog(parsed: DataFrame, models=None) -> DataFrame:
-    """Parsed syslog records to events."""
+    """Parsed syslog records to events; a time that no calendar holds gives a ``PARSE_ERROR`` event."""
     raw_columns = [c for c in ("hostname", "process", "pid", "category", "severity_hint") if c in parsed.columns]
     raw_message, process = F.col("message"), F.col("process")
     base = parsed.select(
@@ -162,7 +184,7 @@ def normalize_syslog(parsed: DataFrame, models=None) -> DataFrame:
             "username": message_username(F.col("raw_message")),
         }
     )
-    return to_event_schema(_enriched(labelled))
+    return to_event_schema(_or_parse_error(_enriched(labelled), iso_error(F.col("ts_raw"))))
 
 
 def _matched(value: Column, table: tuple, default: Column) -> Column:
@@ -173,7 +195,10 @@ def _matched(value: Column, table: tuple, default: Column) -> Column:
 
 
 def normalize_csv(records: DataFrame, ingest_ts: Column | None = None, models=None) -> DataFrame:
-    """Records of a delimited file to events; fields are found by synonymous column names."""
+    """Records of a delimited file to events; fields are found by synonymous column names.
+
+    A time that is a number or date no calendar holds gives a ``PARSE_ERROR`` event.
+    """
     ingest_ts = F.current_timestamp() if ingest_ts is None else ingest_ts
     names = [c for c in records.columns if c not in ORIGIN_COLUMNS]
 
@@ -211,7 +236,10 @@ def normalize_csv(records: DataFrame, ingest_ts: Column | None = None, models=No
     labelled = with_labels(base, models).withColumn(
         "source_ip", first_present(F.col("given_ip"), first_ipv4(F.col("message")))
     )
-    return to_event_schema(_enriched(labelled).withColumn("process", F.col("application")))
+    made = _enriched(labelled).withColumn("process", F.col("application"))
+    reason = F.coalesce(iso_error(F.col("ts_raw")), epoch_error(F.col("ts_raw")))
+    # the raw time of such an event is the column of that very name
+    return to_event_schema(_or_parse_error(made, reason, None if "timestamp" in names else ingest_ts))
 
 
 def _promoted(names: list[str]) -> list[Column]:
@@ -229,7 +257,7 @@ def windows_knowledge_base(spark) -> DataFrame:
 
 
 def normalize_windows(records: DataFrame, ingest_ts: Column | None = None) -> DataFrame:
-    """Windows event records to events."""
+    """Windows event records to events; a time that no calendar holds gives a ``PARSE_ERROR`` event."""
     ingest_ts = F.current_timestamp() if ingest_ts is None else ingest_ts
     data, event_id = F.col("event_data"), F.col("event_id")
 
@@ -247,55 +275,54 @@ def normalize_windows(records: DataFrame, ingest_ts: Column | None = None) -> Da
 
     failed = event_id == "4625"
     known = records.join(F.broadcast(windows_knowledge_base(records.sparkSession)), "event_id", "left")
-    return to_event_schema(
-        known.select(
-            "event_id",
-            windows_timestamp(F.col("ts_raw"), ingest_ts).alias("timestamp"),
-            "ts_raw",
-            F.concat(F.lit("Windows-"), F.coalesce("channel", F.lit("System"))).alias("source"),
-            F.coalesce("category", F.lit("system")).alias("category"),
-            F.when(failed & (address != ""), "high")
-            .when(event_id.isin("1102", "4719"), "critical")
-            .otherwise(F.coalesce("severity", F.lit("info")))
-            .alias("severity"),
-            F.concat_ws(
-                " | ",
-                F.coalesce("description", F.concat(F.lit("Windows Event "), event_id)),
-                part(
-                    "User",
-                    F.when(domain != "", F.concat(domain, F.lit("\\"), user)).otherwise(user),
-                    user != "",
-                ),
-                part("Source IP", address, (address != "") & (address != "-")),
-                part("Logon Type", F.coalesce(F.try_element_at(logon_names, logon), logon), logon != ""),
-                part("Process", process, process != ""),
-                part("Reason", reason, failed & (reason != "")),
-                part("SubStatus", sub_status, failed & (reason == "") & (sub_status != "")),
-                part("Object", target, target != ""),
-            ).alias("message"),
-            F.map_concat(
-                F.create_map(
-                    *[
-                        x
-                        for c in ("provider", "computer", "channel", "level", "keywords")
-                        for x in (F.lit(c), F.coalesce(c, F.lit("")))
-                    ],
-                    F.lit("event_data"),
-                    F.to_json(data),
-                    F.lit("user_data"),
-                    F.to_json("user_data"),
-                )
-            ).alias("raw_data"),
-            "source_file",
-            F.when(address != "-", address).otherwise("").alias("source_ip"),
-            user.alias("username"),
-            F.col("computer").alias("hostname"),
-            process.alias("process"),
-            F.to_json(data).alias("details"),
-            "file_seq",
-            "row_no",
-        )
+    events = known.select(
+        "event_id",
+        windows_timestamp(F.col("ts_raw"), ingest_ts).alias("timestamp"),
+        "ts_raw",
+        F.concat(F.lit("Windows-"), F.coalesce("channel", F.lit("System"))).alias("source"),
+        F.coalesce("category", F.lit("system")).alias("category"),
+        F.when(failed & (address != ""), "high")
+        .when(event_id.isin("1102", "4719"), "critical")
+        .otherwise(F.coalesce("severity", F.lit("info")))
+        .alias("severity"),
+        F.concat_ws(
+            " | ",
+            F.coalesce("description", F.concat(F.lit("Windows Event "), event_id)),
+            part(
+                "User",
+                F.when(domain != "", F.concat(domain, F.lit("\\"), user)).otherwise(user),
+                user != "",
+            ),
+            part("Source IP", address, (address != "") & (address != "-")),
+            part("Logon Type", F.coalesce(F.try_element_at(logon_names, logon), logon), logon != ""),
+            part("Process", process, process != ""),
+            part("Reason", reason, failed & (reason != "")),
+            part("SubStatus", sub_status, failed & (reason == "") & (sub_status != "")),
+            part("Object", target, target != ""),
+        ).alias("message"),
+        F.map_concat(
+            F.create_map(
+                *[
+                    x
+                    for c in ("provider", "computer", "channel", "level", "keywords")
+                    for x in (F.lit(c), F.coalesce(c, F.lit("")))
+                ],
+                F.lit("event_data"),
+                F.to_json(data),
+                F.lit("user_data"),
+                F.to_json("user_data"),
+            )
+        ).alias("raw_data"),
+        "source_file",
+        F.when(address != "-", address).otherwise("").alias("source_ip"),
+        user.alias("username"),
+        F.col("computer").alias("hostname"),
+        process.alias("process"),
+        F.to_json(data).alias("details"),
+        "file_seq",
+        "row_no",
     )
+    return to_event_schema(_or_parse_error(events, iso_error(F.col("ts_raw"))))
 
 
 def normalize_packets(packets: DataFrame, ingest_ts: Column | None = None) -> DataFrame:

@@ -91,9 +91,13 @@ class Analysis:
     summary: Summary
 
 
-def analyze(*frames: DataFrame, config: DetectionConfig | dict | None = None) -> Analysis:
-    """Normalised event frames to annotated timeline, alerts and summary."""
-    timeline = build_timeline(*frames, stage_first=True)
+def analyze(*frames: DataFrame, config: DetectionConfig | dict | None = None, staged: bool = False) -> Analysis:
+    """Normalised event frames to annotated timeline, alerts and summary.
+
+    ``staged`` tells that the frames are tables already, as isolated reading leaves them, so that
+    sampling them for the sort parses nothing again.
+    """
+    timeline = build_timeline(*frames, stage_first=not staged)
     found = correlate(timeline, config)
     events = annotate(timeline, found.alerts, found.members)
     return Analysis(events, found.alerts, found.members, summarize(timeline, found.alerts))

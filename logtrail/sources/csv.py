@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logtrail.functions.text import strip
-from logtrail.sources.files import row_order
+from logtrail.session import stage
+from logtrail.sources.files import chosen, row_order
 
 # Candidate delimiters in order of preference.
 DELIMITERS = (",", "\t", ";", "|")
 
 _HEAD_LINES = 20
-_SPLITTABLE_BYTES = 128 * 1024 * 1024
 ORIGIN_COLUMNS = ("source_file", "file_seq", "row_no")
 
 
@@ -29,25 +29,33 @@ def _delimiter_counts(line: Column) -> list[Column]:
     return [F.length(bare) - F.length(F.replace(bare, F.lit(d), F.lit(""))) for d in DELIMITERS]
 
 
-def inspect_files(spark: SparkSession, paths: str | list[str], **options) -> DataFrame:
-    """One row per file: path, header line, delimiter, and whether it needs a multi-line scan.
-
-    The delimiter is the candidate of the header line whose number of occurrences
-    most of the first lines share; among several the most frequent, comma if none.
-    Files small enough for one task are read multi-line anyway; for larger ones a
-    physical line with an odd number of quotes shows that fields span lines.
-    """
-    lines = spark.read.options(**options).text(paths).select(
+def _with_place(text: DataFrame) -> DataFrame:
+    """Physical lines just read with their file, the split they begin in and their place in it."""
+    return text.select(
         "value",
         F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_size").alias("file_size"),
+        F.col("_metadata.file_name").alias("file_name"),
         F.col("_metadata.file_block_start").alias("block_start"),
         row_order().alias("row_no"),
     )
+
+
+def _quotes(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+
+
+def inspect_files(spark: SparkSession, paths: str | list[str], keep: Column | None = None, **options) -> DataFrame:
+    """One row per file: path, header line and its place, delimiter, and whether records span lines.
+
+    The delimiter is the candidate of the header line whose number of occurrences
+    most of the first lines share; among several the most frequent, comma if none.
+    A physical line with an odd number of quotes shows that fields span lines.
+    """
+    lines = _with_place(chosen(spark.read.options(**options).text(paths), keep))
     ordered = Window.partitionBy("file_path").orderBy("row_no")
     head = (
         lines.filter("block_start = 0 AND trim(value) <> ''")
-        .select("file_path", "value", F.row_number().over(ordered).alias("n"))
+        .select("file_path", "value", "row_no", F.row_number().over(ordered).alias("n"))
         .filter(F.col("n") <= _HEAD_LINES)
     )
     counts = {f"count_{i}": c for i, c in enumerate(_delimiter_counts(F.col("value")))}
@@ -61,7 +69,11 @@ def inspect_files(spark: SparkSession, paths: str | list[str], **options) -> Dat
         head.withColumns(counts)
         .withColumns(in_header)
         .groupBy("file_path")
-        .agg(F.min_by("value", "n").alias("header"), *[s.alias(f"score_{i}") for i, s in enumerate(scores)])
+        .agg(
+            F.min_by("value", "n").alias("header"),
+            F.min("row_no").alias("header_no"),
+            *[s.alias(f"score_{i}") for i, s in enumerate(scores)],
+        )
     )
     best = F.greatest(*[F.col(f"score_{i}") for i in range(4)])
     delimiter = reduce(
@@ -69,41 +81,60 @@ def inspect_files(spark: SparkSession, paths: str | list[str], **options) -> Dat
         reversed(range(4)),
         F.lit(DELIMITERS[0]),
     )
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    spanning = (
-        lines.filter(F.col("file_size") > _SPLITTABLE_BYTES)
-        .groupBy("file_path")
-        .agg(F.bool_or(quotes % 2 == 1).alias("spans_lines"))
-    )
-    return stats.join(spanning, "file_path", "left").select(
-        "file_path",
-        F.regexp_replace("header", r"^\uFEFF", "").alias("header"),
-        delimiter.alias("delimiter"),
-        F.coalesce("spans_lines", F.lit(True)).alias("multi_line"),
+    spanning = lines.groupBy("file_path").agg(F.bool_or(_quotes(F.col("value")) % 2 == 1).alias("multi_line"))
+    return stats.join(spanning, "file_path").select(
+        "file_path", F.regexp_replace("header", r"^\uFEFF", "").alias("header"), "header_no", delimiter.alias("delimiter"), "multi_line"
     )
 
 
-def _read_group(
-    spark: SparkSession, files: list[str], delimiter: str, header: str, multi_line: bool, file_seq: int, identity: str
-) -> DataFrame:
+def stitch_records(lines: DataFrame) -> DataFrame:
+    """Physical lines to records, whose quoted cells may hold line ends: ``value`` is the record, its place that of its first line.
+
+    ``lines`` has ``file_path, file_name, block_start, row_no, value``. Within a split, sums of quotes tell
+    which lines begin a record, given whether the split begins inside quotes; and that is the
+    parity of all quotes in the splits before it, of which each is one number. So splits
+    are worked on apart, and only the lines of records over several lines are shuffled again.
+    """
+    split = ["file_path", "block_start"]
+    counted = lines.withColumn("_q", _quotes(F.col("value")))
+    before = Window.partitionBy("file_path").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
+    parity = counted.groupBy(*split).agg(F.sum("_q").alias("_all")).select(*split, F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_carry"))
+    in_split = Window.partitionBy(*split).orderBy("row_no")
+    so_far = F.col("_carry") + F.sum("_q").over(in_split) - F.col("_q")
+    marked = counted.join(parity, split).withColumn("_starts", so_far % 2 == 0)
+    begun = F.last(F.when(F.col("_starts"), F.col("row_no")), ignorenulls=True).over(in_split)
+    flagged = stage(marked.withColumn("_record", begun).drop("_carry"), "csv-lines")
+    alone = F.col("_starts") & (F.col("_q") % 2 == 0)
+    kept = ["file_path", "file_name", "row_no", "value"]
+    pieces = flagged.filter(~alone)
+    # lines before the first start of a split go on with the last record begun before it
+    last = flagged.groupBy(*split).agg(F.max("_record").alias("_last")).select(*split, F.last("_last", ignorenulls=True).over(before).alias("_earlier"))
+    owned = pieces.join(last, split).withColumn("_record", F.coalesce("_record", "_earlier"))
+    parts = F.array_sort(F.collect_list(F.struct("row_no", "value")))
+    whole = owned.groupBy("file_path", "file_name", F.col("_record").alias("row_no")).agg(F.array_join(F.transform(parts, lambda p: p["value"]), "\n").alias("value"))
+    return flagged.filter(alone).select(*kept).unionByName(whole.select(*kept))
+
+
+def _records(lines_of, schema: str, how: dict, multi_line: bool, identity: str, headers: DataFrame) -> DataFrame:
+    """Cells ``_c0, ...`` with ``source_file`` and ``row_no``, without the header; ``lines_of`` opens the files by a reader."""
+    if not multi_line:
+        raw = lines_of(lambda reader, paths: reader.schema(schema).options(header=True, enforceSchema=True, **how).csv(paths))
+        return raw.select("*", F.col(f"_metadata.{identity}").alias("source_file"), row_order().alias("row_no"))
+    records = stitch_records(_with_place(lines_of(lambda reader, paths: reader.text(paths))))
+    body = records.join(headers, "file_path").filter("row_no <> header_no AND trim(value) <> ''")
+    return body.select(F.from_csv("value", F.lit(schema), how).alias("_r"), F.col(identity).alias("source_file"), "row_no").select("_r.*", "source_file", "row_no")
+
+
+def _read_group(lines_of, delimiter: str, header: str, multi_line: bool, file_seq: int, identity: str, headers: DataFrame) -> DataFrame:
     names = [clean_header(cell) for cell in _header_cells(header, delimiter)]
     names = [f"{name}_" if name in ORIGIN_COLUMNS else name for name in names]
     schema = ", ".join(f"_c{i} STRING" for i in range(len(names)))
-    raw = (
-        spark.read.schema(schema)
-        .options(sep=delimiter, quote='"', escape='"', mode="PERMISSIVE", header=True, enforceSchema=True)
-        .option("multiLine", multi_line)
-        .csv(files)
-    )
+    how = {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+    raw = _records(lines_of, schema, how, multi_line, identity, headers)
     # A repeated header name keeps its last column, as in a record keyed by name.
     position = {name: i for i, name in enumerate(names)}
     cells = [F.coalesce(strip(F.col(f"_c{i}")), F.lit("")).alias(name) for name, i in position.items() if name]
-    return raw.select(
-        *cells,
-        F.col(f"_metadata.{identity}").alias("source_file"),
-        F.lit(file_seq).alias("file_seq"),
-        row_order().alias("row_no"),
-    )
+    return raw.select(*cells, "source_file", F.lit(file_seq).alias("file_seq"), "row_no")
 
 
 def _header_cells(header: str, delimiter: str) -> list[str]:
@@ -126,21 +157,31 @@ def read_csv(
     file_seq: int = 0,
     delimiter: str | None = None,
     identity: str = "file_name",
+    keep: Column | None = None,
     **options,
 ) -> list[DataFrame]:
     """Read delimited files; one frame per distinct header and delimiter.
 
     Cells are trimmed, missing cells are '', surplus cells are dropped. Frames
     stay apart because the column order of a record matters to its message
-    fallback. Only file names and header lines pass through the driver.
+    fallback. Files of any size are read by many tasks, also where records span lines.
+    ``keep`` is a predicate on ``_metadata`` that chooses among the files. Header lines pass
+    through the driver, and names of files only where headers differ.
     """
-    inspected = inspect_files(spark, paths, **options)
+    inspected = stage(inspect_files(spark, paths, keep, **options), "csv-headers")
     if delimiter is not None:
         inspected = inspected.withColumn("delimiter", F.lit(delimiter))
-    groups = (
-        inspected.groupBy("header", "delimiter", "multi_line")
-        .agg(F.sort_array(F.collect_list("file_path")).alias("files"))
-        .orderBy(F.col("files")[0])
-        .collect()
-    )
-    return [_read_group(spark, g.files, g.delimiter, g.header, g.multi_line, file_seq, identity) for g in groups]
+    kinds = ["header", "delimiter", "multi_line"]
+    groups = inspected.groupBy(*kinds).agg(F.min("file_path").alias("first")).orderBy("first").collect()
+    headers = inspected.select("file_path", "header_no")
+
+    def opener(group):
+        mine = keep
+        if len(groups) > 1:
+            # the files of a group are chosen among those listed; with one group no path comes to the driver
+            files = inspected.filter(reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(group[k]) for k in kinds])).select("file_path").toArrow()
+            within = F.col("_metadata.file_path").isin(files.column(0).to_pylist())
+            mine = within if keep is None else keep & within
+        return lambda load: chosen(load(spark.read.options(**options), paths), mine)
+
+    return [_read_group(opener(g), g.delimiter, g.header, g.multi_line, file_seq, identity, headers) for g in groups]

@@ -20,6 +20,11 @@ def row_order() -> Column:
     return F.shiftleft(block, POSITION_BITS) + position
 
 
+def chosen(df: DataFrame, keep: Column | None) -> DataFrame:
+    """A frame just read, of the files for which ``keep`` holds; a predicate on the path alone prunes files."""
+    return df if keep is None else df.filter(keep)
+
+
 def with_origin(df: DataFrame, file_seq: int = 0, identity: str = "file_name") -> DataFrame:
     """Add ``source_file``, ``file_seq`` and ``row_no`` to a frame just read from files.
 

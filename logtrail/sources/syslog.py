@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logtrail.functions.text import contains_sql, strip
 from logtrail.functions.times import syslog_timestamp
-from logtrail.sources.files import with_origin
+from logtrail.sources.files import chosen, with_origin
 
 # The line patterns, in the order in which they are tried.
 # The groups are timestamp, hostname, process, pid, message; the third pattern has no host and process.
@@ -164,8 +164,12 @@ def read_syslog(
     ingest_ts: Column | None = None,
     file_seq: int = 0,
     identity: str = "file_name",
+    keep: Column | None = None,
     **options,
 ) -> DataFrame:
-    """Read and parse syslog files; large files are split across tasks. ``options`` go to the reader."""
-    lines = spark.read.options(**options).text(paths)
+    """Read and parse syslog files; large files are split across tasks. ``options`` go to the reader.
+
+    ``keep`` is a predicate on ``_metadata`` that chooses among the files.
+    """
+    lines = chosen(spark.read.options(**options).text(paths), keep)
     return parse_syslog(with_origin(lines, file_seq, identity), assumed_year, ingest_ts)

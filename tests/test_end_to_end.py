@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from logtrail.plans.correlate import analyze
-from logtrail.sinks import to_json_rows, write_results
+from logtrail.sinks import read_results, to_json_rows, write_results
 from logtrail.sources.router import read_logs
 
 
@@ -49,8 +49,11 @@ def test_attack_story(spark, tmp_path):
 
     out = str(tmp_path / "out")
     write_results(result.events, result.alerts, result.members, result.summary, out)
-    written = spark.read.parquet(f"{out}/events")
+    first = read_results(spark, out)
+    written = first.events
     assert written.count() == 87 and [str(r.date) for r in written.select("date").distinct().collect()] == ["2026-04-10"]
-    assert spark.read.parquet(f"{out}/alerts").count() == len(alerts)
+    assert first.alerts.count() == len(alerts) and first.summary.overview.first().total_events == 87
+    again = write_results(result.events.limit(5), result.alerts, result.members, result.summary, out, first.run_id)
+    assert again == first.run_id and (back := read_results(spark, out)).events.count() == 5 and back.runs.count() == 1
     assert written.filter(F.size("alerts") > 0).count() == result.members.select("event_idx").distinct().count()
     assert to_json_rows(result.alerts).first().json.startswith('{"alert_id":')
