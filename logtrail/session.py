@@ -6,7 +6,13 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-RUNTIME_SETTINGS = {"spark.sql.session.timeZone": "UTC", "spark.sql.codegen.hugeMethodLimit": "8000"}
+STATE_PROVIDER_KEY = "spark.sql.streaming.stateStore.providerClass"
+STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+RUNTIME_SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    STATE_PROVIDER_KEY: STATE_PROVIDER,
+}
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -31,7 +37,7 @@ def build_session(app_name: str = "logtrail", master: str | None = None, **conf:
 def prepare(spark: SparkSession) -> None:
     """Settings that a session from elsewhere needs.
 
-    Zone-less log times are read as UTC, so the session has to be in UTC. The JVM
+    Zone-less log times are read as UTC, so the session has to be in UTC. Streams keep their state in RocksDB. The JVM
     never compiles methods above 8000 bytes of code; above that limit Spark shall
     generate smaller ones per expression instead of one per stage.
     """

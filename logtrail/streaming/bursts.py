@@ -4,22 +4,54 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from logtrail.session import STATE_PROVIDER, STATE_PROVIDER_KEY
+
 BURST_SCHEMA = "key string, start_us long, last_us long, n long, first_idx long"
-STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Parts into which the rows of one key and slot are spread before they meet.
+SALTS = 8
+
+Window = tuple[int, int, int, int]
+
+
+def advance(
+    times: np.ndarray, places: np.ndarray, window: Window | None, width: int, threshold: int
+) -> tuple[list[Window], Window | None, int]:
+    """Windows that rows in time order close, the one left open, and how many rows were used up.
+
+    A window is (start, last, rows, first place). It takes all rows up to ``width`` after its start; the next
+    begins at the first row after it that has ``threshold - 1`` rows within ``width`` behind it. Each
+    step is a search in sorted numbers, so the work grows with the windows, not with their rows.
+    """
+    opening = np.flatnonzero(times[threshold - 1 :] - times[: len(times) - threshold + 1] <= width)
+    closed, at = [], 0
+    while True:
+        if window is None:
+            k = np.searchsorted(opening, at)
+            if k == len(opening):
+                return closed, None, at
+            at = int(opening[k])
+            window = (int(times[at]), int(times[at]), 0, int(places[at]))
+        end = int(np.searchsorted(times, window[0] + width, side="right"))
+        if end > at:
+            window, at = (window[0], int(times[end - 1]), window[2] + end - at, window[3]), end
+        if at == len(times):
+            return closed, window, at
+        closed.append(window)
+        window = None
 
 
 class GreedyWindows(StatefulProcessor):
     """Same windows as the batch operator, in event time.
 
-    Rows wait in ``pending`` until the watermark has passed them, because an
-    earlier row may still come; they are then taken in time order. Beyond that the
-    state of a key is small: the last ``threshold - 1`` rows that could still open
-    a window, and start, count and end of the open window.
+    Its rows are slots that the watermark has passed, each with all its times: a slot is never seen
+    again and later batches bring later slots. So the state of a key is small, whatever its rows:
+    start, count and end of the open window, or the last ``threshold - 1`` rows that could still open one.
     """
 
     def __init__(self, width_us: int, threshold: int):
@@ -27,86 +59,70 @@ class GreedyWindows(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getListState("pending", "t long, idx long")
         self.recent = handle.getListState("recent", "t long, idx long")
         self.window = handle.getValueState("window", "start long, last long, n long, first_idx long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [(int(t), int(i)) for frame in rows for t, i in zip(frame["t"], frame["event_idx"], strict=True)]
-        for row in new:
-            self.pending.appendValue(row)
-        latest = max(t for t, _ in new)
-        for due in (latest, latest + self.width):
-            self.handle.registerTimer(due // 1000 + 2)
-        yield self._advance(key, timerValues.getCurrentWatermarkInMs() * 1000)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._advance(key, timerValues.getCurrentWatermarkInMs() * 1000)
-
-    def _advance(self, key, watermark_us: int) -> pd.DataFrame:
-        waiting = [tuple(r) for r in self.pending.get()]
-        ready = sorted(r for r in waiting if r[0] < watermark_us)
-        recent = [tuple(r) for r in self.recent.get()]
+        kept = np.array([tuple(r) for r in self.recent.get()], dtype=np.int64).reshape(-1, 2)
+        parts = [kept]
+        for frame in rows:
+            parts += [np.column_stack([t, i]).astype(np.int64) for t, i in zip(frame["times"], frame["places"], strict=True)]
+        given = np.concatenate(parts)
+        given = given[np.lexsort((given[:, 1], given[:, 0]))]
         window = tuple(self.window.get()) if self.window.exists() else None
-        closed = []
-        for t, idx in ready:
-            if window and t <= window[0] + self.width:
-                window = (window[0], t, window[2] + 1, window[3])
-                continue
-            if window:
-                closed.append(window)
-                window = None
-            recent.append((t, idx))
-            if len(recent) < self.threshold:
-                continue
-            first_t, first_idx = recent[0]
-            if t - first_t <= self.width:
-                window, recent = (first_t, t, self.threshold, first_idx), []
-            else:
-                recent = recent[1:]
-        if window and window[0] + self.width < watermark_us:
-            closed.append(window)
-            window = None
-        self._keep(self.pending, [r for r in waiting if r[0] >= watermark_us])
-        self._keep(self.recent, recent)
+        closed, window, used = advance(given[:, 0], given[:, 1], window, self.width, self.threshold)
+        left = given[max(used, len(given) - self.threshold + 1) :] if window is None else given[:0]
+        watermark = timerValues.getCurrentWatermarkInMs() * 1000
+        if window and window[0] + self.width < watermark:
+            closed, window = [*closed, window], None
+        if len(left):
+            self.recent.put([(int(t), int(i)) for t, i in left])
+        elif self.recent.exists():
+            self.recent.clear()
         if window:
             self.window.update(window)
+            self.handle.registerTimer((window[0] + self.width) // 1000 + 2)
         elif self.window.exists():
             self.window.clear()
-        return pd.DataFrame(
-            {
-                "key": pd.Series([key[0]] * len(closed), dtype=object),
-                "start_us": pd.Series([w[0] for w in closed], dtype="int64"),
-                "last_us": pd.Series([w[1] for w in closed], dtype="int64"),
-                "n": pd.Series([w[2] for w in closed], dtype="int64"),
-                "first_idx": pd.Series([w[3] for w in closed], dtype="int64"),
-            }
-        )
+        yield self._frame(key, closed)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        closed = []
+        if self.window.exists():
+            window = tuple(self.window.get())
+            if window[0] + self.width < timerValues.getCurrentWatermarkInMs() * 1000:
+                closed.append(window)
+                self.window.clear()
+        yield self._frame(key, closed)
 
     @staticmethod
-    def _keep(state, rows: list[tuple[int, int]]) -> None:
-        if rows:
-            state.put(rows)
-        elif state.exists():
-            state.clear()
+    def _frame(key, closed: list[Window]) -> pd.DataFrame:
+        columns = {c: pd.Series([w[k] for w in closed], dtype="int64") for k, c in enumerate(("start_us", "last_us", "n", "first_idx"))}
+        return pd.DataFrame({"key": pd.Series([key[0]] * len(closed), dtype=object), **columns})
 
     def close(self) -> None:
         pass
 
 
-def burst_stream(rows: DataFrame, window_seconds: int, threshold: int, lateness: str = "10 minutes") -> DataFrame:
-    """Closed windows of a stream with ``key``, ``timestamp`` and ``event_idx``.
+def burst_stream(
+    rows: DataFrame, window_seconds: int, threshold: int, lateness: str = "10 minutes", slot: str = "1 second"
+) -> DataFrame:
+    """Closed windows of a stream with ``key``, ``timestamp`` and ``event_idx``; rows without a time are in none.
 
-    A window is emitted once the watermark has passed its end; rows later than
-    ``lateness`` are dropped by the watermark. Needs the RocksDB state store.
+    Rows first gather by key, ``slot`` and a salt, so a key that holds much of the stream is spread over
+    the cluster, also while its rows wait for the watermark; of a slot only its sorted times go on, in
+    one row per salt. A window is emitted once the watermark has passed its end; rows later than
+    ``lateness`` are dropped by the watermark. The session needs the RocksDB state store.
     """
-    if threshold < 2:
-        raise ValueError("threshold must be at least 2")
-    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
-    timed = rows.withWatermark("timestamp", lateness).select(
-        "key", "timestamp", F.unix_micros("timestamp").alias("t"), "event_idx"
-    )
-    return timed.groupBy("key").transformWithStateInPandas(
+    if threshold < 1:
+        raise ValueError("threshold must be at least 1")
+    if rows.sparkSession.conf.get(STATE_PROVIDER_KEY, None) != STATE_PROVIDER:
+        raise ValueError(f"the stream keeps its state in RocksDB: set {STATE_PROVIDER_KEY} to {STATE_PROVIDER}")
+    timed = rows.filter("timestamp IS NOT NULL").withWatermark("timestamp", lateness)
+    salted = timed.groupBy("key", F.window("timestamp", slot).alias("slot"), F.pmod(F.xxhash64("event_idx"), F.lit(SALTS)).alias("salt"))
+    gathered = salted.agg(F.collect_list(F.struct(F.unix_micros("timestamp").alias("t"), F.col("event_idx").alias("idx"))).alias("_rows"))
+    slots = gathered.select("key", "slot", F.col("_rows.t").alias("times"), F.col("_rows.idx").alias("places"))
+    return slots.groupBy("key").transformWithStateInPandas(
         statefulProcessor=GreedyWindows(window_seconds * 1_000_000, threshold),
         outputStructType=BURST_SCHEMA,
         outputMode="Append",

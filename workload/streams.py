@@ -9,7 +9,7 @@ from logtrail.plans.classify import predict, train
 from logtrail.streaming.bursts import burst_stream
 from logtrail.streaming.ingest import ingest
 from workload.base import LOGS, logs, query
-from workload.detection import AUTH_BURST, AUTH_W, BURST_T
+from workload.detection import AUTH_W, BURST_T, FAILED, burst_ctes
 from workload.parsing import NORMAL_SQL, PARSED_SQL, YEAR, ingest_ts, scratch, syslog_lines
 
 
@@ -30,21 +30,30 @@ def stream_ingest(spark, sf_dir):
     )
 
 
+# A third of all rows has one key; rows arrive up to six hours after their time.
+_KEY = "CASE WHEN event_idx % 3 = 0 THEN 'hot' ELSE source_ip END"
+_DELAY = "event_idx * 7919 % 21600"
+_SLICES = 6
+
+
 @query(
-    f"""WITH RECURSIVE {LOGS}, {AUTH_BURST}
+    f"""WITH RECURSIVE {LOGS}, {burst_ctes(FAILED, _KEY, AUTH_W, BURST_T)}
     SELECT key, start AS start_us, max(t) AS last_us, count(*) AS n, min(first_idx) AS first_idx FROM m GROUP BY key, start"""
 )
 def stream_bursts(spark, sf_dir):
-    """Failed logins replayed as a stream; the windows equal those of the batch operator."""
+    """Failed logins replayed as a stream of many files, late rows among them; the windows equal those of the batch operator."""
     path = scratch(spark, "bursts")
-    rows = failed_auth(logs(spark, sf_dir), "ip").select("key", "timestamp", "event_idx")
+    rows = failed_auth(logs(spark, sf_dir), "ip").select(F.expr(_KEY).alias("key"), "timestamp", "event_idx")
+    arrival = F.unix_seconds("timestamp") + F.expr(_DELAY)
+    first, last = rows.agg(F.min(arrival), F.max(arrival)).first()
+    for k in range(_SLICES):
+        low, high = (first + (last + 1 - first) * n // _SLICES for n in (k, k + 1))
+        rows.filter((arrival >= low) & (arrival < high)).repartition(4).write.mode("append").parquet(f"{path}/in")
     # A last row long after all others moves the watermark past every window.
-    end = rows.agg(F.lit("end").alias("key"), (F.max("timestamp") + F.expr("INTERVAL 30 DAYS")).alias("timestamp")).select(
-        "key", "timestamp", F.lit(-1).cast("bigint").alias("event_idx")
-    )
-    rows.unionByName(end).coalesce(1).write.parquet(f"{path}/in")
-    stream = spark.readStream.schema("key string, timestamp timestamp, event_idx long").parquet(f"{path}/in")
-    found = burst_stream(stream, AUTH_W, BURST_T)
+    end = rows.agg((F.max("timestamp") + F.expr("INTERVAL 30 DAYS")).alias("timestamp"))
+    end.select(F.lit("end").alias("key"), "timestamp", F.lit(-1).cast("bigint").alias("event_idx")).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema("key string, timestamp timestamp, event_idx long").option("maxFilesPerTrigger", 4).parquet(f"{path}/in")
+    found = burst_stream(stream, AUTH_W, BURST_T, lateness="6 days", slot="1 minute")
     (
         found.writeStream.format("parquet")
         .option("checkpointLocation", f"{path}/checkpoint")
