@@ -115,26 +115,41 @@ def stitch_records(lines: DataFrame) -> DataFrame:
     return flagged.filter(alone).select(*kept).unionByName(whole.select(*kept))
 
 
-def _records(lines_of, schema: str, how: dict, multi_line: bool, identity: str, headers: DataFrame) -> DataFrame:
-    """Cells ``_c0, ...`` with ``source_file`` and ``row_no``, without the header; ``lines_of`` opens the files by a reader."""
-    if not multi_line:
-        raw = lines_of(lambda reader, paths: reader.schema(schema).options(header=True, enforceSchema=True, **how).csv(paths))
-        return raw.select("*", F.col(f"_metadata.{identity}").alias("source_file"), row_order().alias("row_no"))
-    records = stitch_records(_with_place(lines_of(lambda reader, paths: reader.text(paths))))
-    body = records.join(headers, "file_path").filter("row_no <> header_no AND trim(value) <> ''")
-    return body.select(F.from_csv("value", F.lit(schema), how).alias("_r"), F.col(identity).alias("source_file"), "row_no").select("_r.*", "source_file", "row_no")
+def cells_of(rows: DataFrame, names: list[str], delimiter: str, parsed: bool = False) -> DataFrame:
+    """Trimmed cells under cleaned ``names``, with ``source_file, file_seq, row_no``.
 
-
-def _read_group(lines_of, delimiter: str, header: str, multi_line: bool, file_seq: int, identity: str, headers: DataFrame) -> DataFrame:
-    names = [clean_header(cell) for cell in _header_cells(header, delimiter)]
+    ``rows`` has the record as text in ``value``, or its cells ``_c0, ...`` if ``parsed``.
+    """
     names = [f"{name}_" if name in ORIGIN_COLUMNS else name for name in names]
-    schema = ", ".join(f"_c{i} STRING" for i in range(len(names)))
-    how = {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
-    raw = _records(lines_of, schema, how, multi_line, identity, headers)
+    if not parsed:
+        record = F.from_csv("value", F.lit(_schema(names)), _dialect(delimiter))
+        rows = rows.withColumn("_r", record).select("_r.*", *ORIGIN_COLUMNS)
     # A repeated header name keeps its last column, as in a record keyed by name.
     position = {name: i for i, name in enumerate(names)}
     cells = [F.coalesce(strip(F.col(f"_c{i}")), F.lit("")).alias(name) for name, i in position.items() if name]
-    return raw.select(*cells, "source_file", F.lit(file_seq).alias("file_seq"), "row_no")
+    return rows.select(*cells, *ORIGIN_COLUMNS)
+
+
+def _schema(names: list[str]) -> str:
+    return ", ".join(f"_c{i} STRING" for i in range(len(names)))
+
+
+def _dialect(delimiter: str) -> dict[str, str]:
+    return {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+
+
+def _read_group(opened, delimiter: str, header: str, multi_line: bool, file_seq: int, identity: str, headers: DataFrame) -> DataFrame:
+    """Records of the files that ``opened`` reads with a reader, without their headers."""
+    names = [clean_header(cell) for cell in _header_cells(header, delimiter)]
+    seq = F.lit(file_seq).alias("file_seq")
+    if not multi_line:
+        how = {"header": True, "enforceSchema": True, **_dialect(delimiter)}
+        raw = opened(lambda reader, paths: reader.schema(_schema(names)).options(**how).csv(paths))
+        rows = raw.select("*", F.col(f"_metadata.{identity}").alias("source_file"), seq, row_order().alias("row_no"))
+        return cells_of(rows, names, delimiter, parsed=True)
+    records = stitch_records(_with_place(opened(lambda reader, paths: reader.text(paths))))
+    body = records.join(headers, "file_path").filter("row_no <> header_no AND trim(value) <> ''")
+    return cells_of(body.select("value", F.col(identity).alias("source_file"), seq, "row_no"), names, delimiter)
 
 
 def _header_cells(header: str, delimiter: str) -> list[str]:

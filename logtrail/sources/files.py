@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 POSITION_BITS = 33
 
 
-def row_order() -> Column:
+def row_order(block_start: Column | None = None) -> Column:
     """A number that grows with the position of a row in its file.
 
     A split knows its byte offset in the file but not its line numbers, so the
     order is (offset of the split in MiB, position in the task). Splits are at
-    least 1 MiB apart and a file is below 1 PiB, so both fit in one long.
+    least 1 MiB apart and a file is below 1 PiB, so both fit in one long. ``block_start``
+    is the offset, by default that of a frame just read.
     """
     position = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << POSITION_BITS) - 1))
-    block = F.shiftright(F.col("_metadata.file_block_start"), 20)
+    block = F.shiftright(F.col("_metadata.file_block_start") if block_start is None else block_start, 20)
     return F.shiftleft(block, POSITION_BITS) + position
 
 

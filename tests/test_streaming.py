@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from logtrail.operators.windows import greedy_windows, window_members
 from logtrail.streaming.bursts import burst_stream
-from logtrail.streaming.ingest import ingest
+from logtrail.streaming.ingest import ingest, ingested
 
 
 def drain(stream, tmp_path, name):
@@ -26,8 +26,42 @@ def test_ingest_takes_each_file_once(spark, tmp_path):
     (tmp_path / "in" / "b.log").write_text("Apr 10 08:00:01 h app: one\nApr 10 08:00:02 h app: two\n")
     for _ in range(2):
         ingest(spark, landing, table, checkpoint, 2026, ingest_ts=now).awaitTermination()
-    rows = spark.read.parquet(table).orderBy("timestamp").collect()
-    assert [(r.source_file, r.username) for r in rows] == [("a.log", "bob"), ("b.log", ""), ("b.log", "")]
+    rows = ingested(spark, table).orderBy("timestamp").collect()
+    assert [(r.source_file.rsplit("/", 1)[1], r.username) for r in rows] == [("a.log", "bob"), ("b.log", ""), ("b.log", "")]
+
+
+def test_a_file_delivered_again_is_taken_once(spark, tmp_path):
+    text = 'time,message\n2026-04-10T08:00:00Z,"one\n\nstill ""one"""\n2026-04-10T08:00:01Z,two\n'
+    for folder, body in (("x", text), ("y", text.replace("two", "2nd"))):
+        (tmp_path / "in" / folder).mkdir(parents=True)
+        (tmp_path / "in" / folder / "a.csv").write_text(body)
+    landing, checkpoint = str(tmp_path / "in"), str(tmp_path / "c")
+    how = {"csv_header": ["time", "message"], "recursiveFileLookup": True}
+    got = {}
+    for same in ("path", "name_and_size"):
+        table = str(tmp_path / same)
+        ingest(spark, landing, table, f"{checkpoint}-{same}", same_file=same, **how).awaitTermination()
+        got[same] = sorted(r.message for r in ingested(spark, table).collect())
+    assert got["path"] == sorted(['one\n\nstill "one"', "two"] + ['one\n\nstill "one"', "2nd"])
+    assert got["name_and_size"] == sorted(['one\n\nstill "one"', "two"])
+    (tmp_path / "in" / "z").mkdir()
+    (tmp_path / "in" / "z" / "a.csv").write_text(text)  # a later batch brings it once more, and a new file
+    (tmp_path / "in" / "z" / "b.csv").write_text("time,message\n2026-04-10T08:00:02Z,three\n")
+    ingest(spark, landing, str(tmp_path / "name_and_size"), f"{checkpoint}-name_and_size", same_file="name_and_size", **how).awaitTermination()
+    assert sorted(r.message for r in ingested(spark, str(tmp_path / "name_and_size")).collect()) == sorted([*got["name_and_size"], "three"])
+
+
+def test_a_batch_that_is_run_again_adds_nothing(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.log").write_text("Apr 10 08:00:00 h app: one\n")
+    landing, table, checkpoint = (str(tmp_path / n) for n in ("in", "events", "checkpoint"))
+    ingest(spark, landing, table, checkpoint, 2026).awaitTermination()
+    # the batch was done but its commit was lost: it is planned and run a second time
+    for commit in (tmp_path / "checkpoint" / "commits").iterdir():
+        commit.unlink()
+    (tmp_path / "in" / "b.log").write_text("Apr 10 08:00:01 h app: two\n")
+    ingest(spark, landing, table, checkpoint, 2026).awaitTermination()
+    assert sorted(r.message for r in ingested(spark, table).collect()) == ["[app] one", "[app] two"]
 
 
 def test_csv_ingest(spark, tmp_path):
@@ -36,7 +70,7 @@ def test_csv_ingest(spark, tmp_path):
     ingest(
         spark, str(tmp_path / "in"), str(tmp_path / "t"), str(tmp_path / "c"), csv_header=["Time", "Message"], delimiter=";"
     ).awaitTermination()
-    (row,) = spark.read.parquet(str(tmp_path / "t")).collect()
+    (row,) = ingested(spark, str(tmp_path / "t")).collect()
     assert (row.process, row.message, str(row.timestamp)) == ("Mail", "via App Mail ok", "2026-04-10 08:00:00")
 
 
