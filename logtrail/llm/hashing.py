@@ -80,18 +80,35 @@ def words(text: bytes, gaps: np.ndarray = _SPACE) -> np.ndarray:
     return spans(prefix_sums(data), starts, ends)
 
 
-def word_prefixes(text: bytes, lengths: tuple[int, ...], gaps: np.ndarray = NO_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per word, A-Z lower-cased: fingerprints of the whole and of its prefixes of some lengths in bytes, and its bounds.
+def among(known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values are in the sorted ``known``; unlike a set operation it does not read all of ``known`` each time."""
+    if not len(known):
+        return np.zeros(values.shape, dtype=bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def word_prefixes(
+    text: bytes, lengths: tuple[int, ...], known: np.ndarray | None = None, gaps: np.ndarray = NO_WORD
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per word, A-Z lower-cased: fingerprints of the whole and of its prefixes of some falling lengths in bytes, and its bounds.
 
     The first row is of whole words, told apart from equal prefixes; 0 where a word is shorter.
+    With ``known``, sorted fingerprints that hold with any unit its prefixes as well, a word whose
+    shortest prefix is not among them has no unit there, and gets zeros.
     """
     data = _LOWER[np.frombuffer(text, dtype=np.uint8)]
     starts, ends = word_bounds(data, gaps)
     sums = prefix_sums(data)
     out = np.zeros((1 + len(lengths), len(starts)), dtype=np.uint64)
-    out[0] = mix(spans(sums, starts, ends))
+    size = ends - starts
+    asked = np.arange(len(starts))
+    if known is not None:
+        long = np.flatnonzero(size >= lengths[-1])
+        long = long[among(known, spans(sums, starts[long], starts[long] + lengths[-1]))]
+        asked = np.sort(np.concatenate((np.flatnonzero(size < lengths[-1]), long)))
+    out[0, asked] = mix(spans(sums, starts[asked], ends[asked]))
     for row, length in zip(out[1:], lengths, strict=True):
-        some = ends - starts >= length
+        some = asked[size[asked] >= length]
         row[some] = spans(sums, starts[some], starts[some] + length)
     return out, starts, ends
 

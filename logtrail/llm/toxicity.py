@@ -48,17 +48,17 @@ class Weights:
     cost: float
     rate: float = 1.0
 
-    def of(self, units: np.ndarray) -> np.ndarray:
-        """Weights of words from the rows of ``hashing.word_prefixes``, longest first."""
-        out = np.full(units.shape[1], -self.cost)
-        if len(self.units):
-            left = np.ones(units.shape[1], dtype=bool)
-            for row in units:
-                at = np.minimum(np.searchsorted(self.units, row), len(self.units) - 1)
-                known = (self.units[at] == row) & left
-                out[known] = self.weights[at[known]]
-                left &= ~known
-        return out
+    def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Weights of the words of a text, and the words' bounds."""
+        units, starts, ends = hashing.word_prefixes(text, PREFIXES, self.units)
+        out = np.full(len(starts), -self.cost)
+        left = np.flatnonzero(units[0])
+        for row in units:
+            known = hashing.among(self.units, row[left])
+            found = left[known]
+            out[found] = self.weights[np.searchsorted(self.units, row[found])]
+            left = left[~known]
+        return out, starts, ends
 
 
 def segments(weights: np.ndarray) -> list[tuple[int, int, float]]:
@@ -95,7 +95,7 @@ def labelled(docs: DataFrame, labels: DataFrame, most_rows: int) -> DataFrame:
 def _unit_counts(rows: DataFrame, known: np.ndarray | None = None) -> DataFrame:
     """``unit, clean, toxic``: words of each label with a unit, once per document; of all units or of known ones.
 
-    Unit 0 has the number of words. Tasks add up before the shuffle.
+    Unit 0 has the number of words, repeats included. Tasks add up before the shuffle.
     """
 
     def flush(kept: list) -> pa.RecordBatch:
@@ -108,11 +108,12 @@ def _unit_counts(rows: DataFrame, known: np.ndarray | None = None) -> DataFrame:
         kept, held = [], 0
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                units = hashing.word_prefixes((text.as_py() or "").encode(), PREFIXES)[0]
+                units = hashing.word_prefixes((text.as_py() or "").encode(), PREFIXES, known)[0]
+                n = units.shape[1]
                 units = units[:, np.unique(units[0], return_index=True)[1]]
                 some = units[units != 0]
-                some = some if known is None else some[np.isin(some, known)]
-                kept.append((np.concatenate((some, np.zeros(units.shape[1], np.uint64))), toxic))
+                some = some if known is None else some[hashing.among(known, some)]
+                kept.append((np.concatenate((some, np.zeros(n, np.uint64))), toxic))
                 held += len(kept[-1][0])
                 if held > _FLUSH:
                     yield flush(kept)
@@ -132,7 +133,7 @@ def _independent_counts(rows: DataFrame, likely: np.ndarray) -> DataFrame:
             out = [np.empty((0, len(PREFIXES) + 3), dtype=np.uint64)]
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 units = hashing.word_prefixes((text.as_py() or "").encode(), PREFIXES)[0]
-                hit = np.flatnonzero(np.isin(units, likely).any(axis=0))
+                hit = np.flatnonzero(hashing.among(likely, units).any(axis=0))
                 if len(hit):
                     edge = np.concatenate((np.zeros(1, np.uint64), units[0], np.zeros(1, np.uint64)))
                     around = hashing.mix(hashing.mix(edge[hit]) + edge[hit + 2])
@@ -181,7 +182,9 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float = 1000.0, cost: float =
     if not totals or not all(totals):
         return nothing
     needed = 2 * np.log(len(units) + 1)
-    likely = units[(units != 0) & (_evidence(y0, y1, *totals) >= needed)]
+    # repeats and copies only blur the ratio, so half of what is needed chooses the words that are looked at closely
+    often = y1 * totals[0] >= LEAST_RATIO / 2 * y0 * totals[1]
+    likely = units[(units != 0) & often & (_evidence(y0, y1, *totals) >= needed)]
     units, y0, y1 = _arrays(_independent_counts(rows, likely).filter(F.col("clean") + F.col("toxic") >= LEAST_SEEN))
     mass = 0.5 + prior * (y0 + y1) / sum(totals)
     odds = [np.log((y + mass) / (n + prior - y)) for y, n in ((y0, totals[0]), (y1, totals[1]))]
@@ -197,7 +200,7 @@ def _clean_weights(rows: DataFrame, model: Weights) -> tuple[np.ndarray, np.ndar
         for batch in batches:
             found = [np.empty(0)]
             for text in batch.column(0):
-                found.append(model.of(hashing.word_prefixes((text.as_py() or "").encode(), PREFIXES)[0]))
+                found.append(model.of((text.as_py() or "").encode())[0])
             values, counts = np.unique(np.round(np.concatenate(found) * 100).astype(np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts.astype(np.int64))], ["weight", "n"])
 
@@ -230,12 +233,12 @@ def scan(docs: DataFrame, model: Weights) -> DataFrame:
             n, found = [], []
             for value in batch.column(1):
                 text = (value.as_py() or "").encode()
-                units, starts, ends = hashing.word_prefixes(text, PREFIXES)
+                weights, starts, ends = model.of(text)
                 n.append(len(starts))
                 found.append(
                     [
                         {"first_word": a, "last_word": b, "start": int(starts[a]), "end": int(ends[b]), "weight": w, "passage": text[starts[a] : ends[b]].decode()}
-                        for a, b, w in segments(model.of(units))
+                        for a, b, w in segments(weights)
                     ]
                 )
             kind = pa.list_(pa.struct([(k, pa.int64()) for k in ("first_word", "last_word", "start", "end")] + [("weight", pa.float64()), ("passage", pa.string())]))
