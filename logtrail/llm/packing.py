@@ -185,29 +185,58 @@ def plan(counts: dict[int, int], limit: int = 2048, nodes: int = 5000, width: in
     total = sum(k * c for k, c in counts.items())
     incumbent = best_fit(counts, limit)
     used, bound = sum(t for _, t in incumbent), lower_bound(counts, limit)
-    stack: list[tuple[dict[int, int], Plan, int, int]] = [({k: c for k, c in counts.items() if c}, [], 0, 0)]
-    while stack and nodes and used > bound:
-        left, chosen, bins, wasted = stack.pop()
-        if not left:
-            if bins < used:
-                incumbent, used = chosen, bins
-            continue
+    # one table of the pieces left and one path; going back puts a filling's pieces back
+    left = {k: c for k, c in counts.items() if c}
+    path: Plan = []
+    bins = wasted = 0
+
+    def take(filling: tuple[int, ...], times: int) -> None:
+        for length, many in Counter(filling).items():
+            now = left.get(length, 0) - many * times
+            if now:
+                left[length] = now
+            else:
+                left.pop(length, None)
+
+    def choices() -> list[tuple[tuple[int, ...], int]]:
         slack = (used - 1) * limit - total - wasted
         if slack < 0 or bins + lower_bound(left, limit) >= used:
-            continue
-        nodes -= 1
+            return []
         largest = max(left)
-        counts_left = {k: c - (k == largest) for k, c in left.items() if c - (k == largest)}
-        lengths = [k for k in sorted(counts_left, reverse=True) if k <= limit - largest]
-        options = _fillings(counts_left, lengths, limit - largest, slack, width)
-        for filling in reversed(options):
-            parts = Counter((largest, *filling))
-            times = min(left[k] // n for k, n in parts.items())
+        take((largest,), 1)
+        lengths = [k for k in sorted(left, reverse=True) if k <= limit - largest]
+        fillings = _fillings(left, lengths, limit - largest, slack, width)
+        take((largest,), -1)
+        out = []
+        for filling in fillings:
+            times = min(left[k] // n for k, n in Counter((largest, *filling)).items())
             waste = limit - largest - sum(filling)
             if waste:
                 times = max(1, min(times, slack // waste))
-            rest = {k: c - parts[k] * times for k, c in left.items() if c > parts[k] * times}
-            stack.append((rest, [*chosen, ((largest, *filling), times)], bins + times, wasted + waste * times))
+            out.append(((largest, *filling), times))
+        return out
+
+    ways = [iter(choices())] if left and used > bound else []
+    while ways and nodes and used > bound:
+        chosen = next(ways[-1], None)
+        if chosen is None:
+            ways.pop()
+            if path:
+                filling, times = path.pop()
+                take(filling, -times)
+                bins, wasted = bins - times, wasted - (limit - sum(filling)) * times
+            continue
+        filling, times = chosen
+        take(filling, times)
+        path.append(chosen)
+        bins, wasted = bins + times, wasted + (limit - sum(filling)) * times
+        if left:
+            nodes -= 1
+            ways.append(iter(choices()))
+            continue
+        if bins < used:
+            incumbent, used = list(path), bins
+        ways.append(iter(()))
     return incumbent
 
 
