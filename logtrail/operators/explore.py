@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logtrail.functions.text import first_present
-from logtrail.operators.ordering import with_ordinal
+from logtrail.operators.ordering import staged_order
 
 # Searched columns, rule labels, severity ranks and display limits.
 SEARCH_COLUMNS = ("message", "event_id", "source_ip", "username", "source")
@@ -55,6 +56,12 @@ def with_rule(events: DataFrame, rule: str) -> DataFrame:
     return events.filter(F.exists("alerts", lambda a: a["rule_name"] == rule))
 
 
+def events_of_rule(events: DataFrame, alerts: DataFrame, members: DataFrame, rule: str) -> DataFrame:
+    """Events that an alert of the rule refers to; nothing is annotated for it."""
+    wanted = members.join(alerts.filter(F.col("rule_name") == rule).select("alert_id"), "alert_id", "left_semi")
+    return events.join(wanted.select("event_idx").distinct(), "event_idx", "left_semi")
+
+
 def sort_keys(sort_by: str = "timestamp", ascending: bool = True) -> list[Column]:
     """Case-insensitive order of one column, missing values as ''; ties in timeline order."""
     key = F.col(sort_by) if sort_by == "timestamp" else F.lower(F.coalesce(sort_by, F.lit("")))
@@ -85,17 +92,43 @@ def page(
 ) -> DataFrame:
     """One page of the sorted rows; the page number is clamped to the pages there are.
 
-    Early pages are a top-k. Deep ones are cut out of a global rank, since a top-k
-    of that size would pass through one task.
+    Early pages are a top-k. Deep ones are cut out of a staged order, since a top-k
+    of that size would pass through one task; keep a ``page_index`` to read many of them.
     """
     total = filtered.count() if total is None else total
     last = max(1, -(-total // size))
     start = (max(1, min(number, last)) - 1) * size
-    keys = sort_keys(sort_by, ascending)
     if start + size <= _TOP_ROWS:
-        return filtered.orderBy(*keys).offset(start).limit(size)
-    ranked = with_ordinal(filtered, keys, "_rank", "page")
-    return ranked.filter(F.col("_rank").between(start, start + size - 1)).orderBy("_rank").drop("_rank")
+        return filtered.orderBy(*sort_keys(sort_by, ascending)).offset(start).limit(size)
+    return page_index(filtered, sort_by, ascending).page(number, size)
+
+
+@dataclass(frozen=True)
+class PageIndex:
+    """Rows in one order as a table with a folder per range of it, and the ranges with their first places."""
+
+    ordered: DataFrame
+    ranges: list[tuple[int, int]]
+    total: int
+
+    def page(self, number: int = 1, size: int = PAGE_SIZE) -> DataFrame:
+        """One page, read from the one or two folders that hold it; the number is clamped to the pages there are."""
+        last = max(1, -(-self.total // size))
+        start = (max(1, min(number, last)) - 1) * size
+        ends = [first for _, first in self.ranges[1:]] + [self.total]
+        wanted = [
+            (F.col("_range") == part) & F.col("_pos").between(start - first, start + size - first - 1)
+            for (part, first), end in zip(self.ranges, ends, strict=False)
+            if first < start + size and start < end
+        ]
+        rows = self.ordered.filter(reduce(lambda a, b: a | b, wanted, F.lit(False)))
+        return rows.orderBy("_range", "_pos").drop("_range", "_pos")
+
+
+def page_index(filtered: DataFrame, sort_by: str = "timestamp", ascending: bool = True) -> PageIndex:
+    """The order that all pages of a sorted view are cut from: one sort, whatever the number of pages read later."""
+    return PageIndex(*staged_order(filtered, sort_keys(sort_by, ascending), "pages"))
+
 
 
 def page_info(filtered: DataFrame, number: int = 1, size: int = PAGE_SIZE) -> DataFrame:
@@ -181,14 +214,22 @@ def rules_present(alerts: DataFrame) -> DataFrame:
     )
 
 
-def timeline_sample(events: DataFrame, max_items: int = SAMPLE_ITEMS) -> DataFrame:
+def alerted_totals(events: DataFrame, members: DataFrame) -> DataFrame:
+    """One row: ``n`` events and ``a`` of them alerted, counted without annotating any."""
+    alerted = members.join(events.select("event_idx"), "event_idx", "left_semi").agg(F.count_distinct("event_idx"))
+    return events.agg(F.count("*").alias("n")).withColumn("a", alerted.scalar())
+
+
+def timeline_sample(events: DataFrame, max_items: int = SAMPLE_ITEMS, totals: DataFrame | None = None) -> DataFrame:
     """At most ``max_items`` annotated events for display: alerted ones first, then every k-th.
 
     All events are kept when they fit. When alerted events alone fill the display,
-    no others are added.
+    no others are added. ``totals`` are from ``alerted_totals``; without them the annotated
+    events are counted, and so made twice.
     """
     alerted = F.size("alerts") > 0
-    step = events.agg(F.count("*").alias("n"), F.count_if(alerted).alias("a")).select(
+    totals = events.agg(F.count("*").alias("n"), F.count_if(alerted).alias("a")) if totals is None else totals
+    step = totals.select(
         F.when(F.col("n") <= max_items, F.lit(0))
         .when(F.col("a") >= max_items, F.lit(-1))
         .otherwise(F.ceil(F.col("n") / (F.lit(max_items) - F.col("a"))))

@@ -49,6 +49,24 @@ def with_ordinal(df: DataFrame, order: list[Column], name: str, label: str, part
     )
 
 
+def staged_order(df: DataFrame, order: list[Column], label: str) -> tuple[DataFrame, list[tuple[int, int]], int]:
+    """Rows in a folder per range of the order, with ``_range`` and ``_pos`` in it; each range and its first place; the number of rows.
+
+    A filter on ``_range`` prunes folders, so reading some rows of the order opens the files of their range only.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+    placed = ranged.select(
+        *df.columns,
+        F.col("_place").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1)).alias("_pos"),
+        F.shiftright("_place", _POSITION_BITS).alias("_range"),
+    )
+    staged = stage(placed, label, "_range")
+    # one row per range of the sort
+    counts = sorted((r["_range"], r["n"]) for r in staged.groupBy("_range").agg(F.count("*").alias("n")).collect())
+    starts = [0, *accumulate(n for _, n in counts)]
+    return staged, [(number, start) for (number, _), start in zip(counts, starts, strict=False)], starts[-1]
+
+
 def union_sources(*frames: DataFrame) -> DataFrame:
     """UNION ALL by column name; columns that a frame lacks are NULL."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -108,9 +108,11 @@ def account_burst(events: DataFrame, seconds: int = BURST_SECONDS, block_rows: i
         "rn", "timestamp", "_margin", F.coalesce(*ends).alias("end")
     )
     span = seconds_between(F.col("timestamp"), F.col("end.timestamp"))
-    first = (
-        looked.filter(~F.col("_margin") & (span <= seconds))
-        .agg(F.min_by(F.struct("rn", F.col("end.rn").alias("last_rn"), span.alias("span")), F.col("rn")).alias("first"))
+    found = looked.filter(~F.col("_margin") & (span <= seconds))
+    # one row, staged since three values of it are asked for
+    first = stage(
+        found.agg(F.min_by(F.struct("rn", F.col("end.rn").alias("last_rn"), span.alias("span")), F.col("rn")).alias("first")),
+        "first-burst",
     )
 
     def of_first(name: str) -> Column:
@@ -153,11 +155,14 @@ def _burst_alert(burst: DataFrame) -> DataFrame:
 
 
 def detect_privilege_escalation(
-    events: DataFrame, window_seconds: int = 600, max_lookahead: int | None = LOOKAHEAD_ROWS
+    events: DataFrame,
+    window_seconds: int = 600,
+    max_lookahead: int | None = LOOKAHEAD_ROWS,
+    burst_seconds: int = BURST_SECONDS,
 ) -> Detection:
     """Alerts of both patterns; those of account management come last."""
     found = stage(escalations(events, window_seconds, max_lookahead), "escalations")
-    burst = account_burst(events)
+    burst = stage(account_burst(events, burst_seconds), "account-burst")
     burst_alert = _burst_alert(burst)
     escalation_id = alert_identity("privilege_escalation", F.lit(0), F.col("event_idx"))["alert_id"]
     triple = F.array("event_idx", "success.event_idx", "privilege.event_idx")

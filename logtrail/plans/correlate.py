@@ -47,7 +47,7 @@ class DetectionConfig:
         return cls(**{k: v for k, v in (config or {}).items() if k in known})
 
 
-def _together(spark: SparkSession, jobs: list[Callable]) -> list:
+def together(spark: SparkSession, jobs: list[Callable]) -> list:
     """Results of independent Spark jobs that are submitted at the same time."""
     with ThreadPoolExecutor(len(jobs)) as pool:
         return list(pool.map(lambda job: inheritable_thread_target(spark)(job)(), jobs))
@@ -56,7 +56,7 @@ def _together(spark: SparkSession, jobs: list[Callable]) -> list:
 def run_detectors(timeline: DataFrame, config: DetectionConfig | dict | None = None) -> list[Detection]:
     """The six detections in their fixed order; their jobs share the cluster."""
     c = DetectionConfig.of(config)
-    return _together(
+    return together(
         timeline.sparkSession,
         [
             lambda: detect_brute_force(
@@ -73,12 +73,14 @@ def run_detectors(timeline: DataFrame, config: DetectionConfig | dict | None = N
 
 def correlate(timeline: DataFrame, config: DetectionConfig | dict | None = None) -> Detection:
     """All alerts and their bridge table, staged because annotation and summary both read them."""
-    found = run_detectors(timeline, config)
+    return Detection(*staged_together(timeline.sparkSession, run_detectors(timeline, config)))
+
+
+def staged_together(spark: SparkSession, found: list[Detection]) -> tuple[DataFrame, DataFrame]:
+    """The alerts and the bridge table of several detections, staged."""
     alerts = reduce(DataFrame.unionByName, [d.alerts for d in found])
     members = reduce(DataFrame.unionByName, [d.members for d in found])
-    return Detection(
-        *_together(timeline.sparkSession, [lambda: stage(alerts, "alerts"), lambda: stage(members, "alert-events")])
-    )
+    return tuple(together(spark, [lambda: stage(alerts, "alerts"), lambda: stage(members, "alert-events")]))
 
 
 @dataclass

@@ -50,13 +50,13 @@ def staging_root(spark: SparkSession) -> str:
     return spark.conf.get(_CHECKPOINT_KEY, None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_staged"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a parquet table in the shared folder and read it back.
+def stage(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
+    """Write ``df`` as a parquet table in the shared folder and read it back, by folders of its last columns if asked.
 
     This cuts the lineage: later jobs start from files, so a lost executor costs
     only the tasks it was running, and readers prune the columns they need.
     """
     spark = df.sparkSession
     path = f"{staging_root(spark)}/logtrail-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -40,6 +40,37 @@ def test_deep_pages_equal_shallow_ones(spark, monkeypatch):
     assert indices(ex.page(df, 4, sort_by="event_id")) == shallow
 
 
+@pytest.mark.parametrize("size", [7, 50, 1000])
+def test_pages_of_one_index(spark, size):
+    df = annotated(spark, 300, (3, 41))
+    index = ex.page_index(df.repartition(5), sort_by="event_id", ascending=False)
+    ordered = indices(df.orderBy(*ex.sort_keys("event_id", False)))
+    pages = [indices(index.page(k, size)) for k in range(1, -(-300 // size) + 1)]
+    assert [i for p in pages for i in p] == ordered and index.total == 300
+    assert indices(index.page(10**6, size)) == pages[-1]
+    assert indices(ex.page_index(df.filter("false")).page(3)) == []
+
+
+def test_a_page_opens_the_files_of_its_range_only(spark):
+    df = spark.range(20_000).selectExpr("id AS event_idx", "timestamp_seconds(id) AS timestamp")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index = ex.page_index(df)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(index.ranges) > 1 and index.page(10**6).count() == 50
+    read = index.ordered.filter(F.col("_range") == index.ranges[-1][0]).select(F.col("_metadata.file_path").alias("f"))
+    assert {r.f.split("_range=")[1].split("/")[0] for r in read.distinct().collect()} == {str(index.ranges[-1][0])}
+
+
+def test_events_of_a_rule_and_totals(spark):
+    df = annotated(spark, 20, (3, 4)).drop("alerts")
+    alerts = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "alert_id long, rule_name string")
+    members = spark.createDataFrame([(1, 5), (1, 6), (3, 6), (2, 7), (2, 99)], "alert_id long, event_idx long")
+    assert indices(ex.events_of_rule(df, alerts, members, "a").orderBy("event_idx")) == [5, 6]
+    assert tuple(ex.alerted_totals(df, members).first()) == (20, 3)
+
+
 @pytest.mark.parametrize(
     ("n", "alerted", "expected"),
     [

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from logtrail.operators.ordering import build_timeline, first_following, union_s
 from logtrail.operators.privilege import account_burst, detect_privilege_escalation, escalations
 from logtrail.operators.threat import detect_threats
 from logtrail.operators.windows import greedy_windows, window_members
-from logtrail.plans.correlate import DetectionConfig, correlate
+from logtrail.plans.correlate import DetectionConfig, correlate, staged_together, together
 from workload.base import LOGS, logs, query
 
 DAY = 86_400
@@ -252,12 +254,12 @@ def rare_sources(spark, sf_dir):
     return profiles.filter("rare").select("key", "n", "privileged", "first_idx")
 
 
-@query(
-    f"""WITH {LOGS}, {_PROFILES}, lines AS (
+_PROFILE_LINES = f"""{_PROFILES}, lines AS (
         SELECT app AS key, string_agg({iso("timestamp")} || ' - ' || event_id || ': ' || left(message, 80), ' || '
             ORDER BY event_idx) FILTER (k <= 10) AS evidence
         FROM (SELECT *, row_number() OVER (PARTITION BY app ORDER BY event_idx) AS k FROM logs WHERE {_PRIVILEGED})
-        GROUP BY app)
+        GROUP BY app)"""
+_NEW_SOURCE_ALERTS = """
     SELECT (CAST(1 AS BIGINT) << 56) | first_idx AS alert_id, 'new_ip' AS rule_name, 'high' AS severity,
         'Suspicious New IP: ' || r.key AS title,
         'IP ' || r.key || ' appeared only ' || n || ' time(s) but performed ' || privileged || ' privileged action(s). '
@@ -267,7 +269,9 @@ def rare_sources(spark, sf_dir):
         round(least(CAST(0.6 AS DOUBLE) + privileged * CAST(0.15 AS DOUBLE), 0.95), 4) AS confidence,
         'Initial Access' AS mitre_tactic, 'T1078 - Valid Accounts' AS mitre_technique
     FROM rare r JOIN lines l ON l.key = r.key WHERE privileged > 0"""
-)
+
+
+@query(f"WITH {LOGS}, {_PROFILE_LINES} {_NEW_SOURCE_ALERTS}")
 def new_source_alerts(spark, sf_dir):
     return alert_columns(detect_new_source(logs(spark, sf_dir, "app")).alerts)
 
@@ -358,8 +362,8 @@ def account_burst_rows(spark, sf_dir):
     return account_burst(logs(spark, sf_dir), seconds=DAY).select("event_idx", "rn", F.round("span", 3).alias("span"))
 
 
-@query(
-    f"""WITH {LOGS}, {_ALL_ESCALATIONS}
+_ACCOUNT_BURST = _BURST.format(seconds=DAY)
+_PRIVILEGE_ALERTS = f"""
     SELECT (CAST(2 AS BIGINT) << 56) | e.event_idx AS alert_id, 'privilege_escalation' AS rule_name, 'critical' AS severity,
         'Privilege Escalation Detected' AS title,
         'Source ' || e.source_ip || ': Failed authentication at ' || {iso("e.timestamp")} || ', followed by successful logon '
@@ -369,18 +373,36 @@ def account_burst_rows(spark, sf_dir):
         epoch_us(e.timestamp) AS start_us, epoch_us(p.timestamp) AS end_us, e.source_ip, e.username AS target, '' AS process,
         CAST(3 AS BIGINT) AS event_count, CAST(0.85 AS DOUBLE) AS confidence, 'Privilege Escalation' AS mitre_tactic,
         'T1068 - Exploitation for Privilege Escalation' AS mitre_technique
-    FROM esc e JOIN logs s ON s.event_idx = e.success_idx JOIN logs p ON p.event_idx = e.privilege_idx"""
-)
+    FROM esc e JOIN logs s ON s.event_idx = e.success_idx JOIN logs p ON p.event_idx = e.privilege_idx
+    UNION ALL
+    SELECT (CAST(2 AS BIGINT) << 56) | min(m.event_idx), 'privilege_escalation', 'high', 'Rapid Account Manipulation',
+        'Detected ' || count(*) || ' account management operations within ' || CAST(round_even(any_value(r.span) / 1000000.0, 0) AS BIGINT) || 's.',
+        string_agg({iso("timestamp")} || ' - ' || event_id || ': ' || left(message, 60), ' || ' ORDER BY event_idx),
+        min(epoch_us(timestamp)), max(epoch_us(timestamp)), '', '', '', count(*), CAST(0.75 AS DOUBLE), 'Persistence', 'T1136 - Create Account'
+    FROM managed m JOIN first_run r ON m.rn BETWEEN r.first_rn AND r.last_rn HAVING count(*) > 0"""
+
+
+@query(f"WITH {LOGS}, {_ALL_ESCALATIONS}, {_ACCOUNT_BURST} {_PRIVILEGE_ALERTS}")
 def privilege_alerts(spark, sf_dir):
-    alerts = detect_privilege_escalation(logs(spark, sf_dir), DAY, None).alerts
-    return alert_columns(alerts.filter("severity = 'critical'"))
+    """Both patterns: failure, success and elevation of one source, and the burst of account management."""
+    return alert_columns(detect_privilege_escalation(logs(spark, sf_dir), DAY, None, burst_seconds=DAY).alerts)
+
+
+@query(
+    f"""WITH {LOGS}, {_ALL_ESCALATIONS}, {_ACCOUNT_BURST}
+    SELECT (CAST(2 AS BIGINT) << 56) | event_idx AS alert_id, unnest([event_idx, success_idx, privilege_idx]) AS event_idx
+    FROM esc WHERE success_idx IS NOT NULL AND privilege_idx IS NOT NULL
+    UNION ALL SELECT (CAST(2 AS BIGINT) << 56) | min(m.event_idx) OVER (), m.event_idx
+    FROM managed m JOIN first_run r ON m.rn BETWEEN r.first_rn AND r.last_rn"""
+)
+def privilege_members(spark, sf_dir):
+    return detect_privilege_escalation(logs(spark, sf_dir), DAY, None, burst_seconds=DAY).members
 
 
 # --- file access -----------------------------------------------------------------------------
 
 
-@query(
-    f"""WITH RECURSIVE {LOGS}, {FILE_BURST}
+_FILE_ALERTS = f"""
     SELECT (CAST(3 AS BIGINT) << 56) | any_value(first_idx) AS alert_id, 'file_access_anomaly' AS rule_name,
         CASE WHEN count(*) FILTER ({{d}}) > count(*) * 0.3 THEN 'critical' ELSE 'high' END AS severity,
         CASE WHEN count(*) FILTER ({{d}}) > count(*) * 0.3 THEN 'Possible Ransomware Activity'
@@ -394,7 +416,9 @@ def privilege_alerts(spark, sf_dir):
         CASE WHEN count(*) FILTER ({{d}}) > count(*) * 0.3 THEN 'T1486' ELSE 'T1005' END AS mitre_technique
     FROM (SELECT *, row_number() OVER (PARTITION BY key, start ORDER BY event_idx) AS k FROM m)
     GROUP BY key, start""".replace("{d}", "event_id = '4660' OR contains(lower(message), 'delete')")
-)
+
+
+@query(f"WITH RECURSIVE {LOGS}, {FILE_BURST} {_FILE_ALERTS}")
 def file_access_alerts(spark, sf_dir):
     return alert_columns(detect_file_access(logs(spark, sf_dir), FILE_W, BURST_T).alerts)
 
@@ -535,36 +559,78 @@ def threat_alerts(spark, sf_dir):
 
 # --- correlation and annotation --------------------------------------------------------------
 
-_ANNOTATED = f"""refs AS (
-        SELECT l.event_idx, 4 AS rule_no, 'data_exfiltration' AS rule_name, 'critical' AS severity,
-            'Potential Data Exfiltration to ' || s.dst AS title
-        FROM suspicious s JOIN logs l ON l.source_ip = s.src AND l.dest_ip = s.dst WHERE reason_count > 0
-        UNION ALL
-        SELECT alert_id & ((CAST(1 AS BIGINT) << 56) - 1), 5, rule_name, severity, title FROM ({THREAT_ALERTS}))"""
+def _renamed(sql: str, prefix: str) -> str:
+    """SQL over the CTEs of ``burst_ctes`` under a prefix."""
+    return re.sub(r"\b(FROM|JOIN) (f|m|hit|ends)\b", rf"\1 {prefix}\2", sql).replace("ends AS", f"{prefix}ends AS").replace("hit AS", f"{prefix}hit AS")
+
+
+# All alerts with their place in the list (rule, first appearance of the key, time), and their members.
+ALERTS = f"""{burst_ctes(FAILED, "source_ip", AUTH_W, BURST_T, "auth_")}, {_renamed(_COMPROMISED.format(seconds=600), "auth_")},
+    {burst_ctes(FILES, "source_ip", FILE_W, BURST_T, "file_")}, {_PROFILE_LINES}, {_ALL_ESCALATIONS}, {_ACCOUNT_BURST}, {FLOWS}, {SUSPICIOUS},
+    listed AS (
+        SELECT *, 0 AS rule_no, (SELECT min(event_idx) FROM auth_f k WHERE k.key = x.source_ip) AS key_first FROM ({_renamed(_BRUTE_FORCE_ALERTS, "auth_")}) x
+        UNION ALL SELECT *, 1, alert_id FROM ({_NEW_SOURCE_ALERTS})
+        UNION ALL SELECT *, 2, CASE severity WHEN 'critical' THEN 0 ELSE 1 END FROM ({_PRIVILEGE_ALERTS})
+        UNION ALL SELECT *, 3, (SELECT min(event_idx) FROM file_f k WHERE k.key = x.source_ip) FROM ({_renamed(_FILE_ALERTS, "file_")}) x
+        UNION ALL SELECT *, 4, alert_id FROM ({EXFIL_ALERTS})
+        UNION ALL SELECT *, 5, alert_id FROM ({THREAT_ALERTS})),
+    alerts AS (SELECT *, row_number() OVER (ORDER BY rule_no, key_first, alert_id) AS seq FROM listed),
+    members AS (
+        SELECT CAST(first_idx AS BIGINT) AS alert_id, event_idx FROM auth_m
+        UNION ALL SELECT (CAST(1 AS BIGINT) << 56) | r.first_idx, l.event_idx FROM rare r JOIN logs l ON l.app = r.key
+            WHERE {_PRIVILEGED.replace("severity", "l.severity")}
+        UNION ALL SELECT (CAST(2 AS BIGINT) << 56) | event_idx, unnest([event_idx, success_idx, privilege_idx]) FROM esc
+            WHERE success_idx IS NOT NULL AND privilege_idx IS NOT NULL
+        UNION ALL SELECT (CAST(2 AS BIGINT) << 56) | min(m.event_idx) OVER (), m.event_idx
+            FROM managed m JOIN first_run r ON m.rn BETWEEN r.first_rn AND r.last_rn
+        UNION ALL SELECT (CAST(3 AS BIGINT) << 56) | first_idx, event_idx FROM file_m
+        UNION ALL SELECT (CAST(4 AS BIGINT) << 56) | s.first_idx, l.event_idx FROM suspicious s
+            JOIN logs l ON l.source_ip = s.src AND l.dest_ip = s.dst WHERE reason_count > 0
+        UNION ALL SELECT (CAST(5 AS BIGINT) << 56) | event_idx, event_idx FROM logs WHERE threat_type <> 'benign'),
+    refs AS (SELECT m.event_idx, a.rule_no, a.rule_name, a.severity, a.title FROM members m JOIN alerts a ON a.alert_id = m.alert_id)"""
 
 
 def rule_alerts(spark, sf_dir):
-    """Flow and threat alerts with their members: two rules whose SQL is short."""
-    log_rows = logs(spark, sf_dir)
-    exfil = detect_exfiltration(log_rows, *_EXFIL)
-    threats = detect_threats(log_rows.withColumn("process", F.col("app")))
-    return exfil.alerts.unionByName(threats.alerts), exfil.members.unionByName(threats.members)
+    """Alerts and members of all six detectors, staged since several operators read them."""
+    plain, by_app = logs(spark, sf_dir), logs(spark, sf_dir, "app")
+    jobs = [
+        lambda: detect_brute_force(plain, AUTH_W, BURST_T, "ip"),
+        lambda: detect_new_source(by_app),
+        lambda: detect_privilege_escalation(plain, DAY, None, burst_seconds=DAY),
+        lambda: detect_file_access(plain, FILE_W, BURST_T),
+        lambda: detect_exfiltration(plain, *_EXFIL),
+        lambda: detect_threats(by_app),
+    ]
+    return staged_together(spark, together(spark, jobs))
 
 
 @query(
-    f"""WITH {LOGS}, {FLOWS}, {SUSPICIOUS}, {_ANNOTATED}
-    SELECT event_idx, string_agg(rule_name || '/' || severity || '/' || title, ';' ORDER BY rule_no) AS alerts
-    FROM refs GROUP BY event_idx"""
+    f"""WITH RECURSIVE {LOGS}, {ALERTS}, kinds AS (
+        SELECT event_idx, rule_no, rule_name, rule_name || '/' || severity || '/' || title || ' x' || count(*) AS entry
+        FROM refs GROUP BY event_idx, rule_no, rule_name, severity, title)
+    SELECT event_idx, string_agg(entry, ';' ORDER BY entry) AS alerts,
+        (SELECT string_agg(rule_name, ',' ORDER BY rule_no) FROM (SELECT DISTINCT k.rule_no, k.rule_name FROM kinds k WHERE k.event_idx = kinds.event_idx)) AS rules
+    FROM kinds GROUP BY event_idx"""
 )
 def annotated_events(spark, sf_dir):
     refs = event_alerts(*rule_alerts(spark, sf_dir))
-    text = F.transform("alerts", lambda a: F.concat_ws("/", a["rule_name"], a["severity"], a["title"]))
-    return refs.select("event_idx", F.array_join(text, ";").alias("alerts"))
+    text = F.transform("alerts", lambda a: F.concat(F.concat_ws("/", a["rule_name"], a["severity"], a["title"]), F.lit(" x"), a["times"]))
+    return refs.select(
+        "event_idx",
+        F.array_join(F.array_sort(text), ";").alias("alerts"),
+        F.array_join(F.array_distinct("alerts.rule_name"), ",").alias("rules"),
+    )
+
+
+@query(f"WITH RECURSIVE {LOGS}, {ALERTS} SELECT alert_id, event_idx FROM members")
+def alert_members(spark, sf_dir):
+    """The bridge table of all six detectors."""
+    return rule_alerts(spark, sf_dir)[1]
 
 
-ANNOTATED_LOGS = f"""{FLOWS}, {SUSPICIOUS}, {_ANNOTATED}, ann AS (
-    SELECT l.*, coalesce(r.rules, []) AS rules FROM logs l
-    LEFT JOIN (SELECT event_idx, list(rule_name) AS rules FROM refs GROUP BY event_idx) r ON r.event_idx = l.event_idx)"""
+ANNOTATED_LOGS = f"""{ALERTS}, ann AS (
+    SELECT l.*, coalesce(r.rules, []) AS rules FROM logs l LEFT JOIN (
+        SELECT event_idx, list(rule_name) AS rules FROM (SELECT DISTINCT * FROM refs) GROUP BY event_idx) r ON r.event_idx = l.event_idx)"""
 
 
 def annotated_logs(spark, sf_dir):

@@ -6,20 +6,15 @@ from pyspark.sql import functions as F
 
 from logtrail.operators import explore as ex
 from logtrail.operators import summary as sm
+from logtrail.operators.annotate import annotate
 from logtrail.sinks import deliverable, in_batches, run_status, to_json_rows
 from workload.base import LOGS, logs, query
 from workload.detection import (
+    ALERTS,
     ANNOTATED_LOGS,
-    EXFIL_ALERTS,
-    FLOWS,
-    SUSPICIOUS,
-    THREAT_ALERTS,
-    annotated_logs,
     rule_alerts,
 )
 
-ALERTS = f"""{FLOWS}, {SUSPICIOUS}, alerts AS (
-    SELECT *, row_number() OVER (ORDER BY alert_id) AS seq FROM (({EXFIL_ALERTS}) UNION ALL ({THREAT_ALERTS})))"""
 RANK = "CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 9 END"
 POINTS = "CASE severity WHEN 'critical' THEN 30 WHEN 'high' THEN 15 WHEN 'medium' THEN 5 ELSE 1 END"
 LEVEL = "CASE WHEN {s} >= 70 THEN 'critical' WHEN {s} >= 40 THEN 'high' WHEN {s} >= 15 THEN 'medium' ELSE 'low' END"
@@ -40,13 +35,13 @@ def severity_and_category_counts(spark, sf_dir):
     return sm.event_counts(logs(spark, sf_dir))
 
 
-@query(f"WITH {LOGS}, {ALERTS} SELECT rule_name, count(*) AS alerts FROM alerts GROUP BY rule_name")
+@query(f"WITH RECURSIVE {LOGS}, {ALERTS} SELECT rule_name, count(*) AS alerts FROM alerts GROUP BY rule_name")
 def rule_counts(spark, sf_dir):
     return sm.rule_counts(alerts_of(spark, sf_dir))
 
 
 @query(
-    f"""WITH {LOGS}, {ALERTS} SELECT coalesce(nullif(process, ''), source_ip) AS attacker, count(*) AS alert_count FROM alerts
+    f"""WITH RECURSIVE {LOGS}, {ALERTS} SELECT coalesce(nullif(process, ''), source_ip) AS attacker, count(*) AS alert_count FROM alerts
     GROUP BY ALL ORDER BY alert_count DESC, min(seq) LIMIT 10"""
 )
 def top_attackers(spark, sf_dir):
@@ -54,7 +49,7 @@ def top_attackers(spark, sf_dir):
 
 
 @query(
-    f"""WITH {LOGS}, {ALERTS}, r AS (SELECT count(*) AS total_alerts,
+    f"""WITH RECURSIVE {LOGS}, {ALERTS}, r AS (SELECT count(*) AS total_alerts,
         CAST(least(100, coalesce(sum({POINTS}), 0)) AS BIGINT) AS risk_score FROM alerts)
     SELECT *, {LEVEL.format(s="risk_score")} AS risk_level FROM r"""
 )
@@ -63,7 +58,7 @@ def risk_score(spark, sf_dir):
 
 
 @query(
-    f"""WITH {LOGS}, {ALERTS}, r AS (SELECT count(*) AS total_alerts,
+    f"""WITH RECURSIVE {LOGS}, {ALERTS}, r AS (SELECT count(*) AS total_alerts,
         CAST(least(100, coalesce(sum({POINTS}), 0)) AS BIGINT) AS risk_score FROM alerts)
     SELECT e.*, r.*, {LEVEL.format(s="risk_score")} AS risk_level FROM (
         SELECT count(*) AS total_events, min(epoch_us(timestamp)) AS start_us, max(epoch_us(timestamp)) AS end_us,
@@ -74,6 +69,20 @@ def run_overview(spark, sf_dir):
     return status.withColumns({"start_us": F.unix_micros("start"), "end_us": F.unix_micros("end")}).drop("start", "end")
 
 
+@query(
+    f"""WITH RECURSIVE {LOGS}, {ALERTS}, r AS (SELECT CAST(make_timestamp(start_us) AS DATE) AS day, count(*) AS total_alerts,
+        CAST(least(100, sum({POINTS})) AS BIGINT) AS risk_score FROM alerts WHERE rule_name = 'new_ip' GROUP BY day)
+    SELECT *, {LEVEL.format(s="risk_score")} AS risk_level FROM r"""
+)
+def risk_by_day(spark, sf_dir):
+    """The risk of one rule's alerts of each day, which is not always at its cap."""
+    alerts = alerts_of(spark, sf_dir).filter("rule_name = 'new_ip'")
+    per_day = alerts.groupBy(F.to_date("timestamp").alias("day")).agg(
+        F.count("*").alias("total_alerts"), F.least(F.lit(sm.RISK_CAP), F.sum(sm.risk_points())).cast("bigint").alias("risk_score")
+    )
+    return per_day.withColumn("risk_level", sm.risk_level(F.col("risk_score")))
+
+
 @query(f"WITH {LOGS} SELECT DISTINCT source_file FROM logs")
 def source_files(spark, sf_dir):
     return sm.source_files(logs(spark, sf_dir))
@@ -103,10 +112,11 @@ def search_events(spark, sf_dir):
 
 
 @query(
-    f"WITH {LOGS}, {ANNOTATED_LOGS} SELECT event_idx, event_id FROM ann WHERE list_contains(rules, 'data_exfiltration')"
+    f"WITH RECURSIVE {LOGS}, {ANNOTATED_LOGS} SELECT event_idx, event_id FROM ann WHERE list_contains(rules, 'data_exfiltration')"
 )
 def filter_by_rule(spark, sf_dir):
-    return ex.with_rule(annotated_logs(spark, sf_dir), "data_exfiltration").select("event_idx", "event_id")
+    found = ex.events_of_rule(logs(spark, sf_dir), *rule_alerts(spark, sf_dir), "data_exfiltration")
+    return found.select("event_idx", "event_id")
 
 
 @query(
@@ -125,12 +135,20 @@ def sorted_page(spark, sf_dir):
     return ex.page(filtered, number=3, sort_by="message", ascending=False).select("event_idx", "message")
 
 
-@query(f"WITH {LOGS} SELECT event_idx, message FROM logs ORDER BY lower(username), event_idx LIMIT 50 OFFSET 200")
+@query(
+    f"""WITH {LOGS}, r AS (SELECT *, row_number() OVER (ORDER BY lower(username), event_idx) - 1 AS rank FROM logs), n AS (SELECT count(*) AS n FROM logs)
+    SELECT page, event_idx, message FROM r, n, (VALUES ('first', 4), ('middle', NULL), ('last', NULL)) p(page, number)
+    WHERE rank // 50 = CASE page WHEN 'first' THEN 4 WHEN 'middle' THEN n // 100 ELSE (n - 1) // 50 END"""
+)
 def deep_page(spark, sf_dir):
-    """The way that deep pages take: cut out of a global rank."""
-    filtered = logs(spark, sf_dir)
-    ranked = ex.with_ordinal(filtered, ex.sort_keys("username"), "_rank", "page")
-    return ranked.filter(F.col("_rank").between(200, 249)).select("event_idx", "message")
+    """Pages anywhere in one staged order, each read from the partitions that hold it."""
+    index = ex.page_index(logs(spark, sf_dir), sort_by="username")
+    numbers = {"first": 5, "middle": index.total // 100 + 1, "last": 10**9}
+    out = None
+    for name, number in numbers.items():
+        page = index.page(number).select(F.lit(name).alias("page"), "event_idx", "message")
+        out = page if out is None else out.unionByName(page)
+    return out
 
 
 @query(
@@ -144,7 +162,7 @@ def page_numbers(spark, sf_dir):
 
 
 @query(
-    f"""WITH {LOGS}, {ALERTS} SELECT alert_id, severity, CAST({RANK} AS BIGINT) AS rank FROM alerts
+    f"""WITH RECURSIVE {LOGS}, {ALERTS} SELECT alert_id, severity, CAST({RANK} AS BIGINT) AS rank FROM alerts
     ORDER BY {RANK}, seq"""
 )
 def alerts_by_severity(spark, sf_dir):
@@ -160,7 +178,7 @@ _NAMED = f"""named AS (
 
 
 @query(
-    f"""WITH {LOGS}, {ALERTS}, {_NAMED}
+    f"""WITH RECURSIVE {LOGS}, {ALERTS}, {_NAMED}
     SELECT identity, count(*) AS total, count(DISTINCT title) AS kinds,
         CASE min({RANK}) WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS max_severity
     FROM named GROUP BY identity"""
@@ -169,13 +187,13 @@ def attacker_profiles(spark, sf_dir):
     return ex.attacker_profiles(alerts_of(spark, sf_dir)).select("identity", "total", "kinds", "max_severity")
 
 
-@query(f"WITH {LOGS}, {ALERTS}, {_NAMED} SELECT identity, title, count(*) AS alerts FROM named GROUP BY ALL")
+@query(f"WITH RECURSIVE {LOGS}, {ALERTS}, {_NAMED} SELECT identity, title, count(*) AS alerts FROM named GROUP BY ALL")
 def attacker_titles(spark, sf_dir):
     return ex.attacker_titles(alerts_of(spark, sf_dir))
 
 
 @query(
-    f"""WITH {LOGS}, {ALERTS}, cards(card_no, rule_name, label) AS (VALUES (0, 'brute_force', 'Brute Force'),
+    f"""WITH RECURSIVE {LOGS}, {ALERTS}, cards(card_no, rule_name, label) AS (VALUES (0, 'brute_force', 'Brute Force'),
         (1, 'new_ip', 'New IP'), (2, 'privilege_escalation', 'Priv Escalation'), (3, 'file_access_anomaly', 'File Access'),
         (4, 'data_exfiltration', 'Data Exfil'))
     SELECT CAST(card_no AS BIGINT) AS card_no, c.rule_name, label,
@@ -187,8 +205,9 @@ def zero_filled_counts(spark, sf_dir):
 
 
 @query(
-    f"""WITH {LOGS}, {ALERTS} SELECT DISTINCT rule_name, CASE rule_name WHEN 'data_exfiltration' THEN 'Data Exfiltration'
-    ELSE replace(rule_name, '_', ' ') END AS label FROM alerts"""
+    f"""WITH RECURSIVE {LOGS}, {ALERTS} SELECT DISTINCT rule_name, CASE rule_name WHEN 'brute_force' THEN 'Brute Force' WHEN 'new_ip' THEN 'New IP'
+        WHEN 'privilege_escalation' THEN 'Privilege Escalation' WHEN 'file_access_anomaly' THEN 'File Access Anomaly'
+        WHEN 'data_exfiltration' THEN 'Data Exfiltration' ELSE replace(rule_name, '_', ' ') END AS label FROM alerts"""
 )
 def rules_present(spark, sf_dir):
     return ex.rules_present(alerts_of(spark, sf_dir))
@@ -201,19 +220,24 @@ _SAMPLE = f"""n AS (SELECT count(*) AS n, count(*) FILTER (len(rules) > 0) AS a
         ORDER BY CASE WHEN k = 0 OR len(rules) > 0 THEN 0 ELSE 1 END, event_idx LIMIT 2000)"""
 
 
-@query(f"WITH {LOGS}, {ANNOTATED_LOGS}, {_SAMPLE} SELECT event_idx, CAST(len(rules) AS BIGINT) AS alerts FROM sample")
+def _sampled(spark, sf_dir):
+    alerts, members = rule_alerts(spark, sf_dir)
+    events = logs(spark, sf_dir)
+    return ex.timeline_sample(annotate(events, alerts, members), totals=ex.alerted_totals(events, members))
+
+
+@query(f"WITH RECURSIVE {LOGS}, {ANNOTATED_LOGS}, {_SAMPLE} SELECT event_idx, CAST(len(rules) AS BIGINT) AS alerts FROM sample")
 def timeline_sample(spark, sf_dir):
-    sample = ex.timeline_sample(annotated_logs(spark, sf_dir))
-    return sample.select("event_idx", F.size("alerts").cast("bigint").alias("alerts"))
+    return _sampled(spark, sf_dir).select("event_idx", F.size("alerts").cast("bigint").alias("alerts"))
 
 
 @query(
-    f"""WITH {LOGS}, {ANNOTATED_LOGS}, {_SAMPLE}
+    f"""WITH RECURSIVE {LOGS}, {ANNOTATED_LOGS}, {_SAMPLE}
     SELECT event_idx, category AS lane, epoch_us(timestamp) AS start_us, event_id AS content,
         left(event_id || ': ' || message, 200) AS title, severity FROM sample"""
 )
 def timeline_items(spark, sf_dir):
-    items = ex.timeline_items(ex.timeline_sample(annotated_logs(spark, sf_dir)))
+    items = ex.timeline_items(_sampled(spark, sf_dir))
     return items.select("event_idx", "lane", F.unix_micros("start").alias("start_us"), "content", "title", "severity")
 
 
