@@ -19,6 +19,7 @@ from logtrail.operators.privilege import account_burst, detect_privilege_escalat
 from logtrail.operators.threat import detect_threats
 from logtrail.operators.windows import greedy_windows, window_members
 from logtrail.plans.correlate import DetectionConfig, correlate, staged_together, together
+from logtrail.schema import FAILED_AUTH_IDS, SUCCESS_AUTH_IDS
 from workload.base import LOGS, logs, query
 
 DAY = 86_400
@@ -38,14 +39,14 @@ CONFIG = DetectionConfig(
 )
 
 FAILED = (
-    "(event_id IN ('4625', '4771', 'SSH_LOGIN_FAILED', 'PAM_AUTH_FAIL', 'AUTH_FAILED', 'SUDO_DENIED')"
+    f"(event_id IN {FAILED_AUTH_IDS}"
     " OR (category = 'authentication' AND regexp_matches(lower(message), 'failed|failure|denied|invalid')))"
 )
 FILES = (
     "(category = 'file_access' OR event_id IN ('4663', '4656', '4660', '4670')"
     " OR regexp_matches(lower(message), 'file|object access|delete|modify'))"
 )
-SUCCESS = "event_id IN ('4624', 'SSH_LOGIN_SUCCESS', 'AUTH_SUCCESS', 'PAM_SESSION_OPEN')"
+SUCCESS = f"event_id IN {SUCCESS_AUTH_IDS}"
 
 
 def iso(column: str) -> str:
