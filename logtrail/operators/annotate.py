@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logtrail.operators.spread import join_groups
 
 NO_ALERTS = "array<struct<rule_name:string,severity:string,title:string,times:bigint>>"
 
@@ -19,7 +18,7 @@ def event_alerts(alerts: DataFrame, members: DataFrame) -> DataFrame:
     """
     summaries = alerts.select("alert_id", "alert_seq", "rule_name", "severity", "title", "event_count")
     counted = (
-        join_groups(members, summaries, ["alert_id"])
+        members.join(summaries, ["alert_id"])
         .groupBy("event_idx", "rule_name", "severity", "title")
         .agg(F.min("alert_seq").alias("seq"), F.count("*").alias("times"))
     )

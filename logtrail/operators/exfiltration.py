@@ -9,7 +9,6 @@ from logtrail.functions.network import is_private_ip
 from logtrail.functions.text import first_present, present
 from logtrail.functions.times import iso_text, seconds_between
 from logtrail.operators.alerts import Detection, alert_identity, evidence
-from logtrail.operators.spread import join_groups
 from logtrail.schema import conform_alerts
 from logtrail.session import stage
 
@@ -18,6 +17,8 @@ DNS_QUERIES = 20
 DNS_NAMES = 15
 
 FLOW = ["flow_process", "src", "dst"]
+#: Parts that the rows of one flow are spread over when they meet its row.
+SALTS = 16
 
 
 def outbound(events: DataFrame) -> DataFrame:
@@ -97,10 +98,13 @@ def detect_exfiltration(
     """One critical alert per suspicious flow."""
     found = stage(suspicious_flows(flows(events), bytes_threshold, packet_threshold, window_seconds), "flows")
     identity = alert_identity("data_exfiltration", F.col("first_idx"), F.col("first_idx"))
-    packets = outbound(events).select(*FLOW, "event_idx", "timestamp", "message")
-    members = join_groups(packets, found.select(*FLOW, "first_idx"), FLOW)
     line: Column = F.concat(iso_text(F.col("timestamp")), F.lit(" - "), F.left("message", F.lit(80)))
-    alerts = found.join(evidence(members, FLOW, line), FLOW).withColumns(
+    # a flow may hold most rows: its row is laid out once per salt, so that a shuffled join spreads the rows over them
+    salt = F.pmod("event_idx", F.lit(SALTS)).cast("int")
+    packets = outbound(events).select(*FLOW, "event_idx", line.alias("line"), salt.alias("_salt"))
+    spread = found.select(*FLOW, "first_idx", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    members = stage(packets.join(spread, [*FLOW, "_salt"]).drop("_salt"), "flow-packets")
+    alerts = found.join(evidence(members, FLOW, F.col("line")), FLOW).withColumns(
         {
             **identity,
             "severity": F.lit("critical"),

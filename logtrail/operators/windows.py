@@ -27,7 +27,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logtrail.operators.ordering import in_blocks, with_ordinal
-from logtrail.operators.spread import join_groups
 from logtrail.session import stage
 
 GROUP_ROWS = 1_000_000
@@ -226,6 +225,6 @@ def window_members(rows: DataFrame, starts: DataFrame, window_seconds: float) ->
 
     own = cell("start")
     reach = starts.select("key", "start", "first_idx", F.explode(F.array(own, own + 1)).alias("_cell"))
-    joined = join_groups(rows.filter("t IS NOT NULL").withColumn("_cell", cell("t")), reach, ["key", "_cell"])
+    joined = rows.filter("t IS NOT NULL").withColumn("_cell", cell("t")).join(reach, ["key", "_cell"])
     inside = (F.col("t") >= F.col("start")) & (F.col("t") <= F.col("start") + width)
     return joined.filter(inside).drop("_cell")
