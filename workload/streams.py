@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from logtrail.functions.messages import APPLICATION_NAMES
 from logtrail.operators.brute_force import failed_auth
-from logtrail.plans.classify import predict, train
+from logtrail.operators.normalize import normalize_csv
+from logtrail.plans.classify import TextModels, predict, train
 from logtrail.sources.csv import clean_header
 from logtrail.streaming.bursts import burst_stream
 from logtrail.streaming.ingest import ingest, ingested
 from workload.base import LOGS, logs, query
 from workload.detection import AUTH_W, BURST_T, FAILED, burst_ctes
-from workload.parsing import NORMAL_SQL, PARSED_SQL, YEAR, ingest_ts, scratch, syslog_lines
+from workload.parsing import NORMAL_SQL, PARSED_SQL, YEAR, app_sql, port_sql, ingest_ts, scratch, syslog_lines
 
 
 @query(
@@ -112,3 +114,35 @@ def text_labels(spark, sf_dir):
     return (
         predict(rows, model, "text", "label").groupBy("event_type", "label").agg(F.count("*").alias("n"))
     )
+
+
+_ATTACKS = """CASE threat_type
+    WHEN 'sql_injection' THEN 'GET /items?id=' || event_idx || ' UNION SELECT password FROM users WHERE name = admin'
+    WHEN 'xss' THEN 'GET /find?q=<script>alert(document.cookie)</script> ref ' || event_idx
+    WHEN 'path_traversal' THEN 'GET /files/../../../../etc/passwd page ' || event_idx
+    WHEN 'command_injection' THEN 'GET /ping?host=localhost; wget evil sh; cat shadow ' || event_idx
+    WHEN 'novel_probe' THEN 'OPTIONS unusual scanner verb sweep ' || event_idx ELSE message END"""
+_SOURCES = """CASE WHEN threat_type <> 'benign' THEN 'nginx_access' WHEN event_type IN ('error', 'signup') THEN 'linux_auth'
+    WHEN event_type = 'purchase' THEN 'windows_security' WHEN event_type = 'view' THEN 'application' ELSE 'nginx_access' END"""
+_APPS = " ".join(f"WHEN '{source}' THEN '{name}'" for source, name in APPLICATION_NAMES.items())
+
+
+@query(
+    f"""WITH {LOGS}, m AS (SELECT *, {_ATTACKS} AS text FROM logs)
+    SELECT event_idx AS row_no, {_SOURCES} AS source, threat_type,
+        CASE WHEN threat_type IN ('sql_injection', 'command_injection') THEN 'critical' WHEN threat_type <> 'benign' THEN 'high' ELSE severity END AS severity,
+        'App: ' || CASE {app_sql("text")} WHEN 'Unknown Application' THEN CASE {_SOURCES} {_APPS} END ELSE {app_sql("text")} END || CASE WHEN {port_sql("text")} <> '' THEN ' | Port: ' || {port_sql("text")} ELSE '' END
+            || CASE WHEN threat_type <> 'benign' THEN ' | AI THREAT: ' || upper(threat_type) ELSE '' END AS details
+    FROM m"""
+)
+def modelled_events(spark, sf_dir):
+    """Both text models, fitted on at most 2,000 labelled messages each, in the normaliser: source, threat, severity and details."""
+    rows = logs(spark, sf_dir).withColumns({"text": F.expr(_ATTACKS), "label": F.expr(_SOURCES)})
+    models = TextModels(
+        train(rows.select("text", "label"), most_rows=2000),
+        train(rows.select("text", F.col("threat_type").alias("label")), most_rows=2000),
+    )
+    records = rows.select(
+        F.col("text").alias("message"), "severity", "source_file", F.lit(0).alias("file_seq"), F.col("event_idx").alias("row_no")
+    )
+    return normalize_csv(records, ingest_ts(), models).select("row_no", "source", "threat_type", "severity", "details")
