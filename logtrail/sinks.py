@@ -43,7 +43,7 @@ def to_json_rows(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
 
 
-RUN_SCHEMA = "run_id string, finished timestamp, events long, alerts long"
+RUN_SCHEMA = "run_id string, folder string, finished timestamp, events long, alerts long"
 _SUMMARY = ("overview", "event_counts", "rule_counts", "top_attackers", "source_files")
 
 
@@ -52,25 +52,26 @@ def write_results(
 ) -> str:
     """Write a run as parquet tables under ``path``; events are partitioned by date. Returns the run's id.
 
-    Every run has a folder of its own, and its row in the table ``runs`` is written last: readers
-    go by that table, so a run that breaks off is never seen and a run that is repeated under
-    its id is replaced while the others stay readable.
+    Every attempt has a folder of its own, and its row in the table ``runs`` is written last: readers
+    go by that table, so a run that breaks off is never seen, and one that is repeated under
+    its id takes the place of the first when it is done, without a file of that one being touched.
 
     Annotation leaves the timeline shuffled, so it is range-partitioned by date and index first;
     a task then writes few dates, and a date that holds most rows is spread over several.
     """
     spark = events.sparkSession
     run_id = run_id or uuid.uuid4().hex
-    folder = f"{path}/run={run_id}"
+    place = f"run={run_id}/{uuid.uuid4().hex}"
+    folder = f"{path}/{place}"
     dated = deliverable(events).withColumn("date", F.to_date("timestamp"))
-    dated.repartitionByRange("date", "event_idx").write.mode("overwrite").partitionBy("date").parquet(f"{folder}/events")
-    alerts.write.mode("overwrite").parquet(f"{folder}/alerts")
-    members.write.mode("overwrite").parquet(f"{folder}/alert_events")
+    dated.repartitionByRange("date", "event_idx").write.partitionBy("date").parquet(f"{folder}/events")
+    alerts.write.parquet(f"{folder}/alerts")
+    members.write.parquet(f"{folder}/alert_events")
     for name in _SUMMARY:
-        getattr(summary, name).write.mode("overwrite").parquet(f"{folder}/summary/{name}")
+        getattr(summary, name).write.parquet(f"{folder}/summary/{name}")
     counts = [spark.read.parquet(f"{folder}/{name}").count() for name in ("events", "alerts")]
-    row = spark.createDataFrame([(run_id, *counts)], "run_id string, events long, alerts long")
-    row.withColumn("finished", F.current_timestamp()).select("run_id", "finished", "events", "alerts").write.mode("append").parquet(f"{path}/runs")
+    row = spark.createDataFrame([(run_id, place, *counts)], "run_id string, folder string, events long, alerts long")
+    row.select("run_id", "folder", F.current_timestamp().alias("finished"), "events", "alerts").write.mode("append").parquet(f"{path}/runs")
     return run_id
 
 
@@ -89,12 +90,11 @@ class WrittenRun:
 def read_results(spark: SparkSession, path: str, run_id: str | None = None) -> WrittenRun:
     """A complete run, by default the one that finished last."""
     runs = spark.read.schema(RUN_SCHEMA).parquet(f"{path}/runs")
-    complete = runs.groupBy("run_id").agg(*[F.max_by(c, "finished").alias(c) for c in ("finished", "events", "alerts")])
+    complete = runs.groupBy("run_id").agg(*[F.max_by(c, "finished").alias(c) for c in ("folder", "finished", "events", "alerts")])
     wanted = complete if run_id is None else complete.filter(F.col("run_id") == run_id)
     last = wanted.orderBy(F.desc("finished"), "run_id").first()
     if last is None:
         raise ValueError(f"no complete run {run_id or ''} under {path}")
-    folder = f"{path}/run={last.run_id}"
-    tables = [spark.read.parquet(f"{folder}/{name}") for name in ("events", "alerts", "alert_events")]
-    summary = Summary(*[spark.read.parquet(f"{folder}/summary/{name}") for name in _SUMMARY])
+    tables = [spark.read.parquet(f"{path}/{last.folder}/{name}") for name in ("events", "alerts", "alert_events")]
+    summary = Summary(*[spark.read.parquet(f"{path}/{last.folder}/summary/{name}") for name in _SUMMARY])
     return WrittenRun(last.run_id, *tables, summary, complete)

@@ -28,6 +28,13 @@ NAMES = (
     "packet_normalize",
     "windows_normalize",
     "input_routing",
+    "csv_scan",
+    "parse_errors",
+    "read_logs_mixed",
+    "stream_ingest_csv",
+    "stream_bursts",
+    "alert_members",
+    "deep_page",
 )
 
 
