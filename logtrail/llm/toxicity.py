@@ -84,12 +84,15 @@ def segments(weights: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most_rows: int) -> DataFrame:
-    """``text, toxic`` of labelled documents; of more than ``most_rows``, an even draw by number."""
+    """``text, toxic`` of labelled documents; of more than ``most_rows``, an even draw by number.
+
+    The labels that are left, two numbers each, are bounded by ``most_rows`` and sent to the documents.
+    """
     given = labels.filter(F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     rows = given.count()
     if rows > most_rows:
         given = given.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * most_rows / rows))
-    return id_and_text(docs).join(given, "doc_id").select("text", "toxic")
+    return id_and_text(docs).join(F.broadcast(given), "doc_id").select("text", "toxic")
 
 
 def _unit_counts(rows: DataFrame, known: np.ndarray | None = None) -> DataFrame:
@@ -251,7 +254,8 @@ def chance_factor(scanned: DataFrame, labels: DataFrame, model: Weights) -> floa
     """``K``: with it, the expected number of segments like a clean document's best one is one on average."""
     clean = labels.filter("toxic = 0").select(F.col("doc_id").cast("long").alias("doc_id"))
     best = F.coalesce(F.array_max(F.col("segments.weight")), F.lit(0.0))
-    mean = scanned.filter("n_words > 0").join(clean, "doc_id").agg(F.avg(F.col("n_words") * F.exp(-model.rate * best))).first()[0]
+    chances = scanned.filter("n_words > 0").select("doc_id", (F.col("n_words") * F.exp(-model.rate * best)).alias("chance"))
+    mean = chances.join(clean, "doc_id").agg(F.avg("chance")).first()[0]
     return 1 / mean if mean else 1.0
 
 
