@@ -129,6 +129,21 @@ def test_csv_delimiters_headers_and_cells(spark, tmp_path):
     assert [(r.id, r.msg, r.source_file_) for r in frames[("id", "msg", "source_file_")]] == [("7", "one, two", "f"), ("8", "three", "")]
 
 
+def test_csv_headers_of_files_that_share_a_task(spark, tmp_path):
+    for name, sep in (("a", ","), ("b", ";"), ("c", ","), ("d", ";")):
+        rows = "".join(f'{k}{sep}"cell {k}\nof {name}"\n' for k in range(4 + ord(name) - ord("a")))
+        (tmp_path / f"{name}.csv").write_text(f"Id{sep}Text\n{rows}")
+    settings = {"spark.sql.files.minPartitionNum": "1", "spark.sql.files.openCostInBytes": "1"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        found = [(r.source_file, r.id, r.text) for f in read_csv(spark, str(tmp_path)) for r in f.collect()]
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+    assert sorted(found) == sorted((f"{n}.csv", str(k), f"cell {k}\nof {n}") for n in "abcd" for k in range(4 + ord(n) - ord("a")))
+
+
 def test_csv_events(spark):
     columns = "date string, code string, type string, level string, src string, user string, note string, extra string, more string"
     rows = [
