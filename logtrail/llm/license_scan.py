@@ -1,24 +1,23 @@
 """License scan by ordered signature rules, in DataFrame functions only.
 
 A rule is a regular expression with a keyword that its matches contain, a label, a priority and a
-weight. Texts without any trigger word are not looked at further; in the others each
-rule whose keyword occurs is matched everywhere. A detection inside another of higher
+weight. What a rule needs to match (its family's names at the beginning of a word, its sentence, its
+marker) is looked for first, all in one expression; only texts that hold any of it are looked at further, and
+in them each rule whose need occurs is matched everywhere. No match is lost by that. A detection inside another of higher
 priority (or of the same, if longer or from an earlier rule) is suppressed.
 """
 
 from __future__ import annotations
 
+import re
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: What any text with a license says.
-TRIGGERS = ("licen", "spdx", "creativecommons", "creative commons", "copyleft", "public domain", "gpl", "released under")
-
 #: Identifier, keyword, names as a regular expression, versions.
 FAMILIES = (
-    ("apache", "apache", r"apache (?:software )?licen[sc]e|apl|apache", ("1.0", "1.1", "2.0")),
+    ("apache", "ap", r"apache (?:software )?licen[sc]e|apl|apache", ("1.0", "1.1", "2.0")),
     ("gpl", "g", r"gnu general public licen[sc]e|(?<!lesser )(?<!affero )(?<!library )general public licen[sc]e|gnu gpl|(?<![al])gpl", ("1.0", "2.0", "3.0")),
     ("lgpl", "l", r"(?:gnu )?(?:lesser|library) general public licen[sc]e|gnu lgpl|lgpl", ("2.0", "2.1", "3.0")),
     ("agpl", "a", r"(?:gnu )?affero general public licen[sc]e|gnu agpl|agpl", ("1.0", "3.0")),
@@ -54,7 +53,7 @@ FAMILIES = (
     ("bsd-3-clause", "bsd", r"(?:new|revised|modified|3-clause|three-clause) bsd(?: licen[sc]e)?|bsd[- ]3[- ]clause(?: licen[sc]e)?", ()),
     ("bsd-4-clause", "bsd", r"(?:original|4-clause|four-clause) bsd(?: licen[sc]e)?|bsd[- ]4[- ]clause(?: licen[sc]e)?", ()),
     ("bsd", "bsd", r"bsd(?:-style)? licen[sc]e", ()),
-    ("mit", "mit", r"mit licen[sc]e|mit/x11 licen[sc]e|expat licen[sc]e", ()),
+    ("mit", "licen", r"mit licen[sc]e|mit/x11 licen[sc]e|expat licen[sc]e", ()),
     ("x11", "x11", r"x11 licen[sc]e", ()),
     ("isc", "isc", r"isc licen[sc]e", ()),
     ("zlib", "zlib", r"zlib(?:/libpng)? licen[sc]e", ()),
@@ -89,37 +88,72 @@ SENTENCES = (
 )
 
 
+_OPTIONAL = re.compile(r"\(\?:[^()]*\)\?")
+
+
+def _families() -> list[tuple[str, str, str, tuple[str, ...]]]:
+    """All families, those of Creative Commons included."""
+    words = {kind: "[- ]+".join(_CC_PARTS[p] for p in kind.split("-")) for kind in _CC_KINDS}
+    return [*FAMILIES, *((f"cc-{kind}", "c", rf"cc[- ]{kind}|creative commons {words[kind]}(?! ?-)", _CC_VERSIONS) for kind in _CC_KINDS)]
+
+
+def _alternatives(expression: str) -> list[str]:
+    """The outermost alternatives of an expression."""
+    out, depth = [""], 0
+    for ch in expression:
+        depth += (ch == "(") - (ch == ")")
+        if ch == "|" and depth == 0:
+            out.append("")
+        else:
+            out[-1] += ch
+    return out
+
+
 def rules() -> list[tuple[int, str, str, str, int, float]]:
     """``id, label, keyword, expression, priority, weight`` in order, built from the families by their forms."""
+    return [rule for rule, _ in _with_needs()]
+
+
+def _with_needs() -> list[tuple[tuple[int, str, str, str, int, float], str]]:
+    """The rules with an expression that every text a rule matches also matches."""
     out = []
 
-    def add(label: str, keyword: str, expression: str, priority: int, weight: float) -> None:
-        out.append((len(out), label, keyword, expression, priority, weight))
+    def add(label: str, keyword: str, expression: str, priority: int, weight: float, need: str) -> None:
+        out.append(((len(out), label, keyword, expression, priority, weight), need))
 
     def forms(label: str, keyword: str, names: str, versions: tuple[str, ...]) -> None:
+        named, marked = rf"\b(?:{names})", "spdx-license-identifier:"
         for version in versions:
             major, minor = version.split(".")
             number = rf"{major}(?:\.{minor})?(?![\d.]*\d)" if minor == "0" else rf"{major}\.{minor}(?!\d)"
             full = rf"(?:{names})(?: licen[sc]e)?[,;]? (?:\(?(?:version|ver\.?|v\.?) ?)?{number}"
-            add(f"{label}-{version}", keyword, rf"licen[sc]ed under (?:the )?(?:terms of )?(?:the )?{full}", 50, 1.0)
-            add(f"{label}-{version}", keyword, rf"\b{full}", 40, 0.95)
-            add(f"{label}-{version}", "spdx", rf"spdx-license-identifier: ?{label}-{number}(?:-only|-or-later|\+)?", 60, 1.0)
-        add(label, keyword, rf"(?:licen[sc]ed|released|distributed|available) under (?:the )?(?:terms of )?(?:the )?(?:{names})\b", 30, 0.9)
-        add(label, "spdx", rf"spdx-license-identifier: ?{label}\b", 55, 1.0)
-        add(label, keyword, rf"\b(?:{names})\b", 10, 0.6)
-
-    for label, keyword, names, versions in FAMILIES:
-        forms(label, keyword, names, versions)
-    for kind in _CC_KINDS:
-        words = "[- ]+".join(_CC_PARTS[p] for p in kind.split("-"))
-        forms(f"cc-{kind}", "c", rf"cc[- ]{kind}|creative commons {words}(?! ?-)", _CC_VERSIONS)
+            add(f"{label}-{version}", keyword, rf"licen[sc]ed under (?:the )?(?:terms of )?(?:the )?{full}", 50, 1.0, named)
+            add(f"{label}-{version}", keyword, rf"\b{full}", 40, 0.95, named)
+            add(f"{label}-{version}", "spdx", rf"spdx-license-identifier: ?{label}-{number}(?:-only|-or-later|\+)?", 60, 1.0, marked)
+        add(label, keyword, rf"(?:licen[sc]ed|released|distributed|available) under (?:the )?(?:terms of )?(?:the )?(?:{names})\b", 30, 0.9, named)
+        add(label, "spdx", rf"spdx-license-identifier: ?{label}\b", 55, 1.0, marked)
+        add(label, keyword, rf"\b(?:{names})\b", 10, 0.6, named)
+
+    for family in _families():
+        forms(*family)
     for kind, version in product(_CC_KINDS, _CC_VERSIONS):
-        add(f"cc-{kind}-{version}", "creativecommons", rf"creativecommons\.org/licenses/{kind}/{version.replace('.', chr(92) + '.')}", 60, 1.0)
+        add(f"cc-{kind}-{version}", "creativecommons", rf"creativecommons\.org/licenses/{kind}/{version.replace('.', chr(92) + '.')}", 60, 1.0, r"creativecommons\.org/licenses/")
     for label, keyword, expression in SENTENCES:
-        add(label, keyword, expression, 20, 0.8)
+        add(label, keyword, expression, 20, 0.8, expression)
     return out
 
 
+def _gate() -> str:
+    """One expression, in any case, that every text with a match of a rule or a phrase of the base matches.
+
+    Phrases and most needs hold ``licen``; the rest are the names and sentences that do without it.
+    """
+    names = [name for _, _, names, _ in _families() for name in _alternatives(names)]
+    without = [x for x in dict.fromkeys(names) if "licen" not in _OPTIONAL.sub("", x)]
+    sentences = [x for _, _, x in SENTENCES if "licen" not in x]
+    return rf"(?i)licen|\b(?:{'|'.join(without)})|{'|'.join(sentences)}"
+
+
 #: Phrases whose places are counted, with their labels.
 PHRASES = ((("mit", "license"), "mit"), (("apache", "license"), "apache"), (("general", "public", "license"), "gpl"))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -152,18 +186,14 @@ def scan(docs: DataFrame) -> DataFrame:
     texts have no words and no labels; repeated rows are scanned each; an empty table
     gives no rows; other columns are not read.
     """
-    table = F.array(
-        *(
-            F.struct(F.lit(i).alias("id"), F.lit(label).alias("label"), F.lit(key).alias("keyword"), F.lit(e).alias("expression"), F.lit(p).alias("priority"), F.lit(w).alias("weight"))
-            for i, label, key, e, p, w in rules()
-        )
-    )
+    needs: dict[str, list[Column]] = {}
+    for (i, label, _, e, p, w), need in _with_needs():
+        rule = F.struct(F.lit(i).alias("id"), F.lit(label).alias("label"), F.lit(e).alias("expression"), F.lit(p).alias("priority"), F.lit(w).alias("weight"))
+        needs.setdefault(need, []).append(rule)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    soft = plain.withColumn("soft", F.lower("text"))
-    triggered = F.lit(False)
-    for word in TRIGGERS:
-        triggered = triggered | F.contains("soft", F.lit(word))
-    gated = soft.select("doc_id", F.regexp_count("text", F.lit(_WORD_ANY_CASE)).cast("long").alias("n_words"), F.when(triggered, F.translate("text", _UPPER, _LOWER)).alias("text"))
+    gated = plain.select(
+        "doc_id", F.regexp_count("text", F.lit(_WORD_ANY_CASE)).cast("long").alias("n_words"), F.when(F.col("text").rlike(_gate()), F.translate("text", _UPPER, _LOWER)).alias("text")
+    )
     with_words = gated.withColumn("words", F.when(F.contains("text", F.lit("license")), F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))))
 
     def begins(word: Column, at: Column) -> Column:
@@ -176,7 +206,8 @@ def scan(docs: DataFrame) -> DataFrame:
         return F.struct(at.alias("at"), case.alias("label"))
 
     base = F.filter(F.transform("words", begins), lambda p: p["label"].isNotNull())
-    candidates = F.filter(table, lambda r: F.contains("text", r["keyword"]))
+    no_rules = F.array().cast("array<struct<id:int,label:string,expression:string,priority:int,weight:double>>")
+    candidates = F.concat(*[F.when(F.col("text").rlike(need), F.array(*group)).otherwise(no_rules) for need, group in needs.items()])
     detected = F.flatten(
         F.transform(
             candidates,

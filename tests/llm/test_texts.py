@@ -140,6 +140,32 @@ def test_license_rules(spark, text, labels):
     assert license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().labels == labels
 
 
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("This work is CC BY-SA 4.0", "cc-by-sa-4.0"),
+        ("see MPL 2.0 and the Apache 2.0 terms", "apache-2.0,mpl-2.0"),
+        ("All Rights Reserved.", "proprietary"),
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy", "mit"),
+        ("under the Expat license; or APL v2.0 (a licence)", "apache-2.0,mit"),
+        ("a simple example of replaced maps", ""),
+    ],
+)
+def test_license_rules_in_texts_without_a_common_word(spark, text, labels):
+    assert license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().labels == labels
+
+
+def test_license_gate_lets_every_match_pass():
+    shapes = ("licensed under the {} {}", "{} {}", "released under the terms of the {}", "x. {}, {}")
+    names = ("APL", "Expat licence", "cc-by-nc-nd", "Creative Commons attribution share alike", "two-clause BSD", "CeCILL", "WTFPL", "gnu fdl", "ODC-By", "cc0", "released into the public domain")
+    gate = re.compile(license_scan._gate())
+    for text in (lower(shape.format(name, "1.0")) for shape in shapes for name in names):
+        hits = [(e, need) for (_, _, _, e, *_), need in license_scan._with_needs() if re.search(e, text)]
+        assert hits, text
+        assert gate.search(text.title()) and all(re.search(need, text) for _, need in hits), text
+        assert all(key in text for _, _, key, e, *_ in license_scan.rules() if re.search(e, text)), text
+
+
 def test_license_suppression_equals_brute_force(spark):
     text = lower("Licensed under the Apache License, Version 2.0; GPL v3 or later license, Apache License. EPL-2.0 license " * 3)
     found = [(m.start(), m.end(), p, i, label) for i, label, key, e, p, _ in license_scan.rules() if key in text for m in re.finditer(e, text)]
