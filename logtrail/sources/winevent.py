@@ -64,8 +64,9 @@ def _elements(text: DataFrame, identity: str) -> DataFrame:
         F.col(f"_metadata.{identity}").alias("source_file"),
         F.shiftright(F.col("_metadata.file_block_start"), 20).alias("_block"),
     ]
+    # the outer form gives the same, as there is a piece at least; before the other the text would be split twice more, to test that
     pieces = text.select(F.split("value", r"(?=<Event[\s>])").alias("_pieces"), *origin)
-    each = pieces.select("source_file", "_block", F.size("_pieces").alias("_n"), F.posexplode("_pieces").alias("_k", "_piece"))
+    each = pieces.select("source_file", "_block", F.size("_pieces").alias("_n"), F.posexplode_outer("_pieces").alias("_k", "_piece"))
     events = each.filter(F.col("_piece").rlike(r"^<Event[\s>]"))
     whole = F.when(F.col("_k") == F.col("_n") - 1, F.concat("_piece", F.lit(END_TAG))).otherwise(F.col("_piece"))
     position = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << POSITION_BITS) - 1))

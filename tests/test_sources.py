@@ -1,10 +1,12 @@
 """Readers on small files written by the tests."""
 
 import struct
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from logtrail.functions.text import last_wins_map
 from logtrail.operators.normalize import normalize_csv, normalize_packets, normalize_syslog, normalize_windows
 from logtrail.sources.csv import inspect_files, read_csv
 from logtrail.sources.packets import read_captures, read_packet_table
@@ -144,6 +146,27 @@ def test_csv_headers_of_files_that_share_a_task(spark, tmp_path):
     assert sorted(found) == sorted((f"{n}.csv", str(k), f"cell {k}\nof {n}") for n in "abcd" for k in range(4 + ord(n) - ord("a")))
 
 
+def test_maps_compare_entries_only_where_a_key_repeats(spark):
+    entry = "array<struct<key:string,value:string>>"
+    rows = [([("a", "1"), ("b", "2")],), ([("a", "1"), ("b", "2"), ("a", "3")],), ([],), (None,)]
+    df = spark.createDataFrame(rows, f"e {entry}").select(last_wins_map(F.col("e")).alias("m"))
+    assert [r.m for r in df.collect()] == [{"a": "1", "b": "2"}, {"b": "2", "a": "3"}, {}, None]
+    many = F.transform(F.sequence(F.lit(1), F.col("id") % 2 + 1500), lambda k: F.struct(k.cast("string").alias("key"), k.cast("string").alias("value")))
+    wide = spark.range(8).select(F.size(last_wins_map(many)).alias("n"))
+    begun = time.perf_counter()
+    assert {r.n for r in wide.collect()} == {1500, 1501}
+    assert time.perf_counter() - begun < 10
+
+
+def test_event_xml_is_split_once(spark, tmp_path, capsys):
+    (tmp_path / "a.xml").write_text("<Events>\n<Event><System><EventID>4625</EventID></System></Event>\n</Events>\n")
+    read = read_windows_events(spark, str(tmp_path))
+    assert [r.event_id for r in read.collect()] == ["4625"]
+    capsys.readouterr()
+    read.explain()
+    assert capsys.readouterr().out.count("split(") == 1
+
+
 def test_csv_events(spark):
     columns = "date string, code string, type string, level string, src string, user string, note string, extra string, more string"
     rows = [
