@@ -20,6 +20,7 @@ from logtrail.sources.router import (
 )
 from logtrail.sources.syslog import parse_syslog, read_syslog
 from logtrail.sources.winevent import read_windows_events
+from workload import QUERIES
 
 def now():
     return F.lit("2026-05-01 00:00:00").cast("timestamp")
@@ -146,6 +147,15 @@ def test_csv_headers_of_files_that_share_a_task(spark, tmp_path):
     assert sorted(found) == sorted((f"{n}.csv", str(k), f"cell {k}\nof {n}") for n in "abcd" for k in range(4 + ord(n) - ord("a")))
 
 
+def test_csv_scan_of_nulls_and_other_types(spark, tmp_path):
+    rows = [(1, 7, "error", "p"), (2, None, "click", None), (None, 3, "signup", "q"), (4, 5, None, "r"), (5, 6, "audit", "s"), (6, 7, "view", "t")]
+    table = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, props string")
+    table.withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz")).write.parquet(str(tmp_path / "events.parquet"))
+    found = [tuple(r) for r in QUERIES["csv_scan"](spark, str(tmp_path)).collect()]
+    cell = 'a "quoted" cell; \nsecond line'
+    assert sorted(found, key=str) == sorted([r[:3] + (cell if r[2] == "view" else r[3],) for r in rows], key=str)
+
+
 def test_maps_compare_entries_only_where_a_key_repeats(spark):
     entry = "array<struct<key:string,value:string>>"
     rows = [([("a", "1"), ("b", "2")],), ([("a", "1"), ("b", "2"), ("a", "3")],), ([],), (None,)]
