@@ -17,6 +17,9 @@ sets agree in 38 or more on average and in fewer than ten with about 1e-8.
 
 Pairs inside a component already found are not looked at again. So a group of near
 copies of any size costs about one verified pair per member, and not all its pairs.
+What is left then are components whose members resemble each other a little below the
+threshold. Each pair of them has to be refuted from its full sets, but none becomes a row:
+the components that pairs connect are gathered with their full sets, and compared there.
 """
 
 from __future__ import annotations
@@ -42,6 +45,11 @@ _LEAST_AGREEING = 10
 #: Rows of a key up to which its pairs are compared together with those of other keys.
 _FEW = 48
 _STEP = np.log(4 / 3)
+#: Sets and shingles of a block of full sets that are compared in one task.
+_BLOCK_SETS = 4096
+_BLOCK_SHINGLES = 1 << 21
+_COLUMNS = 1024
+_CELLS = 1 << 22
 
 
 def shingle_set(text: bytes, width: int = WIDTH) -> np.ndarray:
@@ -190,10 +198,28 @@ def _pairs_of_large(sketches: np.ndarray, sizes: np.ndarray, band: int) -> Itera
         yield i, agree, ok
 
 
+def _join(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Join the trees of ``root`` that hold the two ends of each pair; each member points at its tree's smallest one."""
+    while len(x):
+        one, two = root[x], root[y]
+        apart = one != two
+        x, y, one, two = x[apart], y[apart], one[apart], two[apart]
+        np.minimum.at(root, np.maximum(one, two), np.minimum(one, two))
+        while (root != root[root]).any():
+            root[:] = root[root]
+
+
+def _moved(names: np.ndarray, root: np.ndarray) -> list[np.ndarray]:
+    """A link for each name that is not the smallest of its tree, to that one."""
+    below = np.flatnonzero(root != np.arange(len(root)))
+    return [names[below], names[root[below]]]
+
+
 def close_pairs(shared: DataFrame, nodes: DataFrame, labels: DataFrame | None = None, every: bool = False) -> DataFrame:
     """Pairs ``u > v`` of sets that share a key, may be similar by their sketches and have different labels.
 
-    Of each label the closest pair, or ``every`` pair. Without ``labels`` each set is its
+    Of each label the closest pair; with ``every``, pairs of labels instead, by which all labels
+    with such a pair are connected, a row per label and batch at most. Without ``labels`` each set is its
     own. Rows of one key are compared in one task, strip by strip; keys whose sets all have one
     label, as most keys of a group of near copies soon do, are left out.
     """
@@ -219,22 +245,29 @@ def close_pairs(shared: DataFrame, nodes: DataFrame, labels: DataFrame | None =
         keep = label[x] != label[y]
         x, y, agree = x[keep], y[keep], agree[keep]
         if every:
-            return [ids[x], ids[y], agree, label[x]]
+            names, at = np.unique(label, return_inverse=True)
+            root = np.arange(len(names))
+            _join(root, at[x], at[y])
+            return _moved(names, root)
         return best(np.append(ids[x], ids[y]), np.append(ids[y], ids[x]), np.append(agree, agree), np.append(label[x], label[y]))
 
     def large(ids, label, sizes, band, sketches) -> Iterator[list[np.ndarray]]:
+        names, at = np.unique(label, return_inverse=True)
+        root = np.arange(len(names))
         for i, agree, ok in _pairs_of_large(sketches, sizes, band[0]):
-            ok &= label[i : i + len(ok), None] != label[None, :]
+            tree = root[at]  # labels that are connected need no further pair
+            ok &= tree[i : i + len(ok), None] != tree[None, :]
             if every:
                 x, y = np.nonzero(ok)
-                x, y = x[x + i < y], y[x + i < y]
-            else:
-                agree = np.where(ok, agree, -1)
-                y = agree.argmax(axis=1)
-                x = np.flatnonzero(agree[np.arange(len(y)), y] >= 0)
-                y = y[x]
-            found = [ids[x + i], ids[y], agree[x, y], label[x + i]]
-            yield found if every else best(*found)
+                _join(root, at[x + i], at[y])
+                continue
+            agree = np.where(ok, agree, -1)
+            y = agree.argmax(axis=1)
+            x = np.flatnonzero(agree[np.arange(len(y)), y] >= 0)
+            y = y[x]
+            yield best(ids[x + i], ids[y], agree[x, y], label[x + i])
+        if every:
+            yield _moved(names, root)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, *columns in _whole_groups(batches):
@@ -245,14 +278,14 @@ def close_pairs(shared: DataFrame, nodes: DataFrame, labels: DataFrame | None =
             found = [small(*(c[few] for c in columns), np.repeat(ends[counts <= _FEW], counts[counts <= _FEW]))]
             for begin, count in zip(begins[counts > _FEW], counts[counts > _FEW], strict=True):
                 found += large(*(c[begin : begin + count] for c in columns))
-            u, v, agree, label = (np.concatenate(c) for c in zip(*found, strict=True))
+            u, v, *rest = (np.concatenate(c) for c in zip(*found, strict=True))
             if len(u):
-                out = [np.maximum(u, v), np.minimum(u, v), agree.astype(np.int64), label]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["u", "v", "agree", "label"])
+                out = [np.maximum(u, v), np.minimum(u, v), *(c.astype(np.int64) for c in rest)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["u", "v", "agree", "label"][: len(out)])
 
-    found = ordered.mapInArrow(run, "u long, v long, agree long, label long")
     if every:
-        return found.select("u", "v").distinct()
+        return ordered.mapInArrow(run, "u long, v long").distinct()
+    found = ordered.mapInArrow(run, "u long, v long, agree long, label long")
     best = found.groupBy("label").agg(F.max(F.struct("agree", "u", "v")).alias("best"))
     return best.select("best.u", "best.v").distinct()
 
@@ -300,12 +333,122 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return pairs.join(one, "u").join(two, "v").filter(100 * both >= threshold * (F.size("set_u") + F.size("set_v") - both)).select("u", "v").distinct()
 
 
+def _shared_counts(rows: slice, word: np.ndarray, owner: np.ndarray, count: int) -> np.ndarray:
+    """How many words each of some owners shares with each of all ``count``; entries in order of their words.
+
+    Words of many owners are counted by products of matrices, the others by the lists of their owners.
+    """
+    held = np.bincount(word)
+    common = held * 16 >= count
+    out = np.zeros((rows.stop - rows.start, count), dtype=np.int64)
+    column = np.cumsum(common) - 1
+    dense = common[word]
+    at, by = column[word[dense]], owner[dense]
+    for low in range(0, int(common.sum()), _COLUMNS):
+        some = slice(*np.searchsorted(at, (low, low + _COLUMNS)))
+        cells = np.zeros((count, _COLUMNS), dtype=np.float32)
+        cells[by[some], at[some] - low] = 1
+        out += (cells[rows] @ cells.T).astype(np.int64)
+    first = np.cumsum(held) - held
+    asked = np.flatnonzero(~dense & (owner >= rows.start) & (owner < rows.stop))
+    ends = np.cumsum(held[word[asked]])
+    done = 0
+    while done < len(asked):
+        upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + _CELLS)))
+        some = asked[done:upto]
+        many = held[word[some]]
+        place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[word[some]], many)
+        cell = np.repeat(owner[some] - rows.start, many) * count + owner[place]
+        out += np.bincount(cell, minlength=out.size).reshape(out.shape)
+        done = upto
+    return out
+
+
+def _linked(label: np.ndarray, inner: np.ndarray, sizes: np.ndarray, shingles: np.ndarray, threshold: int) -> list[np.ndarray]:
+    """Links that connect the labels of sets similar to ``threshold``: of all pairs, or of those of an inner and an outer set."""
+    names, at = np.unique(label, return_inverse=True)
+    root = np.arange(len(names))
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(shingles, kind="stable")
+    shingles, owner = shingles[order], owner[order]
+    fresh = np.concatenate(([True], shingles[1:] != shingles[:-1]))
+    begins, word = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+    # shingles of one label only are in no intersection that is asked for, and a set needs enough of the others
+    asked = (np.minimum.reduceat(at[owner], begins) != np.maximum.reduceat(at[owner], begins))[word]
+    able = 100 * np.bincount(owner[asked], minlength=len(sizes)) >= threshold * sizes
+    asked &= able[owner]
+    left = np.flatnonzero(able)
+    if len(left) < 2:
+        return _moved(names, root)
+    at, inner, sizes = at[left], inner[left], sizes[left]
+    owner = (np.cumsum(able) - 1)[owner[asked]]
+    word = np.unique(word[asked], return_inverse=True)[1]
+    strip = max(1, _CELLS // len(left))
+    for low in range(0, len(left) if len(word) else 0, strip):
+        rows = slice(low, min(low + strip, len(left)))
+        both = _shared_counts(rows, word, owner, len(left))
+        ok = 100 * both >= threshold * (sizes[rows, None] + sizes[None, :] - both)
+        ok &= root[at[rows], None] != root[at]
+        if not inner.all():
+            ok &= inner[rows, None] != inner[None, :]
+        x, y = np.nonzero(ok)
+        _join(root, at[x + low], at[y])
+    return _moved(names, root)
+
+
+def linked_labels(labels: DataFrame, connected: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Links ``u, v`` between labels that have similar sets, within the groups of labels that ``connected`` pairs make.
+
+    All sets of a group are compared in full in one task. A group of more than a block is dealt into blocks, a
+    task for each two of them; each task gives a row per label at most, whatever the pairs.
+    """
+    groups = components(connected).select(F.col("node").alias("label"), F.col("label").alias("family"))
+    members = sets.select(F.col("set_id"), F.size("shingles").alias("n")).join(labels.withColumnRenamed("node", "set_id"), "set_id").join(groups, "label")
+    blocks = F.greatest(F.ceil(F.count("*") / _BLOCK_SETS), F.ceil(F.sum("n") / _BLOCK_SHINGLES)).cast("int")
+    dealt = members.join(members.groupBy("family").agg(blocks.alias("blocks")), "family").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keys = ["family", "one", "two"]
+    rows = dealt.select("set_id", "family", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "label", (F.col("block") <= F.col("other")).alias("inner"))
+    full = rows.join(sets, "set_id").select(*keys, "label", "inner", "shingles").repartition(*keys).sortWithinPartitions(*keys)
+
+    def compare(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        label, inner = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held]) for i in (3, 4))
+        sizes = np.concatenate([b.column(5).value_lengths().to_numpy() for b in held]).astype(np.int64)
+        shingles = np.concatenate([b.column(5).flatten().to_numpy() for b in held])
+        u, v = _linked(label, inner, sizes, shingles, threshold)
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)])
+            begins = np.flatnonzero(np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(axis=0))))
+            for begin, end in zip(begins, np.append(begins[1:], batch.num_rows), strict=True):
+                if held and tuple(key[:, begin]) != last:
+                    yield compare(held)
+                    held = []
+                held.append(batch.slice(begin, end - begin))
+                last = tuple(key[:, begin])
+        if held:
+            yield compare(held)
+
+    return full.mapInArrow(run, "u long, v long")
+
+
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``node, label`` after the labels at the ends of each link have become one."""
     ends = links
     for end in ("u", "v"):
         ends = ends.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}")), end)
-    moves = components(ends.select(F.col("label_u").alias("u"), F.col("label_v").alias("v")))
+    return relabelled(labels, ends.select(F.col("label_u").alias("u"), F.col("label_v").alias("v")))
+
+
+def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, label`` after linked labels have become one."""
+    moves = components(links)
     moved = labels.join(moves.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left")
     return stage(moved.select("node", F.coalesce("to", "label").alias("label")), "labels")
 
@@ -340,12 +483,16 @@ def similar_groups(docs: DataFrame, threshold: int = 75) -> DataFrame:
     sets = stage(full_sets(docs, likely), "sets")
     labels = likely.select(F.col("set_id").alias("node"), F.col("set_id").alias("label"))
     labels = merged(labels, verified(tried, sets, threshold))
-    # components join along their closest pairs, round by round, which leaves few; then all pairs between those left
-    for every in (False, False, False, True):
-        pairs = stage(close_pairs(shared, likely, labels, every).join(tried, ["u", "v"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            labels = merged(labels, verified(pairs, sets, threshold))
-            tried = tried.union(pairs)
+    # components join along their closest pairs, round by round, which leaves few; then all sets of those left
+    for _ in range(3):
+        pairs = stage(close_pairs(shared, likely, labels).join(tried, ["u", "v"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            break
+        labels = merged(labels, verified(pairs, sets, threshold))
+        tried = tried.union(pairs)
+    connected = stage(close_pairs(shared, likely, labels, every=True), "connected")
+    if not connected.isEmpty():
+        labels = relabelled(labels, linked_labels(labels, connected, sets, threshold))
     named = nodes.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     named = stage(named.select("set_id", "label", "rep"), "named")
     smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))

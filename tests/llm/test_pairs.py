@@ -66,6 +66,70 @@ def test_groups_of_edited_copies(spark):
     assert groups(df) == brute_groups(rows)
 
 
+def variants(rng, words, text, count, edits):
+    """Copies of a text with words replaced at places spread over it, each by a word of its own."""
+    out = []
+    for _ in range(count):
+        copy = list(text)
+        for k in rng.sample(range(2, len(copy) - 5, 6), edits):
+            copy[k] = rng.choice(words)
+        out.append(" ".join(copy))
+    return out
+
+
+@pytest.mark.parametrize("block", [4096, 9])
+def test_groups_a_little_below_the_threshold(spark, monkeypatch, block):
+    monkeypatch.setattr(parity_join, "_BLOCK_SETS", block)
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(100000)]
+    texts = []
+    for size, edits in ((150, 4), (150, 3), (400, 8), (300, 6)):
+        base = rng.choices(words, k=size)
+        texts += variants(rng, words, base, 60, edits)
+        texts += variants(rng, words, rng.choice(texts).split(), 3, 1)
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    connected = []
+    close_pairs = parity_join.close_pairs
+
+    def watched(shared, nodes, labels=None, every=False):
+        out = close_pairs(shared, nodes, labels, every)
+        if every:
+            connected.append((out.count(), labels.select("label").distinct().count()))
+        return out
+
+    monkeypatch.setattr(parity_join, "close_pairs", watched)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = groups(df)
+    assert got == brute_groups(rows)
+    (pairs, labels), = connected
+    assert labels > 60 and pairs <= 4 * labels  # of all pairs it would be thousands
+
+
+@pytest.mark.parametrize("cells", [1 << 22, 40])
+def test_full_sets_in_blocks_equal_brute_force(monkeypatch, cells):
+    monkeypatch.setattr(parity_join, "_CELLS", cells)
+    monkeypatch.setattr(parity_join, "_COLUMNS", 7)
+    rng = np.random.default_rng(4)
+    for count in (2, 30, 60):
+        base = rng.integers(0, 1 << 60, 40)
+        sets = [np.unique(np.append(rng.permutation(base)[: rng.integers(25, 40)], rng.integers(0, 400, rng.integers(0, 9)))) for _ in range(count)]
+        label = rng.integers(0, count, count)
+        for inner in (np.ones(count, dtype=bool), rng.random(count) < 0.5):
+            u, v = parity_join._linked(label, inner, np.array([len(s) for s in sets]), np.concatenate(sets), 75)
+            trees = {int(n): int(n) for n in label}
+
+            def root(n, trees=trees):
+                return n if trees[n] == n else root(trees[n])
+
+            for a, b in combinations(range(count), 2):
+                both = len(np.intersect1d(sets[a], sets[b]))
+                if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both) and (inner.all() or inner[a] != inner[b]):
+                    one, two = sorted((root(int(label[a])), root(int(label[b]))))
+                    trees[two] = one
+            assert dict(zip(u.tolist(), v.tolist(), strict=True)) == {n: root(n) for n in trees if root(n) != n}
+
+
 def test_groups_of_awkward_rows(spark, awkward, nothing):
     with_numbers = awkward.filter("doc_id is not null")
     assert groups(with_numbers) == brute_groups([(r.doc_id, r.text) for r in with_numbers.collect()])
