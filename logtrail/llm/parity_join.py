@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logtrail.llm import hashing
@@ -224,15 +224,16 @@ def close_pairs(shared: DataFrame, nodes: DataFrame, labels: DataFrame | None =
     label, as most keys of a group of near copies soon do, are left out.
     """
     own = F.pmod("key", F.lit(2)) == F.pmod("band", F.lit(2))
-    rows = shared.select("key", "set_id").join(nodes.select("set_id", "n", "band", "low", "high"), "set_id")
-    rows = rows.select("key", "set_id", "n", F.when(own, F.col("band")).otherwise(F.col("band") + 1).alias("band"), F.when(own, F.col("low")).otherwise(F.col("high")).alias("sketch"))
     if labels is None:
-        rows = rows.withColumn("label", F.col("set_id"))
+        named = shared.select("key", "set_id", F.col("set_id").alias("label"))
     else:
-        named = shared.select("key", "set_id").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("key", F.coalesce("label", "set_id").alias("label"))
-        mixed = named.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("key")
-        rows = rows.join(mixed, "key").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-    ordered = rows.select("key", "set_id", "label", "n", "band", "sketch").repartition("key").sortWithinPartitions("key")
+        # the sketches are the bulk of a row, so they are added to the keys that are left
+        named = shared.select("key", "set_id").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("key", "set_id", F.coalesce("label", "set_id").alias("label"))
+        of_key = Window.partitionBy("key")
+        named = named.withColumns({"_least": F.min("label").over(of_key), "_most": F.max("label").over(of_key)}).filter("_least <> _most")
+    rows = named.select("key", "set_id", "label").join(nodes.select("set_id", "n", "band", "low", "high"), "set_id")
+    band, chosen = F.when(own, F.col("band")).otherwise(F.col("band") + 1), F.when(own, F.col("low")).otherwise(F.col("high"))
+    ordered = rows.select("key", "set_id", "label", "n", band.alias("band"), chosen.alias("sketch")).repartition("key").sortWithinPartitions("key")
 
     def best(u: np.ndarray, v: np.ndarray, agree: np.ndarray, label: np.ndarray) -> list[np.ndarray]:
         """The closest pair of each label."""
@@ -400,13 +401,23 @@ def linked_labels(labels: DataFrame, connected: DataFrame, sets: DataFrame, thre
     """Links ``u, v`` between labels that have similar sets, within the groups of labels that ``connected`` pairs make.
 
     All sets of a group are compared in full in one task. A group of more than a block is dealt into blocks, a
-    task for each two of them; each task gives a row per label at most, whatever the pairs.
+    task for each two of them, but for two of the group's largest label; each task gives a row per label at most, whatever the pairs.
     """
     groups = components(connected).select(F.col("node").alias("label"), F.col("label").alias("family"))
     members = sets.select(F.col("set_id"), F.size("shingles").alias("n")).join(labels.withColumnRenamed("node", "set_id"), "set_id").join(groups, "label")
-    blocks = F.greatest(F.ceil(F.count("*") / _BLOCK_SETS), F.ceil(F.sum("n") / _BLOCK_SHINGLES)).cast("int")
-    dealt = members.join(members.groupBy("family").agg(blocks.alias("blocks")), "family").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    by_label = members.groupBy("family", "label").agg(F.count("*").alias("count"), F.sum("n").alias("sum"))
+    sums = by_label.groupBy("family").agg(F.max(F.struct("count", "sum", "label")).alias("lead"), F.sum("count").alias("count"), F.sum("sum").alias("sum"))
+
+    def blocks(count: Column, size: Column) -> Column:
+        return F.greatest(F.ceil(count / _BLOCK_SETS), F.ceil(size / _BLOCK_SHINGLES)).cast("int")
+
+    one, lead = blocks(F.col("count"), F.col("sum")) == 1, F.col("lead")
+    rest = F.when(one, 1).otherwise(blocks(F.col("count") - lead["count"], F.col("sum") - lead["sum"]))
+    sums = sums.select("family", F.when(~one, lead["label"]).alias("lead"), rest.alias("rest"), F.when(one, 0).otherwise(blocks(lead["count"], lead["sum"])).alias("leads"))
+    leading, at = F.col("label").eqNullSafe(F.col("lead")), F.xxhash64("set_id")
+    block = F.when(leading, F.col("rest") + F.pmod(at, F.col("leads"))).otherwise(F.pmod(at, F.col("rest"))).cast("int")
+    others = F.sequence(F.lit(0), F.col("rest") - 1 + F.when(leading, 0).otherwise(F.col("leads")))
+    dealt = members.join(sums, "family").select("set_id", "family", "label", block.alias("block"), F.explode(others).alias("other"))
     keys = ["family", "one", "two"]
     rows = dealt.select("set_id", "family", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "label", (F.col("block") <= F.col("other")).alias("inner"))
     full = rows.join(sets, "set_id").select(*keys, "label", "inner", "shingles").repartition(*keys).sortWithinPartitions(*keys)
@@ -484,11 +495,12 @@ def similar_groups(docs: DataFrame, threshold: int = 75) -> DataFrame:
     labels = likely.select(F.col("set_id").alias("node"), F.col("set_id").alias("label"))
     labels = merged(labels, verified(tried, sets, threshold))
     # components join along their closest pairs, round by round, which leaves few; then all sets of those left
-    for _ in range(3):
+    for _ in range(2):
         pairs = stage(close_pairs(shared, likely, labels).join(tried, ["u", "v"], "left_anti"), "pairs")
         if pairs.isEmpty():
             break
-        labels = merged(labels, verified(pairs, sets, threshold))
+        asked = pairs.select(F.col("u").alias("set_id")).union(pairs.select(F.col("v").alias("set_id"))).distinct()
+        labels = merged(labels, verified(pairs, sets.join(asked, "set_id", "left_semi"), threshold))
         tried = tried.union(pairs)
     connected = stage(close_pairs(shared, likely, labels, every=True), "connected")
     if not connected.isEmpty():
