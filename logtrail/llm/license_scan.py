@@ -157,8 +157,13 @@ def _gate() -> str:
 #: Phrases whose places are counted, with their labels.
 PHRASES = ((("mit", "license"), "mit"), (("apache", "license"), "apache"), (("general", "public", "license"), "gpl"))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What separates words, in any case.
+_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def _words(text: Column) -> Column:
+    """The words of a text, from what lies between them: extracting every match copies the text for each."""
+    return F.array_remove(F.split(text, _GAP, -1), "")
 
 
 def _places(text: Column, rule: Column) -> Column:
@@ -192,9 +197,9 @@ def scan(docs: DataFrame) -> DataFrame:
         needs.setdefault(need, []).append(rule)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     gated = plain.select(
-        "doc_id", F.regexp_count("text", F.lit(_WORD_ANY_CASE)).cast("long").alias("n_words"), F.when(F.col("text").rlike(_gate()), F.translate("text", _UPPER, _LOWER)).alias("text")
+        "doc_id", F.size(_words(F.col("text"))).cast("long").alias("n_words"), F.when(F.col("text").rlike(_gate()), F.translate("text", _UPPER, _LOWER)).alias("text")
     )
-    with_words = gated.withColumn("words", F.when(F.contains("text", F.lit("license")), F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))))
+    with_words = gated.withColumn("words", F.when(F.contains("text", F.lit("license")), _words(F.col("text"))))
 
     def begins(word: Column, at: Column) -> Column:
         case = None

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -155,6 +156,19 @@ def test_license_rules_in_texts_without_a_common_word(spark, text, labels):
     assert license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().labels == labels
 
 
+def test_license_words_of_a_long_text_take_time_in_proportion(spark):
+    texts = ["", None, " ", "..x..", "x", " Mit\x00License\x7f", "\u00e9\U0001f600 a1_b2", "MIT license, the Apache license"]
+    texts.append("apache license mit license " + "ab, 12 " * 300_000)
+    started = time.monotonic()
+    rows = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert time.monotonic() - started < 60
+    got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word) for r in rows}
+    for k, text in enumerate(texts):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        at = [i for i, pair in enumerate(zip(words, words[1:], strict=False)) if pair in (("mit", "license"), ("apache", "license"))]
+        assert got[k] == (len(words), len(at), min(at, default=None), max(at, default=None))
+
+
 def test_license_gate_lets_every_match_pass():
     shapes = ("licensed under the {} {}", "{} {}", "released under the terms of the {}", "x. {}, {}")
     names = ("APL", "Expat licence", "cc-by-nc-nd", "Creative Commons attribution share alike", "two-clause BSD", "CeCILL", "WTFPL", "gnu fdl", "ODC-By", "cc0", "released into the public domain")
