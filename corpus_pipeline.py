@@ -17,6 +17,8 @@ from logtrail.llm.tables import shared_folder
 
 
 _KEY = "_row_key"
+#: Strings of so many bytes are looked for: passages of over 50 words have them, but for those of words below four letters.
+_PASSAGE_BYTES = 256
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -52,8 +54,8 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the long strings that occur more than once; ``n_chars`` follows the text."""
-    cut = suffix_dedup.without_repeats(docs)
+    """All documents, without the passages of over 50 words, or 400 bytes, that occur more than once; ``n_chars`` follows the text."""
+    cut = suffix_dedup.without_repeats(docs, _PASSAGE_BYTES, least_words=51)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cut

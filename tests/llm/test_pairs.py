@@ -202,6 +202,16 @@ def test_repeats_of_the_table(spark, sf_dir):
     assert sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(brute_cut([d.text.encode() for d in docs], 400))
 
 
+def test_repeats_within_a_text_are_one_row(spark):
+    rng = random.Random(9)
+    lines = ["".join(rng.choices("abcdefgh ", k=n)) for n in (9, 30, 450, 700)]
+    texts = [lines[0] * 900 + lines[2] + lines[0] * 700, lines[1] * 100 + lines[3] + "x" * 90 + lines[3], lines[2] + lines[1] * 60, lines[0] * 45, lines[3] + "end"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert cut(df, 400) == sorted(brute_cut([t.encode() for t in texts], 400))
+    rows = suffix_dedup._sampled(df, 400)
+    assert rows.count() == rows.select("doc_id", "gram", "context").distinct().count()
+
+
 def test_repeats_of_rows_without_a_number(spark):
     rng = random.Random(8)
 

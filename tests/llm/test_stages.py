@@ -59,3 +59,13 @@ def test_rejected_text_takes_no_other_text_of_its_number(spark, folder, monkeypa
     monkeypatch.setattr(quality, "classify", classify)
     rows = [(1, SHARED), (1, GOOD), (None, SHARED), (None, NAMELESS)]
     assert after(corpus_pipeline.keep_good, spark, rows, folder) == sorted([(1, GOOD), (None, NAMELESS)], key=str)
+
+
+def test_passages_of_over_fifty_words_are_cut(spark, folder):
+    # a shared passage of 51 words is below 400 bytes; one of 45 words is none, though 256 bytes of it repeat
+    passage, short = prose(20, 51), " ".join(f"{w}x" for w in prose(21, 45).split())
+    assert 256 < len(short) < 400 and 256 < len(passage) < 400
+    rows = [(k, f"{prose(30 + k, 40)} {passage if k < 3 else short} {prose(50 + k, 40)}") for k in range(6)]
+    left = dict(after(corpus_pipeline.cut_repeats, spark, rows, folder))
+    assert all(passage not in left[k] and len(left[k].split()) == 79 for k in range(3))
+    assert all(left[k] == text for k, text in rows[3:])
