@@ -27,6 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,6 +51,8 @@ _BLOCK_SETS = 4096
 _BLOCK_SHINGLES = 1 << 21
 _COLUMNS = 1024
 _CELLS = 1 << 22
+#: Of a document number's hash, the bits that a map of the asked numbers tells apart.
+MAP_BITS = 24
 
 
 def shingle_set(text: bytes, width: int = WIDTH) -> np.ndarray:
@@ -310,8 +313,28 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray
         yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
 
+def _of_numbers(numbers: DataFrame) -> Column:
+    """Whether a document number may be among the column ``rep``: a bit map of 2**24 bits, folded by Spark."""
+    slot = F.xxhash64("rep").bitwiseAND(F.lit((1 << MAP_BITS) - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
+    got = numbers.select(F.shiftright(slot, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    words = np.zeros(1 << (MAP_BITS - 6), dtype=np.int64)
+    words[got.column("word").to_numpy()] = got.column("bits").to_numpy()
+    known = words.view(np.uint8)
+
+    @F.pandas_udf("boolean")
+    def maybe(slots: pd.Series) -> pd.Series:
+        at = slots.to_numpy()
+        return pd.Series(known[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1)
+
+    return maybe(F.xxhash64("doc_id").bitwiseAND(F.lit((1 << MAP_BITS) - 1)))
+
+
 def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``set_id, shingles`` of the nodes, from the text of one of their documents."""
+    """``set_id, shingles`` of the nodes, from the text of one of their documents.
+
+    Only texts whose number may be that of a node's document are joined, so most texts are not shuffled.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -323,7 +346,8 @@ def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             yield out.filter(pa.array(meant, type=pa.bool_()))
 
     # a repeated document number may carry another text, which is then not the set that is meant
-    texts = id_and_text(docs).join(nodes.select("set_id", F.col("rep").alias("doc_id")), "doc_id").select("set_id", "text")
+    reps = nodes.select("set_id", F.col("rep").alias("doc_id"))
+    texts = id_and_text(docs).filter(_of_numbers(nodes)).join(reps, "doc_id").select("set_id", "text")
     return texts.mapInArrow(run, "set_id long, shingles array<long>")
 
 

@@ -156,6 +156,17 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_only_texts_of_asked_numbers_are_joined(spark):
+    docs = spark.createDataFrame([(k, f"w{k} " * 9) for k in range(3000)] + [(None, "no number")], "doc_id long, text string").repartition(3)
+    asked = [(0, 7), (1, 1999), (2, None), (3, -5)]
+    nodes = spark.createDataFrame(asked, "set_id long, rep long")
+    left = {r.doc_id for r in docs.filter(parity_join._of_numbers(nodes)).collect()}
+    assert {7, 1999} <= left and len(left) < 30
+    sets = {k: parity_join.shingle_set((f"w{k} " * 9).encode()) for k in (7, 1999)}
+    nodes = spark.createDataFrame([(parity_join.identity(s), k) for k, s in sets.items()], "set_id long, rep long")
+    assert {r.set_id for r in parity_join.full_sets(docs, nodes).collect()} == {parity_join.identity(s) for s in sets.values()}
+
+
 def brute_cut(texts, length):
     seen = {}
     for t in texts:
