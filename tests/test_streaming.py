@@ -102,3 +102,48 @@ def test_stream_windows_equal_batch_windows(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out"))
     assert {(r.key, r.start_us, r.n) for r in got.collect()} == {(r.key, r.start, r.n) for r in expected.collect()}
     assert got.count() > 5
+
+
+def events_of(spark, rows):
+    return spark.createDataFrame(rows, "key string, s long, event_idx long").select("key", F.timestamp_seconds("s").alias("timestamp"), "event_idx")
+
+
+def land(spark, tmp_path, *deliveries):
+    for rows in deliveries:
+        events_of(spark, rows).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    schema = "key string, timestamp timestamp, event_idx long"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+
+def test_many_keys_share_few_states(spark, tmp_path):
+    keys = 3000
+    parts = [[(f"k{k}", 1000 * n + k % 7, keys * n + k) for k in range(keys)] for n in range(2)]
+    stream = burst_stream(land(spark, tmp_path, *parts, [("end", 90_000, -1)]), 1100, 2, lateness="1 second")
+    query = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    query.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert 0 < max(held) < keys  # rows of the windows' state: by groups of keys, not by key
+    got = {(r.key, r.start_us, r.last_us, r.n, r.first_idx) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {(f"k{k}", k % 7 * 1_000_000, (1000 + k % 7) * 1_000_000, 2, k) for k in range(keys)}
+
+
+def test_groups_of_keys_equal_batch_windows(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(f"k{min(rng.randrange(40), rng.randrange(400))}", s, i) for i, s in enumerate(sorted(rng.choices(range(6000), k=1500)))]
+    few = [("few", 10, 9001), ("few", 11, 9002), ("few", 12, 9003)]  # fewer rows than the threshold
+    late = sorted(rows + few, key=lambda r: r[1] + rng.randrange(300))
+    stream = land(spark, tmp_path, late[:500], late[500:1000], late[1000:], [("end", 900_000, -1)])
+    drain(burst_stream(stream, 600, 5, lateness="20 minutes", slot="1 minute", groups=3), tmp_path, "out")
+    batch = events_of(spark, rows + few).withColumn("t", F.unix_micros("timestamp"))
+    members = window_members(batch, greedy_windows(batch, 600, 5), 600)
+    expected = members.groupBy("key", "start").agg(F.max("t"), F.count("*"), F.min("event_idx"))
+    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == sorted(tuple(r) for r in expected.collect()) and len(got) > 20
+
+
+def test_a_window_waits_for_the_slot_of_its_end(spark, tmp_path):
+    # the watermark, 75, is past the window's end, 70, but the row at 65 is in a slot that ends at 120
+    stream = land(spark, tmp_path, [("a", 40, 1), ("a", 45, 2), (None, 41, 3), (None, 42, 4)], [("b", 85, 5), ("a", 80, 6)], [("a", 65, 7)], [("end", 90_000, -1)])
+    drain(burst_stream(stream, 30, 2, lateness="10 seconds", slot="1 minute"), tmp_path, "out")
+    got = {(r.key, r.start_us // 1_000_000, r.last_us // 1_000_000, r.n, r.first_idx) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {("a", 40, 65, 3, 1), (None, 41, 42, 2, 3)}

@@ -8,6 +8,7 @@ from logtrail.functions.messages import APPLICATION_NAMES
 from logtrail.operators.brute_force import failed_auth
 from logtrail.operators.normalize import normalize_csv
 from logtrail.plans.classify import TextModels, predict, train
+from logtrail.session import stage
 from logtrail.sources.csv import clean_header
 from logtrail.streaming.bursts import burst_stream
 from logtrail.streaming.ingest import ingest, ingested
@@ -76,6 +77,7 @@ def stream_bursts(spark, sf_dir):
     """Failed logins replayed as a stream of many files, late rows among them; the windows equal those of the batch operator."""
     path = scratch(spark, "bursts")
     rows = failed_auth(logs(spark, sf_dir), "ip").select(F.expr(_KEY).alias("key"), "timestamp", "event_idx")
+    rows = stage(rows, "failed")
     arrival = F.unix_seconds("timestamp") + F.expr(_DELAY)
     first, last = rows.agg(F.min(arrival), F.max(arrival)).first()
     for k in range(_SLICES):
